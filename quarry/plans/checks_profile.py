@@ -1 +1,169 @@
-"""Checked queries (filled in below)."""
+"""Checked queries for profiling and curation."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import functions as F
+
+from quarry.functions.names import column_key_col
+from quarry.functions.semantic import auto_description, semantic_type
+from quarry.operators.profile import (apply_knowledge, column_frame, column_stats,
+                                      profile_columns, profile_table, review_count)
+from quarry.plans.registry import TABLES, check, table
+
+# ---- DuckDB side: Spark type names and the semantic rule over information_schema
+DUCK_SPARK_TYPE = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
+  WHEN 'DOUBLE' THEN 'double' WHEN 'FLOAT' THEN 'float' WHEN 'VARCHAR' THEN 'string'
+  WHEN 'TIMESTAMP' THEN 'timestamp_ntz' WHEN 'BOOLEAN' THEN 'boolean'
+  WHEN 'FLOAT[]' THEN 'array<float>' ELSE lower(data_type) END"""
+
+DUCK_SEMANTIC = """CASE
+  WHEN contains(lower(column_name), 'email') THEN 'email'
+  WHEN contains(lower(column_name), 'phone') OR contains(lower(column_name), 'tel') THEN 'phone'
+  WHEN contains(lower(column_name), 'date') OR contains(lower(column_name), 'time') THEN 'datetime'
+  WHEN contains(lower(column_name), 'id') THEN 'identifier'
+  WHEN contains(lower(column_name), 'name') THEN 'name'
+  WHEN contains(lower(column_name), 'address') OR contains(lower(column_name), 'street') THEN 'address'
+  WHEN contains(lower(column_name), 'zip') OR contains(lower(column_name), 'postal') THEN 'postal_code'
+  WHEN contains(lower(column_name), 'amount') OR contains(lower(column_name), 'price')
+       OR contains(lower(column_name), 'cost') THEN 'currency'
+  WHEN contains(lower(column_name), 'percent') OR contains(lower(column_name), 'rate') THEN 'percentage'
+  WHEN spark_type IN ('tinyint','smallint','int','bigint','float','double') THEN 'numeric'
+  WHEN spark_type IN ('date','timestamp','timestamp_ntz') THEN 'datetime'
+  WHEN spark_type = 'boolean' THEN 'boolean'
+  ELSE 'text' END"""
+
+DUCK_COLUMNS = f"""(SELECT table_name, column_name, ordinal_position,
+   {DUCK_SPARK_TYPE} AS spark_type FROM information_schema.columns
+   WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)}))"""
+
+
+def _all_columns(spark, sf_dir):
+    """One row per column of every driver table (from the Parquet schemas)."""
+    frames = [column_frame(table(spark, sf_dir, t)).withColumn("table_name", F.lit(t))
+              for t in TABLES]
+    return reduce(lambda a, b: a.unionByName(b), frames)
+
+
+@check("profile_table", oracle="""
+SELECT CAST(count(*) AS BIGINT) AS row_count, CAST(11 AS BIGINT) AS column_count FROM lineitem""")
+def p_table(spark, sf_dir):
+    return profile_table(table(spark, sf_dir, "lineitem"))
+
+
+def _docs_labels(spark, sf_dir):
+    # documents ⟕ labels: the label columns are NULL for unlabeled documents
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    lab = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_doc_id")
+    return d.join(lab, d.doc_id == lab.l_doc_id, "left")
+
+
+_DL_COLS = ["doc_id", "lang", "n_chars", "l_doc_id", "quality", "toxic"]
+_DL_FROM = """(SELECT d.doc_id, d.lang, d.n_chars, l.doc_id AS l_doc_id, l.quality, l.toxic
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
+
+
+@check("profile_nulls", oracle=" UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count,
+       round(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2) AS null_percentage
+       FROM {_DL_FROM} t""" for c in _DL_COLS))
+def p_nulls(spark, sf_dir):
+    prof = profile_columns(_docs_labels(spark, sf_dir), with_samples=False)
+    return prof.select("column_name", "null_count", "null_percentage")
+
+
+@check("profile_distinct", oracle=" UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, CAST(count(DISTINCT {c}) AS BIGINT) AS unique_values
+       FROM {_DL_FROM} t""" for c in _DL_COLS))
+def p_distinct(spark, sf_dir):
+    stats = column_stats(_docs_labels(spark, sf_dir), exact_distinct=True)
+    return stats.select("column_name", "unique_values")
+
+
+_LI_NUM = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
+           "l_extendedprice", "l_discount", "l_tax"]
+
+
+@check("profile_numeric", oracle=" UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max,
+       round(avg({c}), 6) AS mean FROM lineitem""" for c in _LI_NUM) + """ UNION ALL
+    SELECT c, NULL, NULL, NULL FROM (VALUES ('l_returnflag'), ('l_linestatus'), ('l_shipdate')) v(c)""")
+def p_numeric(spark, sf_dir):
+    stats = column_stats(table(spark, sf_dir, "lineitem"))
+    return stats.select("column_name", "min", "max", F.round("mean", 6).alias("mean"))
+
+
+@check("semantic_types", oracle=f"""
+SELECT table_name, column_name, spark_type AS data_type, {DUCK_SEMANTIC} AS semantic_type
+FROM {DUCK_COLUMNS} c""")
+def p_semantic(spark, sf_dir):
+    cols = _all_columns(spark, sf_dir)
+    return cols.select("table_name", "column_name", "data_type",
+                       semantic_type(F.col("column_name"), F.col("data_type")).alias("semantic_type"))
+
+
+_DUCK_READABLE = """array_to_string(list_transform(string_split(replace(replace(column_name, '_', ' '), '-', ' '), ' '),
+    lambda w: upper(w[1]) || lower(w[2:])), ' ')"""
+
+
+@check("auto_descriptions", oracle=f"""
+SELECT table_name, column_name,
+  CASE sem WHEN 'email' THEN 'Email address - ' || r WHEN 'phone' THEN 'Phone number - ' || r
+    WHEN 'identifier' THEN 'Unique identifier - ' || r WHEN 'currency' THEN 'Monetary amount - ' || r
+    WHEN 'datetime' THEN 'Date/time value - ' || r ELSE r || ' (' || spark_type || ')' END AS auto_description
+FROM (SELECT *, {DUCK_SEMANTIC} AS sem, {_DUCK_READABLE} AS r FROM {DUCK_COLUMNS} c) t""")
+def p_descriptions(spark, sf_dir):
+    cols = _all_columns(spark, sf_dir)
+    sem = semantic_type(F.col("column_name"), F.col("data_type"))
+    return cols.select("table_name", "column_name",
+                       auto_description(F.col("column_name"), F.col("data_type"), sem)
+                       .alias("auto_description"))
+
+
+@check("column_key", oracle=f"""
+SELECT table_name, column_name, replace(trim(lower(column_name)), ' ', '_') AS column_key
+FROM {DUCK_COLUMNS} c""")
+def p_column_key(spark, sf_dir):
+    return _all_columns(spark, sf_dir).select(
+        "table_name", "column_name", column_key_col("column_name").alias("column_key"))
+
+
+def _knowledge(spark):
+    # curated entries: keys as typed by people (case, blanks) are normalised
+    rows = [(" C_Name ", "Customer name", "Who bought"),
+            ("c_acctbal", "Account balance", "Credit position"),
+            ("unused column", "Not in this table", None)]
+    k = spark.createDataFrame(rows, "column_name string, description string, business_meaning string")
+    return k.select(column_key_col("column_name").alias("column_key"), "description",
+                    "business_meaning", F.current_timestamp().alias("verified_at"))
+
+
+_KNOW_ORACLE = f"""
+SELECT column_name, k.description AS description, k.description IS NOT NULL AS human_verified,
+       k.description IS NULL AS needs_review
+FROM {DUCK_COLUMNS} c LEFT JOIN (VALUES ('c_name', 'Customer name'), ('c_acctbal', 'Account balance'))
+  k(key, description) ON k.key = c.column_name
+WHERE c.table_name = 'customer'"""
+
+
+@check("apply_knowledge", oracle=_KNOW_ORACLE)
+def p_knowledge(spark, sf_dir):
+    prof = profile_columns(table(spark, sf_dir, "customer"), _knowledge(spark), with_samples=False)
+    return prof.select("column_name", "description", "human_verified", "needs_review")
+
+
+@check("pending_reviews", oracle=f"""
+SELECT CAST(count(*) FILTER (WHERE needs_review) AS BIGINT) AS columns_needing_review
+FROM ({_KNOW_ORACLE}) t""")
+def p_pending(spark, sf_dir):
+    prof = profile_columns(table(spark, sf_dir, "customer"), with_samples=False)
+    return review_count(apply_knowledge(prof, _knowledge(spark))).select(
+        F.col("columns_needing_review").cast("bigint").alias("columns_needing_review"))
+
+
+# Full profile of the largest table (row count only: samples are seeded by
+# hash, distinct counts approximate).
+@check("profile_columns")
+def p_full(spark, sf_dir):
+    return profile_columns(table(spark, sf_dir, "lineitem"))

@@ -1 +1,103 @@
-"""Checked queries (filled in below)."""
+"""Checked queries for the run log and ingest."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.catalog import Catalog, dataset_rollup, run_totals
+from quarry.plans.registry import check, table, table_path
+from quarry.session import scratch_path
+from quarry.streaming.ingest import read_ingested, stream_ingest
+
+
+@check("ingest", oracle="SELECT * FROM orders")
+def r_ingest(spark, sf_dir):
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    did = cat.create_dataset("Orders", {"type": "parquet", "path": table_path(sf_dir, "orders")},
+                             options={"format": "parquet", "profile": False})
+    res = cat.ingest(did)
+    if res["status"] != "success":
+        raise RuntimeError(res)
+    return cat.read_snapshot(did)
+
+
+@check("register_transformation", oracle="""
+SELECT o.o_orderpriority AS o_orderpriority, CAST(count(*) AS BIGINT) AS n_lines,
+       round(sum(l.l_quantity), 2) AS qty
+FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey GROUP BY o.o_orderpriority""")
+def r_register_transformation(spark, sf_dir):
+    # the transformation is logged as a dataset with a run, then read back
+    # through the catalog like any ingested dataset
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    res = cat.register_transformation("priority mix", {
+        "sources": [{"alias": "o", "type": "parquet", "path": table_path(sf_dir, "orders")},
+                    {"alias": "l", "type": "parquet", "path": table_path(sf_dir, "lineitem")}],
+        "join": {"left": "o", "right": "l", "on": "o.o_orderkey = l.l_orderkey", "how": "inner"},
+        "aggregate": {"group_by": ["o.o_orderpriority"], "metrics": {
+            "n_lines": "CAST(count(*) AS BIGINT)", "qty": "round(sum(l.l_quantity), 2)"}}})
+    return cat.read_snapshot(res["dataset_id"])
+
+
+def _rollup(spark, sf_dir):
+    # customers play datasets, their orders play runs (newest by date, key)
+    cust = table(spark, sf_dir, "customer").select(
+        "c_custkey", "c_name",
+        F.when(F.col("c_acctbal") >= 0, "active").otherwise("paused").alias("status"))
+    runs = table(spark, sf_dir, "orders").select(
+        "o_custkey", "o_orderkey", "o_orderstatus",
+        F.round(F.col("o_totalprice") * 100).cast("bigint").alias("rows_processed"),
+        F.struct("o_orderdate", "o_orderkey").alias("_order"))
+    return dataset_rollup(cust, runs, "c_custkey", "o_custkey", "_order")
+
+
+_ROLLUP_ORACLE = """
+WITH r AS (
+  SELECT o_custkey, o_orderkey, o_orderstatus,
+         CAST(round(o_totalprice * 100) AS BIGINT) AS rows_processed,
+         row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn,
+         count(*) OVER (PARTITION BY o_custkey) AS n
+  FROM orders)
+SELECT c.c_custkey AS c_custkey, c.c_name AS c_name,
+       CASE WHEN c.c_acctbal >= 0 THEN 'active' ELSE 'paused' END AS status,
+       r.o_orderkey AS last_orderkey, r.o_orderstatus AS last_status,
+       CAST(coalesce(r.n, 0) AS BIGINT) AS total_runs
+FROM customer c LEFT JOIN r ON r.o_custkey = c.c_custkey AND r.rn = 1"""
+
+
+@check("run_rollup", oracle=_ROLLUP_ORACLE)
+def r_rollup(spark, sf_dir):
+    return _rollup(spark, sf_dir).select(
+        "c_custkey", "c_name", "status", F.col("last_run.o_orderkey").alias("last_orderkey"),
+        F.col("last_run.o_orderstatus").alias("last_status"), "total_runs")
+
+
+@check("run_totals", oracle=f"""
+WITH roll AS (
+  WITH r AS (
+    SELECT o_custkey, CAST(round(o_totalprice * 100) AS BIGINT) AS rows_processed,
+           row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn,
+           count(*) OVER (PARTITION BY o_custkey) AS n
+    FROM orders)
+  SELECT CASE WHEN c.c_acctbal >= 0 THEN 'active' ELSE 'paused' END AS status,
+         coalesce(r.n, 0) AS total_runs, r.rows_processed
+  FROM customer c LEFT JOIN r ON r.o_custkey = c.c_custkey AND r.rn = 1)
+SELECT CAST(count(*) AS BIGINT) AS n_datasets,
+       CAST(count(*) FILTER (WHERE status = 'active') AS BIGINT) AS n_active,
+       CAST(coalesce(sum(total_runs), 0) AS BIGINT) AS total_runs,
+       CAST(coalesce(sum(rows_processed), 0) AS BIGINT) AS last_run_rows
+FROM roll""")
+def r_totals(spark, sf_dir):
+    return run_totals(_rollup(spark, sf_dir))
+
+
+@check("stream_ingest", oracle="SELECT * FROM events")
+def r_stream(spark, sf_dir):
+    # the events file arrives in the source directory; an availableNow stream
+    # ingests it; a second run with the same checkpoint adds nothing
+    events = table(spark, sf_dir, "events")
+    target = scratch_path(spark, "stream-out")
+    ckpt = scratch_path(spark, "stream-ckpt")
+    for _ in range(2):
+        stream_ingest(spark, sf_dir, target, events.schema, checkpoint=ckpt,
+                      glob="events.parquet")
+    return read_ingested(spark, target)

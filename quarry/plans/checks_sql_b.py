@@ -1 +1,334 @@
-"""Checked queries (filled in below)."""
+"""SQL surface, group B (reachable through the SQL pass-through, B1-B22).
+
+Spark SQL covers most forms directly; where it lacks one (DISTINCT ON,
+QUALIFY, ASOF, range join) the key uses the DataFrame operator instead.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from quarry.operators.asof import asof_join
+from quarry.operators.joins import range_join
+from quarry.operators.sqlgaps import distinct_on, group_concat, qualify
+from quarry.plans.checks_sql_a import sql_check
+from quarry.plans.registry import check, table
+
+# ---------------------------------------------------------------- B1, B2
+sql_check("sql_union", """
+SELECT s_nationkey AS nationkey FROM supplier UNION SELECT c_nationkey FROM customer
+UNION ALL SELECT n_nationkey FROM nation WHERE n_regionkey = 0""", None,
+          "supplier", "customer", "nation")
+
+sql_check("sql_intersect", """
+SELECT c_nationkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'
+INTERSECT SELECT s_nationkey FROM supplier""", None, "customer", "supplier")
+
+sql_check("sql_except", """
+SELECT o_custkey AS k, o_orderstatus AS st FROM orders
+EXCEPT ALL SELECT o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 200000""",
+          None, "orders")
+
+# ---------------------------------------------------------------- B3, B4
+sql_check("sql_distinct", """
+SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem""", None, "lineitem")
+
+
+@check("sql_distinct_on", oracle="""
+SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey, o_totalprice
+FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey""")
+def b_distinct_on(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return distinct_on(o, ["o_custkey"], [-F.col("o_totalprice"), F.col("o_orderkey")])
+
+
+sql_check("sql_having", """
+SELECT o_custkey, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15""",
+          None, "orders")
+
+sql_check("sql_agg_filter", """
+SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_discount > 0.05) AS BIGINT) AS n_disc,
+       round(sum(l_quantity) FILTER (WHERE l_tax < 0.04), 2) AS qty_low_tax
+FROM lineitem GROUP BY l_returnflag""", None, "lineitem")
+
+sql_check("sql_count_distinct", """
+SELECT o_orderstatus, CAST(count(DISTINCT o_custkey) AS BIGINT) AS n_customers
+FROM orders GROUP BY o_orderstatus""", None, "orders")
+
+# ---------------------------------------------------------------- B5
+sql_check("sql_rollup", """
+SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS qty,
+       CAST(grouping(l_linestatus) AS BIGINT) AS g
+FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)""", None, "lineitem")
+
+sql_check("sql_cube", """
+SELECT c_mktsegment, c_nationkey, CAST(count(*) AS BIGINT) AS n
+FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)""", None, "customer")
+
+sql_check("sql_grouping_sets", """
+SELECT p_brand, p_type, CAST(count(*) AS BIGINT) AS n, round(avg(p_retailprice), 4) AS avg_price
+FROM part GROUP BY GROUPING SETS ((p_brand), (p_type), ())""", None, "part")
+
+# ---------------------------------------------------------------- B6, B7
+sql_check("sql_ranking_more", """
+SELECT c_custkey,
+  CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS dr,
+  CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS quartile,
+  round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 6) AS pr,
+  round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 6) AS cd
+FROM customer""", None, "customer")
+
+sql_check("sql_frames_rows", """
+SELECT conv_id, turn,
+  first_value(role) OVER (PARTITION BY conv_id ORDER BY turn) AS first_role,
+  last_value(role) OVER (PARTITION BY conv_id ORDER BY turn
+                         ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS last_role,
+  nth_value(role, 2) OVER (PARTITION BY conv_id ORDER BY turn
+                           ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS second_role,
+  CAST(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn
+                               ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS chars_2
+FROM conversations""", None, "conversations")
+
+sql_check("sql_frames_range", """
+SELECT event_id, user_id,
+  CAST(count(*) OVER (PARTITION BY user_id ORDER BY ts
+        RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW) AS BIGINT) AS n_day,
+  round(sum(value) OVER (PARTITION BY user_id ORDER BY ts
+        RANGE BETWEEN INTERVAL '1' DAY PRECEDING AND CURRENT ROW), 2) AS value_day
+FROM events""", None, "events")
+
+
+# ---------------------------------------------------------------- B8
+@check("sql_qualify", oracle="""
+SELECT o_custkey, o_orderkey, o_totalprice FROM orders
+QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2""")
+def b_qualify(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    return qualify(o, F.row_number().over(w), lambda v: v <= 2)
+
+
+# ---------------------------------------------------------------- B9
+@check("sql_range_join", oracle="""
+SELECT o.o_orderkey AS o_orderkey, c.c_custkey AS c_custkey
+FROM orders o JOIN customer c
+  ON o.o_totalprice >= c.c_acctbal * 10 AND o.o_totalprice < c.c_acctbal * 10 + 500""")
+def b_range_join(spark, sf_dir):
+    # orders whose price falls in a customer's band: binned equi-join, no
+    # nested loop over all pairs
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_acctbal") * 10).alias("lo"), (F.col("c_acctbal") * 10 + 500).alias("hi"))
+    return range_join(o, c, "o_totalprice", "lo", "hi", bin_width=500.0).select(
+        "o_orderkey", "c_custkey")
+
+
+# ---------------------------------------------------------------- B10
+sql_check("sql_semi", """
+SELECT d.doc_id, d.lang FROM documents d LEFT SEMI JOIN labels l ON d.doc_id = l.doc_id""", """
+SELECT d.doc_id, d.lang FROM documents d SEMI JOIN labels l ON d.doc_id = l.doc_id""",
+          "documents", "labels")
+
+sql_check("sql_anti", """
+SELECT d.doc_id, d.lang FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l.doc_id""", """
+SELECT d.doc_id, d.lang FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id""",
+          "documents", "labels")
+
+sql_check("sql_not_in", """
+SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+          None, "documents", "labels")
+
+# NOT IN against a list holding a NULL is never true: no rows qualify.
+sql_check("sql_not_in_null", """
+SELECT CAST(count(*) AS BIGINT) AS n FROM documents
+WHERE doc_id NOT IN (SELECT CASE WHEN toxic = 1 THEN NULL ELSE doc_id END FROM labels)""",
+          None, "documents", "labels")
+
+
+# ---------------------------------------------------------------- B11
+@check("sql_asof", oracle="""
+WITH e AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+c AS (SELECT user_id AS c_user, ts AS click_ts, max(event_id) AS click_id
+      FROM events WHERE event_type = 'click' GROUP BY user_id, ts)
+SELECT e.event_id, e.user_id, c.click_id, c.click_ts
+FROM e ASOF JOIN c ON e.user_id = c.c_user AND e.ts >= c.click_ts""")
+def b_asof(spark, sf_dir):
+    ev = table(spark, sf_dir, "events")
+    e = ev.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    c = ev.where("event_type = 'click'").select(
+        F.col("event_id").alias("click_id"), F.col("user_id").alias("c_user"),
+        F.col("ts").alias("click_ts"))
+    return asof_join(e, c, [("user_id", "c_user")], "ts", "click_ts", tiebreak=["click_id"],
+                     bucket="day").select("event_id", "user_id", "click_id", "click_ts")
+
+
+# ---------------------------------------------------------------- B12
+sql_check("sql_quantiles", """
+SELECT l_returnflag, round(median(l_quantity), 4) AS med_qty,
+       round(percentile(l_extendedprice, 0.9), 4) AS p90_price
+FROM lineitem GROUP BY l_returnflag""", """
+SELECT l_returnflag, round(median(l_quantity), 4) AS med_qty,
+       round(quantile_cont(l_extendedprice, 0.9), 4) AS p90_price
+FROM lineitem GROUP BY l_returnflag""", "lineitem")
+
+sql_check("sql_mode", """
+SELECT p_brand, p_size AS mode_size FROM (
+  SELECT p_brand, p_size,
+         row_number() OVER (PARTITION BY p_brand ORDER BY count(*) DESC, p_size) AS rn
+  FROM part GROUP BY p_brand, p_size) t
+WHERE rn = 1""", None, "part")
+
+
+@check("sql_approx_distinct")
+def b_approx(spark, sf_dir):
+    # HyperLogLog++ estimate (±5 % by default); the value differs from any
+    # other engine's sketch, so only the row count is compared
+    li = table(spark, sf_dir, "lineitem")
+    return li.groupBy("l_returnflag").agg(
+        F.approx_count_distinct("l_partkey").alias("approx_parts"))
+
+
+sql_check("sql_stats", """
+SELECT l_linestatus, round(stddev_samp(l_quantity), 6) AS sd_qty,
+       round(var_pop(l_discount), 8) AS var_disc,
+       round(corr(l_quantity, l_extendedprice), 6) AS corr_qp
+FROM lineitem GROUP BY l_linestatus""", None, "lineitem")
+
+# ---------------------------------------------------------------- B13
+sql_check("sql_pivot", """
+SELECT * FROM (SELECT l_returnflag, l_linestatus, l_quantity FROM lineitem)
+PIVOT (round(sum(l_quantity), 2) FOR l_linestatus IN ('O' AS open_qty, 'F' AS filled_qty))""", """
+SELECT l_returnflag,
+       round(sum(l_quantity) FILTER (WHERE l_linestatus = 'O'), 2) AS open_qty,
+       round(sum(l_quantity) FILTER (WHERE l_linestatus = 'F'), 2) AS filled_qty
+FROM lineitem GROUP BY l_returnflag""", "lineitem")
+
+sql_check("sql_unpivot", """
+SELECT c_custkey, metric, val FROM (
+  SELECT c_custkey, c_acctbal AS acctbal, CAST(c_nationkey AS DOUBLE) AS nationkey FROM customer)
+UNPIVOT (val FOR metric IN (acctbal, nationkey))""", """
+SELECT c_custkey, 'acctbal' AS metric, c_acctbal AS val FROM customer
+UNION ALL SELECT c_custkey, 'nationkey', CAST(c_nationkey AS DOUBLE) FROM customer""", "customer")
+
+# ---------------------------------------------------------------- B14
+sql_check("sql_unnest", """
+SELECT vec_id, CAST(pos AS BIGINT) AS pos, CAST(x AS DOUBLE) AS x
+FROM embeddings LATERAL VIEW posexplode(embedding) t AS pos, x""", """
+SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS BIGINT) AS pos,
+       CAST(unnest(embedding) AS DOUBLE) AS x
+FROM embeddings""", "embeddings")
+
+sql_check("sql_list_functions", """
+SELECT vec_id, CAST(size(embedding) AS BIGINT) AS n,
+       CAST(size(filter(embedding, v -> v > 0)) AS BIGINT) AS n_pos,
+       round(aggregate(transform(embedding, v -> CAST(v AS DOUBLE) * CAST(v AS DOUBLE)), 0D,
+                       (acc, v) -> acc + v), 4) AS sq_norm,
+       CAST(element_at(embedding, 1) AS DOUBLE) AS first
+FROM embeddings""", """
+SELECT vec_id, CAST(len(embedding) AS BIGINT) AS n,
+       CAST(len(list_filter(embedding, lambda v: v > 0)) AS BIGINT) AS n_pos,
+       round(list_reduce(list_prepend(0::DOUBLE, list_transform(embedding,
+             lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))), lambda acc, v: acc + v), 4) AS sq_norm,
+       CAST(embedding[1] AS DOUBLE) AS first
+FROM embeddings""", "embeddings")
+
+sql_check("sql_struct_map", """
+SELECT c_custkey, named_struct('seg', c_mktsegment, 'nation', c_nationkey).seg AS seg,
+       map('bal', c_acctbal)['bal'] AS bal
+FROM customer""", """
+SELECT c_custkey, {'seg': c_mktsegment, 'nation': c_nationkey}.seg AS seg,
+       map(['bal'], [c_acctbal])['bal'] AS bal
+FROM customer""", "customer")
+
+# ---------------------------------------------------------------- B15, B16
+sql_check("sql_json_extract", """
+SELECT event_id, get_json_object(props, '$.k') AS k_text,
+       CAST(get_json_object(props, '$.k') AS BIGINT) AS k
+FROM events""", """
+SELECT event_id, json_extract_string(props, '$.k') AS k_text,
+       CAST(json_extract(props, '$.k') AS BIGINT) AS k
+FROM events""", "events")
+
+sql_check("sql_regex", """
+SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme,
+       regexp_replace(url, '[0-9]', '#') AS masked, url RLIKE '/en/' AS is_en
+FROM pages""", """
+SELECT page_id, regexp_extract(url, '^(https?)://', 1) AS scheme,
+       regexp_replace(url, '[0-9]', '#', 'g') AS masked, regexp_matches(url, '/en/') AS is_en
+FROM pages""", "pages")
+
+sql_check("sql_like", """
+SELECT p_partkey, p_name FROM part
+WHERE p_name LIKE '%ring%' OR p_type ILIKE 'small%' OR p_brand LIKE 'Brand#1_'""", None, "part")
+
+sql_check("sql_string_more", """
+SELECT p_partkey, split(p_name, ' ')[0] AS first_word, lpad(CAST(p_size AS STRING), 4, '0') AS size4,
+       rpad(p_brand, 10, '.') AS brand10, replace(p_type, 'SMALL', 'S') AS t,
+       CAST(length(p_name) AS BIGINT) AS len, reverse(p_brand) AS rev
+FROM part""", """
+SELECT p_partkey, string_split(p_name, ' ')[1] AS first_word, lpad(CAST(p_size AS VARCHAR), 4, '0') AS size4,
+       rpad(p_brand, 10, '.') AS brand10, replace(p_type, 'SMALL', 'S') AS t,
+       CAST(length(p_name) AS BIGINT) AS len, reverse(p_brand) AS rev
+FROM part""", "part")
+
+# ---------------------------------------------------------------- B17, B18
+sql_check("sql_date_arith", """
+SELECT o_orderkey, o_orderdate + INTERVAL 30 DAYS AS due,
+       CAST(datediff(DATE'2002-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS age_days,
+       last_day(CAST(o_orderdate AS DATE)) AS month_end,
+       date_add(CAST(o_orderdate AS DATE), 7) AS week_later
+FROM orders""", """
+SELECT o_orderkey, o_orderdate + INTERVAL 30 DAY AS due,
+       CAST(date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS BIGINT) AS age_days,
+       last_day(CAST(o_orderdate AS DATE)) AS month_end,
+       CAST(CAST(o_orderdate AS DATE) + INTERVAL 7 DAY AS DATE) AS week_later
+FROM orders""", "orders")
+
+sql_check("sql_null_functions", """
+SELECT d.doc_id, coalesce(l.quality, -1) AS q, nullif(d.lang, 'en') AS non_en,
+       greatest(d.n_chars, 500) AS at_least, least(d.n_chars, 500) AS at_most
+FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""", None, "documents", "labels")
+
+sql_check("sql_sequence", """
+SELECT conv_id, CAST(s AS BIGINT) AS s
+FROM (SELECT conv_id, max(turn) AS mt FROM conversations GROUP BY conv_id)
+LATERAL VIEW explode(sequence(0, CAST(mt AS INT))) t AS s""", """
+SELECT conv_id, CAST(unnest(generate_series(0, mt)) AS BIGINT) AS s
+FROM (SELECT conv_id, max(turn) AS mt FROM conversations GROUP BY conv_id)""", "conversations")
+
+# ---------------------------------------------------------------- B19-B22
+sql_check("sql_group_by_all", """
+SELECT v.band, o.o_orderstatus, CAST(count(*) AS BIGINT) AS n
+FROM orders o JOIN (VALUES ('1-URGENT', 'rush'), ('2-HIGH', 'rush'), ('3-MEDIUM', 'normal'),
+                           ('4-NOT SPECIFIED', 'normal'), ('5-LOW', 'slow')) AS v(prio, band)
+  ON o.o_orderpriority = v.prio
+GROUP BY ALL""", None, "orders")
+
+
+@check("sql_sample")
+def b_sample(spark, sf_dir):
+    # TABLESAMPLE (10 PERCENT) REPEATABLE (42): a seeded Bernoulli sample,
+    # each task samples its own rows (the sample is the feature)
+    return table(spark, sf_dir, "lineitem").sample(fraction=0.1, seed=42)
+
+
+sql_check("sql_recursive_cte", """
+WITH RECURSIVE chain (conv_id, turn, hops) AS (
+  SELECT conv_id, turn, 0 FROM conversations WHERE turn = 0
+  UNION ALL
+  SELECT c.conv_id, c.turn, ch.hops + 1 FROM chain ch
+  JOIN conversations c ON c.conv_id = ch.conv_id AND c.turn = ch.turn + 1)
+SELECT conv_id, CAST(max(hops) AS BIGINT) AS depth FROM chain GROUP BY conv_id""", None,
+          "conversations")
+
+sql_check("sql_quoted_identifiers", """
+SELECT "c_custkey", "c_name" AS "Customer Name" FROM customer WHERE "c_mktsegment" = 'AUTOMOBILE'""",
+          None, "customer")
+
+
+@check("sql_group_concat_df", oracle="""
+SELECT conv_id, string_agg(role, ',' ORDER BY role) AS roles FROM conversations GROUP BY conv_id""")
+def b_group_concat(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations")
+    return conv.groupBy("conv_id").agg(group_concat("role").alias("roles"))

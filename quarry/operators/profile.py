@@ -80,18 +80,38 @@ def _stats_struct(f: T.StructField, exact_distinct: bool):
     )
 
 
+_STATS_DDL = ("row_count bigint, column_name string, null_count bigint, unique_values bigint, "
+              "min double, max double, mean double")
+
+
 def column_stats(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     """P2, P3, P5 for every column in one aggregate; one row per column."""
     fields = df.schema.fields
     if not fields:
-        return df.sparkSession.createDataFrame(
-            [], "column_name string, null_count bigint, unique_values bigint, min double, "
-                "max double, mean double, row_count bigint")
+        return df.sparkSession.createDataFrame([], _STATS_DDL)
     agg = df.agg(F.count(F.lit(1)).alias("row_count"),
                  F.array(*[_stats_struct(f, exact_distinct) for f in fields]).alias("s"))
     return agg.select("row_count", F.inline("s"))
 
 
+def stats_observation(df: DataFrame) -> list:
+    """The same statistics as aggregate expressions for ``DataFrame.observe``,
+    so a write computes them in passing (no second scan of the data)."""
+    return [F.count(F.lit(1)).alias("row_count")] + [
+        _stats_struct(f, False).alias(f"_c{i}") for i, f in enumerate(df.schema.fields)]
+
+
+def stats_from_observed(spark, observed: dict, n_columns: int) -> DataFrame:
+    """Per-column stats frame from an observed metrics row (one small row
+    per column, built from driver-side metrics, not from data)."""
+    rows = []
+    for i in range(n_columns):
+        c = observed[f"_c{i}"]
+        rows.append((observed["row_count"], c["column_name"], c["null_count"],
+                     c["unique_values"], c["min"], c["max"], c["mean"]))
+    return spark.createDataFrame(rows, _STATS_DDL)
+
+
 def column_samples(df: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int = 42,
                    k: int = ANNOTATION_SAMPLES) -> DataFrame:
     """First ``k`` non-null values (as text) of each column in the sample."""
@@ -109,10 +129,12 @@ def column_samples(df: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int = 42
 
 def profile_columns(df: DataFrame, knowledge: DataFrame | None = None,
                     exact_distinct: bool = False, sample_size: int = SAMPLE_SIZE,
-                    seed: int = 42, with_samples: bool = True) -> DataFrame:
-    """Full per-column profile (P1-P10) of ``df``."""
+                    seed: int = 42, with_samples: bool = True,
+                    stats: DataFrame | None = None) -> DataFrame:
+    """Full per-column profile (P1-P10) of ``df``.  ``stats`` may carry
+    statistics already observed while the data was written."""
     cols = column_frame(df)
-    stats = column_stats(df, exact_distinct)
+    stats = stats if stats is not None else column_stats(df, exact_distinct)
     prof = cols.join(stats, "column_name", "left")
     if with_samples:
         prof = prof.join(column_samples(df, sample_size, seed), "column_name", "left")

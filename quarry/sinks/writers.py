@@ -22,24 +22,34 @@ COMBINE_MAX_ROWS = 1_000_000  # a single-file output above this is refused
 FORMATS = ("parquet", "csv", "json")
 
 
+# Parquet default codec.  zstd writes ~3x faster than gzip at a similar
+# ratio (measured on lineitem); ``compression="gzip"`` is still honoured.
+PARQUET_DEFAULT_CODEC = "zstd"
+
+
 def _compression(fmt: str, compression: str | None) -> str:
-    """Parquet: default gzip, ``none`` = uncompressed, others passed through.
+    """Parquet: default zstd, ``none`` = uncompressed, others passed through.
     CSV/JSON: gzip only when asked for exactly, else plain text."""
     if fmt == "parquet":
-        c = compression or "gzip"
+        c = compression or PARQUET_DEFAULT_CODEC
         return "uncompressed" if c == "none" else c
     return "gzip" if compression == "gzip" else "none"
 
 
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", compression: str | None = None,
                    max_records_per_file: int | None = None, combine: bool = False,
-                   mode: str = "errorifexists", partition_by: list[str] | None = None) -> dict:
-    """Write ``df`` as one snapshot directory and return its accounting (K9)."""
+                   mode: str = "errorifexists", partition_by: list[str] | None = None,
+                   observe: list | None = None) -> dict:
+    """Write ``df`` as one snapshot directory and return its accounting (K9).
+
+    ``observe``: extra aggregate expressions computed during the write (e.g.
+    profile statistics); their values come back under ``observed``.
+    """
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported format: {fmt}")
     df = coerce_mixed_types(df, target=fmt)
     obs = Observation("write")
-    out = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *(observe or []))
     if combine:
         out = out.coalesce(1)
     w = out.write.mode(mode).option("compression", _compression(fmt, compression))
@@ -53,10 +63,11 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", compression:
         w.json(path)
     else:
         w.parquet(path)
-    rows = int(obs.get.get("rows", 0))
+    metrics = obs.get
+    rows = int(metrics.get("rows", 0))
     files = list_files(path) if path.startswith(("/", "file:")) else []
     return {"total_rows": rows, "total_chunks": len(files), "files_written": files,
-            "primary_file": path, "output_path": path, "format": fmt}
+            "primary_file": path, "output_path": path, "format": fmt, "observed": metrics}
 
 
 def write_parquet(df, path, compression=None, **kw):
@@ -124,13 +135,16 @@ def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "replace",
 # ------------------------------------------------------- dispatch
 
 def write_destination(df: DataFrame, destination: Mapping, options: Mapping | None = None,
-                      run_id: str | None = None) -> dict:
+                      run_id: str | None = None, observe: list | None = None) -> dict:
     """Route a frame to its destination.
 
     ``files`` / ``s3``: a snapshot directory ``<path>/<run_id>`` (any Hadoop
     URI; ``s3`` becomes ``s3a://bucket/path``).  ``jdbc`` / ``postgres``: a
     table.  Options: ``format``, ``compression``, ``combine_chunks``,
-    ``chunk_rows``.
+    ``chunk_rows`` (or ``chunked: true`` for the 10,000-row files of the
+    chunked mode).  By default files follow the partitions (one file of
+    roughly ``maxPartitionBytes`` input per task): 10,000-row files would
+    mean billions of small files at 100 TB.
     """
     options = dict(options or {})
     t = destination.get("type")
@@ -144,8 +158,9 @@ def write_destination(df: DataFrame, destination: Mapping, options: Mapping | No
         path = f"{base}/{run_id}" if run_id else base
         if options.get("combine_chunks"):
             return write_combined(df, path, fmt, comp)
-        return write_snapshot(df, path, fmt, comp,
-                              max_records_per_file=options.get("chunk_rows", CHUNK_ROWS))
+        chunk = options.get("chunk_rows") or (CHUNK_ROWS if options.get("chunked") in
+                                               (True, "true") else None)
+        return write_snapshot(df, path, fmt, comp, max_records_per_file=chunk, observe=observe)
     if t in ("jdbc", "postgres"):
         from quarry.sources.jdbc import jdbc_url
         return write_jdbc(df, jdbc_url(destination), destination["table"],

@@ -101,3 +101,26 @@ def r_stream(spark, sf_dir):
         stream_ingest(spark, sf_dir, target, events.schema, checkpoint=ckpt,
                       glob="events.parquet")
     return read_ingested(spark, target)
+
+
+_SCHEMA_COLS = ["doc_id", "lang", "n_chars", "l_doc_id", "quality", "toxic"]
+
+
+@check("dataset_schemas", oracle=f"""
+WITH t AS (SELECT d.doc_id, d.lang, d.n_chars, l.doc_id AS l_doc_id, l.quality, l.toxic
+           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+""" + " UNION ALL ".join(
+    f"""SELECT 'Docs & Labels' AS name, 'docs__labels' AS table_alias, '{c}' AS column_name,
+       round(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2) AS null_percentage
+       FROM t""" for c in _SCHEMA_COLS))
+def r_dataset_schemas(spark, sf_dir):
+    # a dataset ingested from documents ⟕ labels (NULLs in the label columns),
+    # listed with its profile; an unknown id is skipped
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    lab = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "l_doc_id")
+    joined = d.join(lab, d.doc_id == lab.l_doc_id, "left")
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    did = cat.create_dataset("Docs & Labels", {"type": "derived"})
+    cat.ingest(did, source_df=joined)
+    return cat.dataset_schemas([did, "pipe-none"]).select(
+        "name", "table_alias", "column_name", "null_percentage")

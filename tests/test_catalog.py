@@ -119,3 +119,24 @@ def test_stream_ingest_each_file_once(spark, tmp_dir):
     stream_ingest(spark, src, out, nation.schema, checkpoint=ck)  # restart adds nothing
     got = read_ingested(spark, out)
     assert got.count() == 15 and got.distinct().count() == 15
+
+
+def test_ingest_mode():
+    from quarry.catalog import ingest_mode
+    assert ingest_mode("postgres") == "partitioned"
+    assert ingest_mode("synthetic", "auto") == "partitioned"
+    assert ingest_mode("csv") == "batch"
+    assert ingest_mode("csv", True) == "stream" and ingest_mode("csv", "true") == "stream"
+    assert ingest_mode("postgres", False) == "batch"
+    assert ingest_mode("parquet", "false") == "batch"
+
+
+def test_dataset_schemas(cat, spark):
+    did = cat.create_dataset("My Nations", {"type": "parquet", "path": f"{SF001}/nation.parquet"})
+    cat.ingest(did)
+    cat.approve_column("n_name", "Nation name")
+    rows = cat.dataset_schemas([did, "pipe-none"]).orderBy("ordinal").collect()
+    assert [r.column_name for r in rows] == ["n_nationkey", "n_name", "n_regionkey"]
+    assert rows[0].table_alias == "my_nations" and rows[0].source == "parquet"
+    assert rows[1].description == "Nation name" and rows[0].description is None
+    assert len(rows[1].sample_values) == 5 and rows[0].null_percentage == 0.0

@@ -95,6 +95,14 @@ def list_files(path: str) -> list[str]:
     return sorted(out)
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Does ``path`` (any Hadoop URI: file:, s3a:, hdfs:, ...) exist?"""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
+
+
 def query_session(spark: SparkSession) -> SparkSession:
     """An isolated session (own temp views) with the query dialect settings."""
     s = spark.newSession()

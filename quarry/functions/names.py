@@ -36,8 +36,13 @@ def sanitize_columns(df: DataFrame) -> DataFrame:
     return df.toDF(*[sanitize_name(c) for c in df.columns])
 
 
+# Java's \s: the blanks column_key_col trims (Python's strip() trims more)
+_OUTER_BLANKS = re.compile(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$")
+
+
 def column_key(name: str) -> str:
-    return name.lower().strip().replace(" ", "_")
+    """Driver-side form of :func:`column_key_col` (equal for ASCII names)."""
+    return _OUTER_BLANKS.sub("", name.lower()).replace(" ", "_")
 
 
 def column_key_col(c: Column | str) -> Column:

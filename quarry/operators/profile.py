@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.names import column_key_col
+from quarry.functions.names import column_key, column_key_col
 from quarry.functions.nulls import FLOAT_TYPES, is_missing
 from quarry.functions.semantic import auto_description, semantic_type
 
@@ -64,14 +64,16 @@ def sample_rows(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = 42) -> DataFram
     return df.withColumn("_h", h).orderBy("_h").limit(n)
 
 
-def _stats_struct(f: T.StructField, exact_distinct: bool):
+def _stats_struct(i: int, f: T.StructField, exact_distinct: bool):
     c = _q(f.name)
     clean = F.nanvl(c, F.lit(None).cast(f.dataType)) if isinstance(f.dataType, FLOAT_TYPES) else c
     numeric = isinstance(f.dataType, _NUMERIC)
     distinct = F.count_distinct(clean) if exact_distinct else F.approx_count_distinct(clean)
     num = clean.cast("double")
     return F.struct(
+        F.lit(i).alias("ordinal"),
         F.lit(f.name).alias("column_name"),
+        F.lit(f.dataType.simpleString()).alias("data_type"),
         F.count_if(is_missing(f.name, f.dataType)).alias("null_count"),
         distinct.cast("bigint").alias("unique_values"),
         (F.min(num) if numeric else F.lit(None).cast("double")).alias("min"),
@@ -80,17 +82,22 @@ def _stats_struct(f: T.StructField, exact_distinct: bool):
     )
 
 
-_STATS_DDL = ("row_count bigint, column_name string, null_count bigint, unique_values bigint, "
-              "min double, max double, mean double")
+_STATS_DDL = ("row_count bigint, ordinal int, column_name string, data_type string, "
+              "null_count bigint, unique_values bigint, min double, max double, mean double")
 
 
 def column_stats(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
-    """P2, P3, P5 for every column in one aggregate; one row per column."""
+    """P2, P3, P5 for every column in one aggregate; one row per column.
+
+    The column's position and type ride in the aggregate as literals, so
+    the per-column rows need no join with a column list.
+    """
     fields = df.schema.fields
     if not fields:
         return df.sparkSession.createDataFrame([], _STATS_DDL)
     agg = df.agg(F.count(F.lit(1)).alias("row_count"),
-                 F.array(*[_stats_struct(f, exact_distinct) for f in fields]).alias("s"))
+                 F.array(*[_stats_struct(i, f, exact_distinct)
+                           for i, f in enumerate(fields)]).alias("s"))
     return agg.select("row_count", F.inline("s"))
 
 
@@ -98,7 +105,7 @@ def stats_observation(df: DataFrame) -> list:
     """The same statistics as aggregate expressions for ``DataFrame.observe``,
     so a write computes them in passing (no second scan of the data)."""
     return [F.count(F.lit(1)).alias("row_count")] + [
-        _stats_struct(f, False).alias(f"_c{i}") for i, f in enumerate(df.schema.fields)]
+        _stats_struct(i, f, False).alias(f"_c{i}") for i, f in enumerate(df.schema.fields)]
 
 
 def stats_from_observed(spark, observed: dict, n_columns: int) -> DataFrame:
@@ -107,8 +114,8 @@ def stats_from_observed(spark, observed: dict, n_columns: int) -> DataFrame:
     rows = []
     for i in range(n_columns):
         c = observed[f"_c{i}"]
-        rows.append((observed["row_count"], c["column_name"], c["null_count"],
-                     c["unique_values"], c["min"], c["max"], c["mean"]))
+        rows.append((observed["row_count"], c["ordinal"], c["column_name"], c["data_type"],
+                     c["null_count"], c["unique_values"], c["min"], c["max"], c["mean"]))
     return spark.createDataFrame(rows, _STATS_DDL)
 
 
@@ -132,12 +139,17 @@ def profile_columns(df: DataFrame, knowledge: DataFrame | None = None,
                     seed: int = 42, with_samples: bool = True,
                     stats: DataFrame | None = None) -> DataFrame:
     """Full per-column profile (P1-P10) of ``df``.  ``stats`` may carry
-    statistics already observed while the data was written."""
-    cols = column_frame(df)
-    stats = stats if stats is not None else column_stats(df, exact_distinct)
-    prof = cols.join(stats, "column_name", "left")
+    statistics already observed while the data was written.
+
+    Every frame joined here has one row per column of ``df`` (samples), or
+    is cut down to the keys of those columns (knowledge), so its size is
+    bounded by the schema width and it is broadcast: the only exchange is
+    the aggregate's own.
+    """
+    prof = stats if stats is not None else column_stats(df, exact_distinct)
     if with_samples:
-        prof = prof.join(column_samples(df, sample_size, seed), "column_name", "left")
+        prof = prof.join(F.broadcast(column_samples(df, sample_size, seed)), "column_name",
+                         "left")
     else:
         prof = prof.withColumn("samples", F.lit(None).cast("array<string>"))
     sem = semantic_type(F.col("column_name"), F.col("data_type"))
@@ -153,24 +165,38 @@ def profile_columns(df: DataFrame, knowledge: DataFrame | None = None,
                                          F.col("semantic_type")))
             .withColumn("column_key", column_key_col("column_name")))
     # booleans are typed "boolean" and get no min / max / mean
-    return apply_knowledge(prof, knowledge).orderBy("ordinal")
+    return apply_knowledge(prof, knowledge, keys=df.columns).orderBy("ordinal")
+
+
+_KNOWLEDGE_EMPTY = ("column_key string, description string, business_meaning string, "
+                    "verified_at timestamp")
 
 
-def apply_knowledge(profile: DataFrame, knowledge: DataFrame | None) -> DataFrame:
+def apply_knowledge(profile: DataFrame, knowledge: DataFrame | None,
+                    keys: list[str] | None = None) -> DataFrame:
     """Overlay verified column knowledge by column key (P10).
 
-    Knowledge has one row per column key (curated, small); the join is a
-    plain left join and AQE broadcasts it once its size is known.
+    ``keys``: the column names the profile can hold (known on the driver for
+    one table's profile).  Knowledge is then cut to those keys before the
+    join, which bounds it by the schema width, and broadcast.  Without
+    ``keys`` (profiles of a whole catalog) it is a plain left join planned
+    by Spark (AQE broadcasts whichever side turns out small).
     """
+    cols = ("description", "business_meaning", "verified_at", "human_verified", "needs_review")
+    base = profile.drop(*[c for c in cols if c in profile.columns])
     if knowledge is None:
-        knowledge = profile.sparkSession.createDataFrame(
-            [], "column_key string, description string, business_meaning string, "
-                "verified_at timestamp")
+        return (base.withColumn("description", F.lit(None).cast("string"))
+                .withColumn("business_meaning", F.lit(None).cast("string"))
+                .withColumn("verified_at", F.lit(None).cast("timestamp"))
+                .withColumn("human_verified", F.lit(False))
+                .withColumn("needs_review", F.lit(True)))
     k = knowledge.select("column_key", F.col("description").alias("_kd"),
                          F.col("business_meaning").alias("_kb"),
                          F.col("verified_at").alias("_kv"))
-    base = profile.drop(*[c for c in ("description", "business_meaning", "verified_at",
-                                      "human_verified", "needs_review") if c in profile.columns])
+    if keys is not None and all(c.isascii() for c in keys):
+        # same rule as column_key_col for ASCII names (lower, trim, blanks)
+        wanted = sorted({column_key(c) for c in keys})
+        k = F.broadcast(k.where(F.col("column_key").isin(wanted)))
     hit = F.col("_kd").isNotNull()
     return (base.join(k, "column_key", "left")
             .withColumn("description", F.col("_kd"))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.functions.semantic import semantic_type
 from quarry.operators.discovery import dataset_search, dataset_search_topk, join_suggestions
-from quarry.operators.profile import column_frame
+from quarry.operators.profile import profile_columns
 from quarry.plans.checks_profile import DUCK_COLUMNS, DUCK_SEMANTIC
 from quarry.plans.registry import check, table
 
@@ -55,8 +54,10 @@ def d_topk(spark, sf_dir):
 
 
 def _cols(spark, sf_dir, name):
-    c = column_frame(table(spark, sf_dir, name))
-    return c.withColumn("semantic_type", semantic_type(F.col("column_name"), F.col("data_type")))
+    # a dataset's column list with semantic types is its profile (one pass
+    # over the whole table), as the catalog stores it after an ingest
+    return profile_columns(table(spark, sf_dir, name), with_samples=False).select(
+        "ordinal", "column_name", "semantic_type")
 
 
 _PAIR_RULE = """

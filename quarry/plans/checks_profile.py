@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from quarry.functions.names import column_key_col
-from quarry.functions.semantic import auto_description, semantic_type
-from quarry.operators.profile import (apply_knowledge, column_frame, column_stats,
-                                      profile_columns, profile_table, review_count)
+from quarry.operators.profile import (apply_knowledge, column_stats, profile_columns,
+                                      profile_table, review_count)
 from quarry.plans.registry import TABLES, check, table
 
 # ---- DuckDB side: Spark type names and the semantic rule over information_schema
@@ -38,11 +37,46 @@ DUCK_COLUMNS = f"""(SELECT table_name, column_name, ordinal_position,
    {DUCK_SPARK_TYPE} AS spark_type FROM information_schema.columns
    WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)}))"""
 
-
-def _all_columns(spark, sf_dir):
-    """One row per column of every driver table (from the Parquet schemas)."""
-    frames = [column_frame(table(spark, sf_dir, t)).withColumn("table_name", F.lit(t))
-              for t in TABLES]
+# The columns of the driver tables (TESTDATA.md), in order;
+# float columns (NaN counts as missing) are marked with a trailing "~".
+DRIVER_COLUMNS = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_acctbal~ c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey s_acctbal~",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice~",
+    "orders": "o_orderkey o_custkey o_orderstatus o_totalprice~ o_orderdate o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity~ l_extendedprice~ "
+                "l_discount~ l_tax~ l_returnflag l_linestatus l_shipdate",
+    "events": "event_id ts user_id event_type value~ props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id embedding label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
+
+
+def _duck_missing(c: str) -> str:
+    return f"{c[:-1]} IS NULL OR isnan({c[:-1]})" if c.endswith("~") else f"{c} IS NULL"
+
+
+# Per column of every driver table: its missing values over the full table.
+DUCK_NULLS = "(" + " UNION ALL ".join(
+    f"SELECT '{t}' AS t, '{c.rstrip('~')}' AS c, "
+    f"CAST(count(*) FILTER (WHERE {_duck_missing(c)}) AS BIGINT) AS null_count FROM {t}"
+    for t, cols in DRIVER_COLUMNS.items() for c in cols.split()) + ")"
+
+DUCK_PROFILE = f"""(SELECT c.*, n.null_count FROM {DUCK_COLUMNS} c
+   JOIN {DUCK_NULLS} n ON n.t = c.table_name AND n.c = c.column_name)"""
+
+
+def _profiles(spark, sf_dir):
+    """Profile of every column of every driver table (one aggregate pass
+    over each whole table), tagged with the table name."""
+    frames = [profile_columns(table(spark, sf_dir, t), with_samples=False)
+              .withColumn("table_name", F.lit(t)) for t in TABLES]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
@@ -94,13 +128,15 @@ def p_numeric(spark, sf_dir):
     return stats.select("column_name", "min", "max", F.round("mean", 6).alias("mean"))
 
 
+# Semantic type, description and column key come with each column's
+# profile; the missing-value count shows the table was profiled whole.
 @check("semantic_types", oracle=f"""
-SELECT table_name, column_name, spark_type AS data_type, {DUCK_SEMANTIC} AS semantic_type
-FROM {DUCK_COLUMNS} c""")
+SELECT table_name, column_name, spark_type AS data_type, {DUCK_SEMANTIC} AS semantic_type,
+       null_count
+FROM {DUCK_PROFILE} c""")
 def p_semantic(spark, sf_dir):
-    cols = _all_columns(spark, sf_dir)
-    return cols.select("table_name", "column_name", "data_type",
-                       semantic_type(F.col("column_name"), F.col("data_type")).alias("semantic_type"))
+    return _profiles(spark, sf_dir).select("table_name", "column_name", "data_type",
+                                           "semantic_type", "null_count")
 
 
 _DUCK_READABLE = """array_to_string(list_transform(string_split(replace(replace(column_name, '_', ' '), '-', ' '), ' '),
@@ -111,22 +147,21 @@ _DUCK_READABLE = """array_to_string(list_transform(string_split(replace(replace(
 SELECT table_name, column_name,
   CASE sem WHEN 'email' THEN 'Email address - ' || r WHEN 'phone' THEN 'Phone number - ' || r
     WHEN 'identifier' THEN 'Unique identifier - ' || r WHEN 'currency' THEN 'Monetary amount - ' || r
-    WHEN 'datetime' THEN 'Date/time value - ' || r ELSE r || ' (' || spark_type || ')' END AS auto_description
-FROM (SELECT *, {DUCK_SEMANTIC} AS sem, {_DUCK_READABLE} AS r FROM {DUCK_COLUMNS} c) t""")
+    WHEN 'datetime' THEN 'Date/time value - ' || r ELSE r || ' (' || spark_type || ')' END AS auto_description,
+  null_count
+FROM (SELECT *, {DUCK_SEMANTIC} AS sem, {_DUCK_READABLE} AS r FROM {DUCK_PROFILE} c) t""")
 def p_descriptions(spark, sf_dir):
-    cols = _all_columns(spark, sf_dir)
-    sem = semantic_type(F.col("column_name"), F.col("data_type"))
-    return cols.select("table_name", "column_name",
-                       auto_description(F.col("column_name"), F.col("data_type"), sem)
-                       .alias("auto_description"))
+    return _profiles(spark, sf_dir).select("table_name", "column_name", "auto_description",
+                                           "null_count")
 
 
 @check("column_key", oracle=f"""
-SELECT table_name, column_name, replace(trim(lower(column_name)), ' ', '_') AS column_key
-FROM {DUCK_COLUMNS} c""")
+SELECT table_name, column_name, replace(trim(lower(column_name)), ' ', '_') AS column_key,
+       null_count
+FROM {DUCK_PROFILE} c""")
 def p_column_key(spark, sf_dir):
-    return _all_columns(spark, sf_dir).select(
-        "table_name", "column_name", column_key_col("column_name").alias("column_key"))
+    return _profiles(spark, sf_dir).select("table_name", "column_name", "column_key",
+                                           "null_count")
 
 
 def _knowledge(spark):

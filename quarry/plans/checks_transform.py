@@ -51,32 +51,35 @@ def t_left(spark, sf_dir):
     return run_transformation(spark, cfg)
 
 
+# Right / full: English documents against all labels / the good-quality
+# labels, so both sides keep rows without a partner.
 @check("transform_right", oracle="""
-SELECT s.s_suppkey AS s_suppkey, n.n_nationkey AS n_nationkey, n.n_name AS n_name
-FROM (SELECT * FROM supplier WHERE s_nationkey < 10) s
-RIGHT JOIN nation n ON s.s_nationkey = n.n_nationkey""")
+SELECT l.doc_id AS label_doc, l.quality AS quality, d.doc_id AS doc_id, d.lang AS lang
+FROM (SELECT * FROM documents WHERE lang = 'en') d
+RIGHT JOIN labels l ON d.doc_id = l.doc_id""")
 def t_right(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_nationkey < 10")
-    n = table(spark, sf_dir, "nation")
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "lang")
+    lab = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_doc"), "quality")
     out = run_transformation(spark, {
-        "sources": [{"alias": "s"}, {"alias": "n"}],
-        "join": {"left": "s", "right": "n", "on": "s.s_nationkey = n.n_nationkey", "how": "right"}},
-        frames={"s": s, "n": n})
-    return out.select("s_suppkey", "n_nationkey", "n_name")
+        "sources": [{"alias": "d"}, {"alias": "l"}],
+        "join": {"left": "d", "right": "l", "on": "d.doc_id = l.label_doc", "how": "right"}},
+        frames={"d": d, "l": lab})
+    return out.select("label_doc", "quality", "doc_id", "lang")
 
 
 @check("transform_outer", oracle="""
-SELECT s.s_suppkey AS s_suppkey, n.n_nationkey AS n_nationkey
-FROM (SELECT * FROM supplier WHERE s_nationkey < 10) s
-FULL OUTER JOIN (SELECT * FROM nation WHERE n_nationkey >= 5) n ON s.s_nationkey = n.n_nationkey""")
+SELECT d.doc_id AS doc_id, d.n_chars AS n_chars, l.doc_id AS label_doc, l.toxic AS toxic
+FROM (SELECT * FROM documents WHERE lang = 'en') d
+FULL OUTER JOIN (SELECT * FROM labels WHERE quality = 1) l ON d.doc_id = l.doc_id""")
 def t_outer(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").where("s_nationkey < 10")
-    n = table(spark, sf_dir, "nation").where("n_nationkey >= 5")
+    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "n_chars")
+    lab = (table(spark, sf_dir, "labels").where("quality = 1")
+           .select(F.col("doc_id").alias("label_doc"), "toxic"))
     out = run_transformation(spark, {
-        "sources": [{"alias": "s"}, {"alias": "n"}],
-        "join": {"left": "s", "right": "n", "on": "s.s_nationkey = n.n_nationkey", "how": "outer"}},
-        frames={"s": s, "n": n})
-    return out.select("s_suppkey", "n_nationkey")
+        "sources": [{"alias": "d"}, {"alias": "l"}],
+        "join": {"left": "d", "right": "l", "on": "d.doc_id = l.label_doc", "how": "outer"}},
+        frames={"d": d, "l": lab})
+    return out.select("doc_id", "n_chars", "label_doc", "toxic")
 
 
 @check("transform_semi", oracle="""

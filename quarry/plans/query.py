@@ -76,9 +76,14 @@ class QueryResult:
     def columns(self) -> list[str]:
         return self.df.columns
 
-    def collect(self) -> dict:
-        """Materialise (bounded by the cap) into the reported shape."""
-        rows = [r.asDict(recursive=True) for r in self.df.collect()]
+    def collect(self, max_rows: int = EXPORT_CAP) -> dict:
+        """Materialise into the reported shape.  At most ``max_rows`` rows
+        reach the driver (the cap, or the statement's own LIMIT, is usually
+        smaller); ``truncated`` says when more were there.  Whole results
+        are written by executors (``export_result``), not collected."""
+        bound = min(self.cap, max_rows) if self.cap is not None else max_rows
+        got = self.df.limit(bound + 1).collect()
+        rows = [r.asDict(recursive=True) for r in got[:bound]]
         out = {
             "rows": rows,
             "columns": self.columns,
@@ -86,6 +91,7 @@ class QueryResult:
             "execution_time_ms": round((time.time() - self.started) * 1000, 2),
             "views": self.views,
             "query_executed": self.sql,
+            "truncated": len(got) > bound,
         }
         if not rows:
             out["hints"] = [

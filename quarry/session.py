@@ -6,7 +6,6 @@ gaps, so the same code runs in tests (``local[*]``) and on a cluster.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -51,8 +50,10 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def shared_dir(spark: SparkSession) -> str:
     """The cluster-shared folder for lineage cuts and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir);
-    only when neither is set (a bare test session) create a local one.
+    Read from ``spark.checkpoint.dir`` (or the context's checkpoint dir).
+    Only a local-mode session (tests) with neither set gets a folder of its
+    own; on a cluster a machine-local folder would be lost with its
+    executor, so an unset folder is an error there.
     """
     sc = spark.sparkContext
     d = None
@@ -63,6 +64,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not d:
         d = sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         d = tempfile.mkdtemp(prefix="quarry-ckpt-")
         sc.setCheckpointDir(d)
     return d.rstrip("/")
@@ -74,32 +77,32 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([base, "quarry", *parts, uuid.uuid4().hex])
 
 
-def local_path(path: str) -> str:
-    """Strip a ``file:`` scheme for filesystem listing of local paths."""
-    if path.startswith("file://"):
-        return path[len("file://"):]
-    if path.startswith("file:"):
-        return path[len("file:"):]
-    return path
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def list_files(path: str) -> list[str]:
-    """Data files under a local snapshot directory (Spark's hidden files skipped)."""
-    p = local_path(path)
+def list_files(spark: SparkSession, path: str) -> list[str]:
+    """Data files under a snapshot directory on any Hadoop file system
+    (``file:``, ``s3a:``, ``hdfs:`` ...); Spark's hidden files are skipped.
+    A listing of names only: no data passes through the driver."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return []
     out = []
-    for root, _dirs, files in os.walk(p):
-        for f in files:
-            if f.startswith(("_", ".")):
-                continue
-            out.append(os.path.join(root, f))
+    it = fs.listFiles(p, True)
+    while it.hasNext():
+        f = it.next().getPath()
+        if f.getName().startswith(("_", ".")):
+            continue
+        out.append(f.toString())
     return sorted(out)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Does ``path`` (any Hadoop URI: file:, s3a:, hdfs:, ...) exist?"""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    p, fs = _fs(spark, path)
     return bool(fs.exists(p))
 
 

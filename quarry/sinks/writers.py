@@ -65,7 +65,7 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", compression:
         w.parquet(path)
     metrics = obs.get
     rows = int(metrics.get("rows", 0))
-    files = list_files(path) if path.startswith(("/", "file:")) else []
+    files = list_files(df.sparkSession, path)
     return {"total_rows": rows, "total_chunks": len(files), "files_written": files,
             "primary_file": path, "output_path": path, "format": fmt, "observed": metrics}
 

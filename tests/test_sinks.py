@@ -16,7 +16,7 @@ def test_chunked_no_file_above_cap(spark, tmp_dir):
     df = spark.range(25000).withColumn("v", F.col("id") * 2)
     m = write_chunked(df, tmp_dir, chunk_rows=10000)
     assert m["total_rows"] == 25000
-    counts = [spark.read.parquet("file:" + f).count() for f in list_files(tmp_dir)]
+    counts = [spark.read.parquet(f).count() for f in list_files(spark, tmp_dir)]
     assert sum(counts) == 25000 and max(counts) <= 10000
     assert spark.read.parquet(tmp_dir).count() == 25000  # the whole directory is the snapshot
 
@@ -48,8 +48,8 @@ def test_compression_rules(spark, tmp_dir):
     write_snapshot(df, tmp_dir + "/gz", "csv", "gzip")
     write_snapshot(df, tmp_dir + "/plain", "csv", "snappy")
     write_snapshot(df, tmp_dir + "/none", "parquet", "none")
-    assert all(f.endswith(".gz") for f in list_files(tmp_dir + "/gz"))
-    assert not any(f.endswith(".gz") for f in list_files(tmp_dir + "/plain"))
+    assert all(f.endswith(".gz") for f in list_files(spark, tmp_dir + "/gz"))
+    assert not any(f.endswith(".gz") for f in list_files(spark, tmp_dir + "/plain"))
     assert spark.read.parquet(tmp_dir + "/none").count() == 10
     with pytest.raises(ValueError, match="Unsupported format"):
         write_snapshot(df, tmp_dir + "/x", "excel")

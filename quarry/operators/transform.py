@@ -26,6 +26,9 @@ from quarry.operators.asof import asof_join
 from quarry.operators.joins import dedupe_columns, spark_join_type
 
 _CMP = re.compile(r"^\s*([\w.`]+)\s*(=|>=|<=)\s*([\w.`]+)\s*$")
+_RANGE_CMP = re.compile(r"^\s*([\w.`]+)\s*(>=|>|<=|<)\s*([\w.`]+)\s*$")
+_FLIP = {">=": "<=", ">": "<", "<=": ">=", "<": ">"}
+_NESTED_LOOPS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
 def _strip_alias(ref: str, alias: str) -> str | None:
@@ -60,7 +63,73 @@ def _asof_terms(on: str, left: str, right: str):
     return keys, time
 
 
+def _resolve(ref: str, left: str, right: str):
+    for alias in (left, right):
+        col = _strip_alias(ref, alias)
+        if col is not None:
+            return alias, col
+    return None
+
+
+def _range_terms(on: str, left: str, right: str):
+    """``a.x >= b.lo AND a.x < b.hi`` (any of >, >=, <, <=, either order of
+    operands) -> (point alias, point column, lo column, hi column); else None."""
+    terms = re.split(r"\s+AND\s+", on.strip(), flags=re.I)
+    if len(terms) != 2:
+        return None
+    parsed = []
+    for term in terms:
+        m = _RANGE_CMP.match(term)
+        if not m:
+            return None
+        a, op, b = m.groups()
+        ra, rb = _resolve(a, left, right), _resolve(b, left, right)
+        if ra is None or rb is None or ra[0] == rb[0]:
+            return None
+        parsed.append((ra, op, rb))
+    for side in (left, right):
+        # each term as "point <op> bound" seen from this side
+        norm = [(ra[1], op, rb[1]) if ra[0] == side else (rb[1], _FLIP[op], ra[1])
+                for ra, op, rb in parsed]
+        if norm[0][0] != norm[1][0]:
+            continue
+        lower = [bnd for _, op, bnd in norm if op in (">=", ">")]
+        upper = [bnd for _, op, bnd in norm if op in ("<=", "<")]
+        if len(lower) == 1 and len(upper) == 1 and lower[0] != upper[0]:
+            return side, norm[0][0], lower[0], upper[0]
+    return None
+
+
+def _binned_range_join(ldf, rdf, left, right, on, jt, point_side, point, lo, hi, width):
+    """Range condition as an equi-join on fixed-width bins plus the exact
+    condition as residual: each range row is repeated for the bins it
+    covers, each point falls in one bin, so every (point, range) pair meets
+    exactly once and no task compares all pairs."""
+    pts, rng = (ldf, rdf) if point_side == left else (rdf, ldf)
+    if width is None:
+        width = rng.agg(F.avg(F.col(f"`{hi}`") - F.col(f"`{lo}`"))).first()[0]
+    width = float(width) if width and width > 0 else 1.0
+    w = F.lit(width)
+    pts = pts.withColumn("_qbin", F.floor(F.col(f"`{point}`") / w))
+    rng = rng.withColumn("_qbin", F.explode(F.sequence(F.floor(F.col(f"`{lo}`") / w),
+                                                       F.floor(F.col(f"`{hi}`") / w))))
+    lb, rb = (pts, rng) if point_side == left else (rng, pts)
+    cond = (F.col(f"{left}._qbin") == F.col(f"{right}._qbin")) & F.expr(on)
+    out = lb.alias(left).join(rb.alias(right), cond, jt)
+    return out.drop(F.col(f"{left}._qbin")) if jt in ("left_semi", "left_anti") else \
+        out.drop(F.col(f"{left}._qbin")).drop(F.col(f"{right}._qbin"))
+
+
 def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
+    """One join of two aliased sources.
+
+    Equi-joins (with any extra residual condition) are planned by Spark:
+    shuffle on the keys, or broadcast when the planner's size check allows
+    it.  A pure range condition (``l.x >= r.lo AND l.x < r.hi``) becomes a
+    binned equi-join (``bin_width`` from the config, else the ranges' mean
+    length).  Any other condition that would plan as a nested loop or a
+    Cartesian product, i.e. compare all pairs, is refused.
+    """
     left, right = join["left"], join["right"]
     how = (join.get("how") or "left").strip().lower()
     ldf, rdf = frames[left], frames[right]
@@ -69,7 +138,22 @@ def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
         return asof_join(ldf, rdf, keys, lt, rt, tiebreak=join.get("tiebreak", ()),
                          bucket=join.get("bucket", "hour"))
     jt = spark_join_type(how)
-    return ldf.alias(left).join(rdf.alias(right), F.expr(join["on"]), jt)
+    rng = _range_terms(join["on"], left, right)
+    if rng is not None:
+        side, point, lo, hi = rng
+        # every pair must meet once, and a range row is repeated per bin:
+        # only joins that keep no unmatched range rows may use bins
+        if jt == "inner" or (side == left and jt in ("left", "left_semi", "left_anti")):
+            return _binned_range_join(ldf, rdf, left, right, join["on"], jt, side, point,
+                                      lo, hi, join.get("bin_width"))
+    out = ldf.alias(left).join(rdf.alias(right), F.expr(join["on"]), jt)
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    if any(op in plan for op in _NESTED_LOOPS):
+        raise ValueError(
+            f"join condition {join['on']!r} has no equality term: it would compare all "
+            "pairs of rows. Add an equality, or write a range as "
+            "'l.x >= r.lo AND l.x < r.hi' (optionally with bin_width).")
+    return out
 
 
 def aggregate(df: DataFrame, agg: Mapping) -> DataFrame:

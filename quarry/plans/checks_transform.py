@@ -207,3 +207,45 @@ def t_dedupe(spark, sf_dir):
                  "on": "a.n_nationkey = b.n_nationkey"}},
         frames={"a": sn, "b": n.drop("n_regionkey")})
     return out
+
+
+# A pure range condition: orders whose price falls in a customer's band.
+# The engine turns it into an equi-join on price bins (bin width = mean
+# band length, 500 here) with the exact test as residual, never all pairs.
+_BANDS = "(SELECT c_custkey, c_acctbal * 10 AS lo, c_acctbal * 10 + 500 AS hi FROM customer)"
+
+
+def _bands(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    c = table(spark, sf_dir, "customer").select(
+        "c_custkey", (F.col("c_acctbal") * 10).alias("lo"),
+        (F.col("c_acctbal") * 10 + 500).alias("hi"))
+    return o, c
+
+
+@check("transform_range", oracle=f"""
+SELECT o.o_orderkey AS o_orderkey, c.c_custkey AS c_custkey
+FROM orders o JOIN {_BANDS} c ON o.o_totalprice >= c.lo AND o.o_totalprice < c.hi""")
+def t_range(spark, sf_dir):
+    o, c = _bands(spark, sf_dir)
+    return run_transformation(spark, {
+        "sources": [{"alias": "o"}, {"alias": "c"}],
+        "join": {"left": "o", "right": "c", "how": "inner",
+                 "on": "o.o_totalprice >= c.lo AND o.o_totalprice < c.hi"}},
+        frames={"o": o, "c": c}).select("o_orderkey", "c_custkey")
+
+
+@check("transform_range_left", oracle=f"""
+SELECT o.o_orderkey AS o_orderkey, CAST(count(c.c_custkey) AS BIGINT) AS n_bands
+FROM orders o LEFT JOIN {_BANDS} c ON c.lo <= o.o_totalprice AND c.hi > o.o_totalprice
+GROUP BY o.o_orderkey""")
+def t_range_left(spark, sf_dir):
+    # every order is kept; orders in no band count 0
+    o, c = _bands(spark, sf_dir)
+    return run_transformation(spark, {
+        "sources": [{"alias": "o"}, {"alias": "c"}],
+        "join": {"left": "o", "right": "c", "how": "left",
+                 "on": "c.lo <= o.o_totalprice AND c.hi > o.o_totalprice"},
+        "aggregate": {"group_by": ["o.o_orderkey"],
+                      "metrics": {"n_bands": "CAST(count(c.c_custkey) AS BIGINT)"}}},
+        frames={"o": o, "c": c})

@@ -172,11 +172,18 @@ def write_destination(df: DataFrame, destination: Mapping, options: Mapping | No
 
 # --------------------------------------------------------------- export (K8)
 
-def export_result(df: DataFrame, path: str, fmt: str = "csv") -> dict:
+def export_result(df: DataFrame, path: str, fmt: str = "csv",
+                  max_rows: int = COMBINE_MAX_ROWS) -> dict:
     """Write a (capped) query result as one file.  Empty results and unknown
-    formats are errors.  The cap bounds the single writing task."""
+    formats are errors.  The cap bounds the single writing task; a result
+    whose own LIMIT lets more than ``max_rows`` rows through is refused (a
+    bounded ``limit`` count decides, not a full pass)."""
     if fmt not in ("csv", "json"):
         raise ValueError(f"Unsupported export format: {fmt}")
-    if not df.limit(1).take(1):
+    n = df.limit(max_rows + 1).count()
+    if n == 0:
         raise ValueError("Query returned no results to export")
+    if n > max_rows:
+        raise ValueError(f"export refused: more than {max_rows} rows in one file; "
+                         "write a snapshot instead")
     return write_snapshot(df, path, fmt, None, combine=True)

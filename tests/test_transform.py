@@ -135,3 +135,59 @@ def test_sql_gap_helpers(spark):
     assert sorted(tuple(r) for r in top.collect()) == [(1, 5, "b"), (2, 9, "a")]
     gc = df.groupBy("k").agg(group_concat("s").alias("g")).orderBy("k").collect()
     assert [r.g for r in gc] == ["a,b", "a,c"]
+
+
+def _range_frames(spark, seed=7):
+    rnd = random.Random(seed)
+    pts = [(i, rnd.choice([None, round(rnd.uniform(0, 100), 1)])) for i in range(120)]
+    rngs = []
+    for j in range(40):
+        lo = round(rnd.uniform(-10, 100), 1)
+        rngs.append((j, lo, round(lo + rnd.choice([0.0, 0.5, 3.0, 25.0, 80.0]), 1)))
+    rngs.append((99, None, 5.0))
+    p = spark.createDataFrame(pts, "pid int, x double")
+    r = spark.createDataFrame(rngs, "rid int, lo double, hi double")
+    return pts, rngs, p, r
+
+
+@pytest.mark.parametrize("how,width", [("inner", None), ("inner", 0.7), ("left", None),
+                                       ("semi", 10.0), ("anti", None)])
+def test_transform_range_condition_matches_brute_force(spark, how, width):
+    pts, rngs, p, r = _range_frames(spark)
+    join = {"left": "p", "right": "r", "how": how, "on": "r.lo <= p.x AND p.x < r.hi"}
+    if width:
+        join["bin_width"] = width
+    out = run_transformation(spark, {"sources": [{"alias": "p"}, {"alias": "r"}],
+                                     "join": join}, frames={"p": p, "r": r})
+    assert "_qbin" not in out.columns
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+    def hit(x, lo, hi):
+        return x is not None and lo is not None and hi is not None and lo <= x < hi
+    pairs = [(pid, rid) for pid, x in pts for rid, lo, hi in rngs if hit(x, lo, hi)]
+    matched = {pid for pid, _ in pairs}
+    if how == "inner":
+        want = sorted(pairs)
+        got = sorted((r_.pid, r_.rid) for r_ in out.collect())
+    elif how == "left":
+        want = sorted(pairs + [(pid, None) for pid, _ in pts if pid not in matched],
+                      key=lambda t: (t[0], -1 if t[1] is None else t[1]))
+        got = sorted(((r_.pid, r_.rid) for r_ in out.collect()),
+                     key=lambda t: (t[0], -1 if t[1] is None else t[1]))
+    elif how == "semi":
+        want = sorted(matched)
+        got = sorted(r_.pid for r_ in out.collect())
+    else:
+        want = sorted(pid for pid, _ in pts if pid not in matched)
+        got = sorted(r_.pid for r_ in out.collect())
+    assert got == want
+
+
+def test_transform_refuses_all_pairs_condition(spark):
+    _, _, p, r = _range_frames(spark)
+    with pytest.raises(ValueError, match="all pairs"):
+        run_transformation(spark, {"sources": [{"alias": "p"}, {"alias": "r"}],
+                                   "join": {"left": "p", "right": "r", "how": "inner",
+                                            "on": "p.x > r.lo"}},
+                           frames={"p": p, "r": r})

@@ -15,7 +15,9 @@ Spark has no ASOF JOIN, so it is composed from DataFrame operations:
 
 Bucketing is what keeps a hot key (say a third of all rows) from landing in
 one task: its rows spread over as many tasks as it has buckets, and step 2
-works on one row per bucket.  ``bucket=None`` partitions by key only.
+works on one row per bucket.  Timestamps take ``"hour"`` (default),
+``"day"`` or a width in seconds (finer buckets for denser keys); numbers
+take a width.  ``bucket=None`` partitions by key only.
 """
 
 from __future__ import annotations
@@ -37,7 +39,11 @@ def _bucket(t: Column, dtype: T.DataType, bucket) -> Column:
             return F.struct(F.to_date(t).alias("d"), F.lit(0).alias("h"))
         if bucket == "hour":
             return F.struct(F.to_date(t).alias("d"), F.hour(t).alias("h"))
-        raise ValueError(f"time bucket must be 'hour' or 'day', not {bucket!r}")
+        if isinstance(bucket, (int, float)) and bucket > 0:
+            # fixed width in seconds: finer buckets split a hot key further
+            secs = F.unix_micros(t.cast("timestamp")) / F.lit(1_000_000.0)
+            return F.floor(secs / F.lit(float(bucket)))
+        raise ValueError(f"time bucket must be 'hour', 'day' or seconds > 0, not {bucket!r}")
     return F.floor(t / F.lit(float(bucket)))
 
 

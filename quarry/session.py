@@ -83,21 +83,30 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def list_files(spark: SparkSession, path: str) -> list[str]:
+def list_files(spark: SparkSession, path: str, limit: int | None = None) -> list[str]:
     """Data files under a snapshot directory on any Hadoop file system
     (``file:``, ``s3a:``, ``hdfs:`` ...); Spark's hidden files are skipped.
-    A listing of names only: no data passes through the driver."""
+    A listing of names only (at most ``limit``): no data passes through
+    the driver."""
+    return count_files(spark, path, limit)[1]
+
+
+def count_files(spark: SparkSession, path: str, keep: int | None = None) -> tuple[int, list[str]]:
+    """Number of data files under ``path`` and the first ``keep`` names
+    (all when ``keep`` is None), in sorted order when all are kept."""
     p, fs = _fs(spark, path)
     if not fs.exists(p):
-        return []
-    out = []
+        return 0, []
+    n, out = 0, []
     it = fs.listFiles(p, True)
     while it.hasNext():
         f = it.next().getPath()
         if f.getName().startswith(("_", ".")):
             continue
-        out.append(f.toString())
-    return sorted(out)
+        n += 1
+        if keep is None or len(out) < keep:
+            out.append(f.toString())
+    return n, sorted(out)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

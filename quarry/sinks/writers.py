@@ -14,11 +14,15 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quarry.session import list_files
+from quarry.session import count_files
 from quarry.sources.records import coerce_mixed_types
 
 CHUNK_ROWS = 10000           # rows per file in chunked mode (reference chunk size)
 COMBINE_MAX_ROWS = 1_000_000  # a single-file output above this is refused
+# A run row names its files only up to this many; the snapshot is the
+# directory, and a 100 TB snapshot has far more part files than a log row
+# should carry (the count is always kept).
+MAX_LISTED_FILES = 10_000
 FORMATS = ("parquet", "csv", "json")
 
 
@@ -65,8 +69,9 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", compression:
         w.parquet(path)
     metrics = obs.get
     rows = int(metrics.get("rows", 0))
-    files = list_files(df.sparkSession, path)
-    return {"total_rows": rows, "total_chunks": len(files), "files_written": files,
+    n_files, files = count_files(df.sparkSession, path, MAX_LISTED_FILES)
+    return {"total_rows": rows, "total_chunks": n_files,
+            "files_written": files if n_files <= MAX_LISTED_FILES else [],
             "primary_file": path, "output_path": path, "format": fmt, "observed": metrics}
 
 

@@ -34,7 +34,7 @@ def _asof_frames(spark):
     return left, right
 
 
-@pytest.mark.parametrize("bucket", ["hour", "day", None])
+@pytest.mark.parametrize("bucket", ["hour", "day", 60, 7, None])
 def test_asof_rules(spark, bucket):
     left, right = _asof_frames(spark)
     out = asof_join(left, right, [("k", "rk")], "t", "rt", tiebreak=["rid"], bucket=bucket)
@@ -53,7 +53,7 @@ def test_asof_matches_brute_force(spark):
         cands = [(rt, rid) for rid, rk, rt in rrows if rk == k and rt <= t]
         if cands:
             want.append((lid, max(cands)[1]))
-    for bucket in ("hour", None):
+    for bucket in ("hour", 90, None):
         got = asof_join(left, right, [("k", "rk")], "t", "rt", tiebreak=["rid"], bucket=bucket)
         assert sorted((r.lid, r.rid) for r in got.collect()) == sorted(want)
 

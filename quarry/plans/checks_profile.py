@@ -202,3 +202,49 @@ def p_pending(spark, sf_dir):
 @check("profile_columns")
 def p_full(spark, sf_dir):
     return profile_columns(table(spark, sf_dir, "lineitem"))
+
+
+# Profile on ingest (P16): the stored profile of an ingested snapshot, with
+# statistics observed during the write.
+_CUST = [("c_custkey", True), ("c_name", False), ("c_nationkey", True), ("c_acctbal", True),
+         ("c_mktsegment", False)]
+
+
+@check("profile_on_ingest", oracle=" UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, CAST(count(*) AS BIGINT) AS row_count,
+       CAST(count(*) FILTER (WHERE {c} IS NULL) AS BIGINT) AS null_count,
+       {f"CAST(min({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"} AS min,
+       {f"CAST(max({c}) AS DOUBLE)" if num else "CAST(NULL AS DOUBLE)"} AS max
+       FROM customer""" for c, num in _CUST))
+def p_on_ingest(spark, sf_dir):
+    from quarry.catalog import Catalog
+    from quarry.plans.registry import table_path
+    from quarry.session import scratch_path
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    did = cat.create_dataset("Customers", {"type": "parquet",
+                                           "path": table_path(sf_dir, "customer")})
+    cat.ingest(did)
+    return cat.profiles().where(F.col("dataset_id") == did).select(
+        "column_name", "row_count", "null_count", "min", "max")
+
+
+# Annotation inputs (P13): columns still needing review after the knowledge
+# overlay (``lang`` is curated), with their profile figures.
+_DL_TYPES = {"doc_id": "bigint", "lang": "string", "n_chars": "bigint", "l_doc_id": "bigint",
+             "quality": "int", "toxic": "int"}
+
+
+@check("annotation_inputs", oracle=f"""
+SELECT column_name, spark_type AS data_type, {DUCK_SEMANTIC} AS semantic_type, null_percentage
+FROM (""" + " UNION ALL ".join(
+    f"""SELECT '{c}' AS column_name, '{t}' AS spark_type,
+       round(100.0 * count(*) FILTER (WHERE {c} IS NULL) / count(*), 2) AS null_percentage
+       FROM {_DL_FROM} t""" for c, t in _DL_TYPES.items() if c != "lang") + ") x")
+def p_annotation_inputs(spark, sf_dir):
+    from quarry.operators.profile import annotation_inputs
+    k = spark.createDataFrame([("lang", "Language code", "Routing", None)],
+                              "column_key string, description string, business_meaning string, "
+                              "verified_at timestamp")
+    prof = profile_columns(_docs_labels(spark, sf_dir), k)
+    return annotation_inputs(prof).select("column_name", "data_type", "semantic_type",
+                                          "null_percentage")

@@ -124,3 +124,33 @@ def r_dataset_schemas(spark, sf_dir):
     cat.ingest(did, source_df=joined)
     return cat.dataset_schemas([did, "pipe-none"]).select(
         "name", "table_alias", "column_name", "null_percentage")
+
+
+@check("run_status", oracle="""
+SELECT 'success' AS status, CAST(count(*) AS BIGINT) AS rows_processed, 'parquet' AS format
+FROM lineitem""")
+def r_run_status(spark, sf_dir):
+    # one run's newest state (R5): the success row replaces the running one
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    did = cat.create_dataset("Line items", {"type": "parquet",
+                                            "path": table_path(sf_dir, "lineitem")},
+                             options={"profile": False})
+    res = cat.ingest(did)
+    return cat.run_status(did, res["run_id"]).select("status", "rows_processed", "format")
+
+
+@check("write_metrics", oracle="""
+SELECT CAST(count(*) AS BIGINT) AS total_rows, true AS files_within_cap,
+       CAST(count(*) AS BIGINT) AS rows_read_back FROM lineitem""")
+def k_write_metrics(spark, sf_dir):
+    # write accounting (K9): rows counted by an Observation on the write, no
+    # file above the 10,000-row chunk cap, every row read back
+    from quarry.sinks.writers import write_chunked
+    out = scratch_path(spark, "metrics")
+    m = write_chunked(table(spark, sf_dir, "lineitem"), out, chunk_rows=10000)
+    per_file = (spark.read.parquet(out).groupBy(F.input_file_name().alias("f"))
+                .agg(F.count(F.lit(1)).alias("n")))
+    return per_file.agg(
+        F.lit(m["total_rows"]).cast("bigint").alias("total_rows"),
+        (F.max("n") <= 10000).alias("files_within_cap"),
+        F.sum("n").cast("bigint").alias("rows_read_back"))

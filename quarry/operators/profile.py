@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.names import column_key, column_key_col
-from quarry.functions.nulls import FLOAT_TYPES, is_missing
-from quarry.functions.semantic import auto_description, semantic_type
+from quarry.functions.nulls import FLOAT_TYPES
+from quarry.functions.semantic import auto_description, semantic_type, sql_ident, sql_str
 
 SAMPLE_SIZE = 1000
 SAMPLES_SHOWN = 5
@@ -64,22 +64,24 @@ def sample_rows(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = 42) -> DataFram
     return df.withColumn("_h", h).orderBy("_h").limit(n)
 
 
-def _stats_struct(i: int, f: T.StructField, exact_distinct: bool):
-    c = _q(f.name)
-    clean = F.nanvl(c, F.lit(None).cast(f.dataType)) if isinstance(f.dataType, FLOAT_TYPES) else c
+def _stats_sql(i: int, f: T.StructField, exact_distinct: bool) -> str:
+    """One column's statistics as a ``named_struct`` aggregate, in SQL text
+    (parsed once: one JVM call per column instead of one per function)."""
+    c = sql_ident(f.name)
+    is_float = isinstance(f.dataType, FLOAT_TYPES)
+    clean = f"nanvl({c}, CAST(NULL AS {f.dataType.simpleString()}))" if is_float else c
+    missing = f"({c} IS NULL OR isnan({c}))" if is_float else f"{c} IS NULL"
+    distinct = f"count(DISTINCT {clean})" if exact_distinct else f"approx_count_distinct({clean})"
+    num = f"CAST({clean} AS DOUBLE)"
     numeric = isinstance(f.dataType, _NUMERIC)
-    distinct = F.count_distinct(clean) if exact_distinct else F.approx_count_distinct(clean)
-    num = clean.cast("double")
-    return F.struct(
-        F.lit(i).alias("ordinal"),
-        F.lit(f.name).alias("column_name"),
-        F.lit(f.dataType.simpleString()).alias("data_type"),
-        F.count_if(is_missing(f.name, f.dataType)).alias("null_count"),
-        distinct.cast("bigint").alias("unique_values"),
-        (F.min(num) if numeric else F.lit(None).cast("double")).alias("min"),
-        (F.max(num) if numeric else F.lit(None).cast("double")).alias("max"),
-        (F.avg(num) if numeric else F.lit(None).cast("double")).alias("mean"),
-    )
+    none = "CAST(NULL AS DOUBLE)"
+    return (f"named_struct('ordinal', {i}, 'column_name', {sql_str(f.name)}, "
+            f"'data_type', {sql_str(f.dataType.simpleString())}, "
+            f"'null_count', count_if({missing}), "
+            f"'unique_values', CAST({distinct} AS BIGINT), "
+            f"'min', {f'min({num})' if numeric else none}, "
+            f"'max', {f'max({num})' if numeric else none}, "
+            f"'mean', {f'avg({num})' if numeric else none})")
 
 
 _STATS_DDL = ("row_count bigint, ordinal int, column_name string, data_type string, "
@@ -96,8 +98,8 @@ def column_stats(df: DataFrame, exact_distinct: bool = False) -> DataFrame:
     if not fields:
         return df.sparkSession.createDataFrame([], _STATS_DDL)
     agg = df.agg(F.count(F.lit(1)).alias("row_count"),
-                 F.array(*[_stats_struct(i, f, exact_distinct)
-                           for i, f in enumerate(fields)]).alias("s"))
+                 F.expr("array(" + ", ".join(_stats_sql(i, f, exact_distinct)
+                                             for i, f in enumerate(fields)) + ")").alias("s"))
     return agg.select("row_count", F.inline("s"))
 
 
@@ -105,7 +107,7 @@ def stats_observation(df: DataFrame) -> list:
     """The same statistics as aggregate expressions for ``DataFrame.observe``,
     so a write computes them in passing (no second scan of the data)."""
     return [F.count(F.lit(1)).alias("row_count")] + [
-        _stats_struct(i, f, False).alias(f"_c{i}") for i, f in enumerate(df.schema.fields)]
+        F.expr(_stats_sql(i, f, False)).alias(f"_c{i}") for i, f in enumerate(df.schema.fields)]
 
 
 def stats_from_observed(spark, observed: dict, n_columns: int) -> DataFrame:
@@ -123,15 +125,14 @@ def column_samples(df: DataFrame, sample_size: int = SAMPLE_SIZE, seed: int = 42
                    k: int = ANNOTATION_SAMPLES) -> DataFrame:
     """First ``k`` non-null values (as text) of each column in the sample."""
     s = sample_rows(df, sample_size, seed)
-    per_col = [F.struct(F.lit(c).alias("column_name"),
-                        F.slice(F.transform(
-                            F.array_sort(F.collect_list(F.when(_q(c).isNotNull(), F.struct(
-                                F.col("_h").alias("h"), _q(c).cast("string").alias("v"))))),
-                            lambda x: x["v"]), 1, k).alias("samples"))
-               for c in df.columns]
-    if not per_col:
+    if not df.columns:
         return df.sparkSession.createDataFrame([], "column_name string, samples array<string>")
-    return s.agg(F.array(*per_col).alias("a")).select(F.inline("a"))
+    # per column: its non-null values as text, in sample (hash) order
+    per_col = [f"named_struct('column_name', {sql_str(c)}, 'samples', slice(transform(array_sort("
+               f"collect_list(CASE WHEN {sql_ident(c)} IS NOT NULL THEN named_struct('h', _h, "
+               f"'v', CAST({sql_ident(c)} AS STRING)) END)), x -> x.v), 1, {int(k)}))"
+               for c in df.columns]
+    return s.agg(F.expr("array(" + ", ".join(per_col) + ")").alias("a")).select(F.inline("a"))
 
 
 def profile_columns(df: DataFrame, knowledge: DataFrame | None = None,
@@ -152,7 +153,7 @@ def profile_columns(df: DataFrame, knowledge: DataFrame | None = None,
                          "left")
     else:
         prof = prof.withColumn("samples", F.lit(None).cast("array<string>"))
-    sem = semantic_type(F.col("column_name"), F.col("data_type"))
+    sem = semantic_type("column_name", "data_type")
     prof = (prof
             .withColumn("semantic_type", sem)
             .withColumn("null_percentage",
@@ -161,8 +162,7 @@ def profile_columns(df: DataFrame, knowledge: DataFrame | None = None,
                         .otherwise(F.lit(0.0)))
             .withColumn("sample_values", F.slice("samples", 1, SAMPLES_SHOWN))
             .withColumn("auto_description",
-                        auto_description(F.col("column_name"), F.col("data_type"),
-                                         F.col("semantic_type")))
+                        auto_description("column_name", "data_type", "semantic_type"))
             .withColumn("column_key", column_key_col("column_name")))
     # booleans are typed "boolean" and get no min / max / mean
     return apply_knowledge(prof, knowledge, keys=df.columns).orderBy("ordinal")

@@ -24,7 +24,7 @@ def test_semantic_types_first_rule_wins_and_traps(spark):
              ("flag", "boolean", "boolean"), ("note", "string", "text"),
              ("amount_cents", "decimal(10,2)", "currency"), ("x", "decimal(10,2)", "numeric")]
     df = _cols(spark, [(n, t) for n, t, _ in pairs])
-    got = [r[0] for r in df.select(semantic_type(F.col("column_name"), F.col("data_type"))).collect()]
+    got = [r[0] for r in df.select(semantic_type("column_name", "data_type")).collect()]
     assert got == [s for _, _, s in pairs]
 
 

@@ -18,6 +18,11 @@ from pyspark.sql import functions as F
 _NOT_ALLOWED = re.compile(r"[^a-z0-9_]")
 
 
+def col_ref(name: str) -> Column:
+    """A column by its exact name (dots, blanks and backticks included)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def sanitize_name(name: str) -> str:
     """Driver-side form, used for view names (one string per dataset)."""
     s = _NOT_ALLOWED.sub("", name.lower().replace(" ", "_").replace("-", "_"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from quarry.functions.names import col_ref
 
 FLOAT_TYPES = (T.FloatType, T.DoubleType)
 
@@ -14,15 +15,15 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     out = []
     for f in df.schema.fields:
         if isinstance(f.dataType, FLOAT_TYPES):
-            out.append(F.nanvl(F.col(f"`{f.name}`"), F.lit(None).cast(f.dataType)).alias(f.name))
+            out.append(F.nanvl(col_ref(f.name), F.lit(None).cast(f.dataType)).alias(f.name))
         else:
-            out.append(F.col(f"`{f.name}`"))
+            out.append(col_ref(f.name))
     return df.select(*out)
 
 
 def is_missing(name: str, dtype: T.DataType):
     """NULL, or NaN for float columns (the profile's notion of missing)."""
-    c = F.col(f"`{name}`")
+    c = col_ref(name)
     if isinstance(dtype, FLOAT_TYPES):
         return c.isNull() | F.isnan(c)
     return c.isNull()

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.joins import dedupe_columns
+from quarry.functions.names import col_ref
 
 
 def _bucket(t: Column, dtype: T.DataType, bucket) -> Column:
@@ -61,7 +62,7 @@ def asof_join(left: DataFrame, right: DataFrame, by: Sequence[tuple[str, str]] |
     rtype = right.schema[right_on].dataType
     if type(ltype) is not type(rtype):
         raise TypeError(f"as-of times differ in type: {ltype} vs {rtype}")
-    q = lambda c: F.col(f"`{c}`")
+    q = lambda c: col_ref(c)
     lstruct = F.struct(*[q(c) for c in left.columns])
     rstruct = F.struct(*[q(c) for c in right.columns])
     ltype_s = left.select(lstruct.alias("s")).schema["s"].dataType

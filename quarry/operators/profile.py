@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.functions.names import column_key, column_key_col
+from quarry.functions.names import col_ref, column_key, column_key_col
 from quarry.functions.nulls import FLOAT_TYPES
 from quarry.functions.semantic import auto_description, semantic_type, sql_ident, sql_str
 
@@ -38,7 +38,7 @@ _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.D
 
 
 def _q(name: str):
-    return F.col(f"`{name}`")
+    return col_ref(name)
 
 
 def profile_table(df: DataFrame) -> DataFrame:

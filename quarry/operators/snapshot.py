@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from quarry.functions.names import col_ref
 
 
 def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str],
@@ -21,8 +22,8 @@ def latest_per_key(df: DataFrame, key: str | Sequence[str], order: Sequence[str]
     if where is not None:
         df = df.where(where)
     payload = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*[F.col(f"`{c}`") for c in payload]),
-                    F.struct(*[F.col(f"`{c}`") for c in order]))
+    best = F.max_by(F.struct(*[col_ref(c) for c in payload]),
+                    F.struct(*[col_ref(c) for c in order]))
     return df.groupBy(*keys).agg(best.alias("_best")).select(*keys, "_best.*")
 
 

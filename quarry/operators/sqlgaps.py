@@ -7,6 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from quarry.functions.names import col_ref
 
 
 def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
@@ -15,7 +16,7 @@ def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str
     hot key is combined map-side instead of sorted in one task."""
     payload = [c for c in df.columns if c not in keys]
     ordcols = [F.col(o) if isinstance(o, str) else o for o in order]
-    best = F.min_by(F.struct(*[F.col(f"`{c}`") for c in payload]), F.struct(*ordcols))
+    best = F.min_by(F.struct(*[col_ref(c) for c in payload]), F.struct(*ordcols))
     return df.groupBy(*keys).agg(best.alias("_first")).select(*keys, "_first.*")
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.asof import asof_join
 from quarry.operators.joins import dedupe_columns, spark_join_type
+from quarry.functions.names import col_ref
 
 _CMP = re.compile(r"^\s*([\w.`]+)\s*(=|>=|<=)\s*([\w.`]+)\s*$")
 _RANGE_CMP = re.compile(r"^\s*([\w.`]+)\s*(>=|>|<=|<)\s*([\w.`]+)\s*$")
@@ -107,12 +108,12 @@ def _binned_range_join(ldf, rdf, left, right, on, jt, point_side, point, lo, hi,
     exactly once and no task compares all pairs."""
     pts, rng = (ldf, rdf) if point_side == left else (rdf, ldf)
     if width is None:
-        width = rng.agg(F.avg(F.col(f"`{hi}`") - F.col(f"`{lo}`"))).first()[0]
+        width = rng.agg(F.avg(col_ref(hi) - col_ref(lo))).first()[0]
     width = float(width) if width and width > 0 else 1.0
     w = F.lit(width)
-    pts = pts.withColumn("_qbin", F.floor(F.col(f"`{point}`") / w))
-    rng = rng.withColumn("_qbin", F.explode(F.sequence(F.floor(F.col(f"`{lo}`") / w),
-                                                       F.floor(F.col(f"`{hi}`") / w))))
+    pts = pts.withColumn("_qbin", F.floor(col_ref(point) / w))
+    rng = rng.withColumn("_qbin", F.explode(F.sequence(F.floor(col_ref(lo) / w),
+                                                       F.floor(col_ref(hi) / w))))
     lb, rb = (pts, rng) if point_side == left else (rng, pts)
     cond = (F.col(f"{left}._qbin") == F.col(f"{right}._qbin")) & F.expr(on)
     out = lb.alias(left).join(rb.alias(right), cond, jt)

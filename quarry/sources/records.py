@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.nulls import FLOAT_TYPES
+from quarry.functions.names import col_ref
 
 # Envelope keys, tried in this order.
 ENVELOPE_KEYS = ["data", "results", "items", "records"]
@@ -94,7 +95,7 @@ def coerce_mixed_types(df: DataFrame, target: str = "csv") -> DataFrame:
     """
     out = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = col_ref(f.name)
         if target == "csv" and isinstance(f.dataType, _NESTED):
             c = F.to_json(c)
         elif isinstance(f.dataType, FLOAT_TYPES):

@@ -2,6 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from conftest import SF001
 from quarry.operators.profile import (annotation_inputs, apply_knowledge, column_frame,
@@ -127,3 +128,19 @@ def test_annotation_inputs(spark):
 def test_column_frame(spark):
     df = spark.createDataFrame([(1, "a")], "a int, b string")
     assert [tuple(r) for r in column_frame(df).collect()] == [(0, "a", "int"), (1, "b", "string")]
+
+
+def test_profile_odd_column_names(spark):
+    # names are quoted into SQL text: backticks, quotes, blanks, backslashes
+    names = ["a`b", "it's", "x y", "back\\slash", "Email Address"]
+    df = spark.createDataFrame([(1, "p", None, 2.5, "a@b"), (None, "q", 3.0, float("nan"), None)],
+                               T.StructType([T.StructField(n, t) for n, t in zip(
+                                   names, [T.IntegerType(), T.StringType(), T.DoubleType(),
+                                           T.DoubleType(), T.StringType()])]))
+    rows = {r.column_name: r for r in profile_columns(df, sample_size=10).collect()}
+    assert list(rows) == names
+    assert rows["a`b"].null_count == 1 and rows["a`b"].max == 1.0
+    assert sorted(rows["it's"].sample_values) == ["p", "q"]
+    assert rows["back\\slash"].null_count == 1 and rows["back\\slash"].mean == 2.5
+    assert rows["x y"].column_key == "x_y"
+    assert rows["Email Address"].semantic_type == "email"

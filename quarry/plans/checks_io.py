@@ -66,7 +66,7 @@ def s_read_dataset(spark, sf_dir):
     # newest good one, which holds every supplier
     cat = Catalog(spark, scratch_path(spark, "catalog"))
     src = {"type": "parquet", "path": table_path(sf_dir, "supplier")}
-    did = cat.create_dataset("Suppliers", src)
+    did = cat.create_dataset("Suppliers", src, options={"profile": False})
     cat.ingest(did, source_df=table(spark, sf_dir, "supplier").where("s_acctbal > 0"))
     cat.ingest(did)
     bad = cat.create_dataset("broken", {"type": "parquet", "path": table_path(sf_dir, "nope")})

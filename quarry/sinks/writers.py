@@ -40,6 +40,26 @@ def _compression(fmt: str, compression: str | None) -> str:
     return "gzip" if compression == "gzip" else "none"
 
 
+SPREAD_MIN_BYTES_PER_CORE = 1 << 20  # below ~1 MB of input per core a shuffle costs more
+
+
+def spread_narrow(df: DataFrame) -> DataFrame:
+    """Spread an input with too few partitions over the cluster's cores.
+
+    A source that cannot be split (one row group, one gzip file, a narrow
+    JDBC read) would otherwise be written, and later read back, by one
+    task.  Only inputs with fewer than half as many partitions as there
+    are cores, and at least ~1 MB per core by the optimizer's size
+    estimate, are spread (one round-robin exchange).  A large input already
+    has many partitions and is written as it is, with no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    est = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if est >= cores * SPREAD_MIN_BYTES_PER_CORE else df
+
+
 def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", compression: str | None = None,
                    max_records_per_file: int | None = None, combine: bool = False,
                    mode: str = "errorifexists", partition_by: list[str] | None = None,
@@ -52,6 +72,8 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", compression:
     if fmt not in FORMATS:
         raise ValueError(f"Unsupported format: {fmt}")
     df = coerce_mixed_types(df, target=fmt)
+    if not combine and not max_records_per_file:  # chunked files keep the chunk size
+        df = spread_narrow(df)
     obs = Observation("write")
     out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *(observe or []))
     if combine:

@@ -83,15 +83,31 @@ def s_preview(spark, sf_dir):
     return p.sample
 
 
-# No oracle: generated values come from xxhash64 (checked by unit tests for
-# ranges, membership and determinism); one synthetic row per customer.
-@check("synthetic_table")
+# One synthetic row per customer.  The values come from xxhash64, which
+# DuckDB lacks, so the oracle checks the rules every value must satisfy
+# (formats, ranges, pick lists) and the one deterministic text column.
+_SYNTH_SPEC = {"uid": "uuid", "email": "email", "first": "first_name", "last": "last_name",
+               "signup": "date", "amount": "currency", "vip": "boolean", "country": "country",
+               "age": "integer:18:90", "code": "string:8", "other": "text"}
+
+
+@check("synthetic_table", oracle="""
+SELECT c_custkey AS id, 'value_' || CAST(c_custkey AS VARCHAR) AS other, true AS rules_hold
+FROM customer""")
 def s_synthetic(spark, sf_dir):
+    from quarry.sources.synthetic import COUNTRIES, DAYS_BACK, FIRST_NAMES, LAST_NAMES
     ids = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return synthetic_columns(ids, {"uid": "uuid", "email": "email", "first": "first_name",
-                                   "last": "last_name", "signup": "date", "amount": "currency",
-                                   "vip": "boolean", "country": "country",
-                                   "age": "integer:18:90", "code": "string:8", "other": "text"})
+    df = synthetic_columns(ids, _SYNTH_SPEC)
+    today = F.current_date()
+    rules = (F.col("uid").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[0-9a-f]{4}-[0-9a-f]{12}$")
+             & F.col("email").rlike(r"^[a-z]+\.[a-z]+@example\.com$")
+             & F.col("first").isin(FIRST_NAMES) & F.col("last").isin(LAST_NAMES)
+             & F.col("signup").between(F.date_sub(today, DAYS_BACK), today)
+             & F.col("amount").between(10.0, 10000.0)
+             & (F.round(F.col("amount"), 2) == F.col("amount"))
+             & F.col("vip").isNotNull() & F.col("country").isin(COUNTRIES)
+             & F.col("age").between(18, 90) & F.col("code").rlike("^[A-Za-z]{8}$"))
+    return df.select("id", "other", F.coalesce(rules, F.lit(False)).alias("rules_hold"))
 
 
 @check("write_parquet", oracle="SELECT * FROM lineitem")

@@ -89,3 +89,16 @@ def test_observed_metrics(spark, tmp_dir):
     m = write_snapshot(spark.range(10), tmp_dir, observe=[F.sum("id").alias("s")])
     assert m["observed"]["s"] == 45 and m["total_rows"] == 10
     assert os.path.isdir(tmp_dir.replace("file:", ""))
+
+
+def test_spread_narrow_only_when_few_partitions_and_enough_data(spark):
+    from quarry.sinks.writers import spread_narrow
+    cores = spark.sparkContext.defaultParallelism
+    big_narrow = spark.range(0, 20_000_000, 1, 1)      # ~160 MB estimate, one partition
+    assert spread_narrow(big_narrow).rdd.getNumPartitions() == cores
+    tiny = spark.range(0, 100, 1, 1)                    # far below 1 MB per core
+    assert spread_narrow(tiny).rdd.getNumPartitions() == 1
+    wide = spark.range(0, 20_000_000, 1, cores * 2)     # already spread: no exchange
+    out = spread_narrow(wide)
+    assert out.rdd.getNumPartitions() == cores * 2
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

@@ -67,3 +67,34 @@ def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: st
     p = points.withColumn("_bin", F.floor(F.col(point) / w))
     cond = (p["_bin"] == r["_bin"]) & (p[point] >= r[lo]) & (p[point] < r[hi])
     return p.join(r, cond, how).drop(p["_bin"]).drop(r["_bin"])
+
+
+# Joins Spark runs by comparing every pair of rows of its two sides.
+ALL_PAIRS_OPS = ("CartesianProduct", "BroadcastNestedLoopJoin")
+# A side with at most this many rows, proven by the plan itself (Catalyst's
+# ``maxRows``: a global aggregate, a LIMIT, a literal table), is harmless.
+BOUNDED_SIDE_ROWS = 10_000
+
+
+def _max_rows(node) -> int | None:
+    link = node.logicalLink()
+    if not link.isDefined():
+        return None
+    m = link.get().maxRows()
+    return int(m.get()) if m.isDefined() else None
+
+
+def unbounded_all_pairs(df: DataFrame, bound: int = BOUNDED_SIDE_ROWS) -> list[str]:
+    """Nested-loop / Cartesian joins in ``df``'s physical plan where neither
+    side has a proven row bound ≤ ``bound``: each would compare all pairs of
+    two inputs that grow with the data.  Planning only; nothing runs."""
+    found, stack = [], [df._jdf.queryExecution().sparkPlan()]
+    while stack:
+        node = stack.pop()
+        kids = [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() in ALL_PAIRS_OPS:
+            sizes = [_max_rows(k) for k in kids]
+            if not any(s is not None and s <= bound for s in sizes):
+                found.append(node.simpleString(8))
+        stack.extend(kids)
+    return found

@@ -23,13 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.asof import asof_join
-from quarry.operators.joins import dedupe_columns, spark_join_type
+from quarry.operators.joins import dedupe_columns, spark_join_type, unbounded_all_pairs
 from quarry.functions.names import col_ref
 
 _CMP = re.compile(r"^\s*([\w.`]+)\s*(=|>=|<=)\s*([\w.`]+)\s*$")
 _RANGE_CMP = re.compile(r"^\s*([\w.`]+)\s*(>=|>|<=|<)\s*([\w.`]+)\s*$")
 _FLIP = {">=": "<=", ">": "<", "<=": ">=", "<": ">"}
-_NESTED_LOOPS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 
 
 def _strip_alias(ref: str, alias: str) -> str | None:
@@ -129,7 +128,8 @@ def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
     it.  A pure range condition (``l.x >= r.lo AND l.x < r.hi``) becomes a
     binned equi-join (``bin_width`` from the config, else the ranges' mean
     length).  Any other condition that would plan as a nested loop or a
-    Cartesian product, i.e. compare all pairs, is refused.
+    Cartesian product over two sides without a proven row bound, i.e.
+    compare all pairs, is refused.
     """
     left, right = join["left"], join["right"]
     how = (join.get("how") or "left").strip().lower()
@@ -148,8 +148,7 @@ def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
             return _binned_range_join(ldf, rdf, left, right, join["on"], jt, side, point,
                                       lo, hi, join.get("bin_width"))
     out = ldf.alias(left).join(rdf.alias(right), F.expr(join["on"]), jt)
-    plan = out._jdf.queryExecution().sparkPlan().toString()
-    if any(op in plan for op in _NESTED_LOOPS):
+    if unbounded_all_pairs(out):
         raise ValueError(
             f"join condition {join['on']!r} has no equality term: it would compare all "
             "pairs of rows. Add an equality, or write a range as "

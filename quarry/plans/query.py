@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quarry.functions.names import sanitize_name
 from quarry.functions.nulls import nan_to_null
 from quarry.functions.sqltext import has_limit, strip_trailing_semicolons
+from quarry.operators.joins import unbounded_all_pairs
 from quarry.session import query_session
 
 DEFAULT_CAP = 1000
@@ -102,8 +103,13 @@ class QueryResult:
 
 
 def run_sql(spark: SparkSession, datasets: Mapping[str, DatasetRef], sql: str,
-            cap: int | None = DEFAULT_CAP) -> QueryResult:
-    """Run one Spark SQL statement over the named datasets."""
+            cap: int | None = DEFAULT_CAP, allow_all_pairs: bool = False) -> QueryResult:
+    """Run one Spark SQL statement over the named datasets.
+
+    A statement whose plan joins two inputs without a proven row bound by
+    comparing all pairs (a cross join, or a join with no equality term) is
+    refused unless ``allow_all_pairs``: at scale it would not finish.
+    """
     started = time.time()
     qs, views = dataset_views(spark, datasets)
     text = strip_trailing_semicolons(sql)
@@ -111,5 +117,12 @@ def run_sql(spark: SparkSession, datasets: Mapping[str, DatasetRef], sql: str,
         df = qs.sql(text)
     except (AnalysisException, ParseException) as e:
         raise QueryError(f"Query execution failed: {e}") from e
+    if not allow_all_pairs:
+        pairs = unbounded_all_pairs(df)
+        if pairs:
+            raise QueryError(
+                "Query execution failed: the plan compares all pairs of rows of two "
+                f"unbounded inputs ({pairs[0]}); add an equality join term, bound one "
+                "side, or pass allow_all_pairs=True")
     df = nan_to_null(capped(df, text, cap))
     return QueryResult(df=df, sql=text, views=views, cap=cap, started=started)

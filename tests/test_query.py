@@ -89,3 +89,23 @@ def test_float_nan_in_result(spark):
                   "SELECT CAST('NaN' AS DOUBLE) AS x FROM nation LIMIT 1")
     v = res.df.first().x
     assert v is None or not (isinstance(v, float) and math.isnan(v))
+
+
+def test_all_pairs_guard(spark):
+    from quarry.plans.query import QueryError, run_sql
+    from quarry.plans.registry import table_refs
+    refs = table_refs("/root/testdata/sf0.001", "customer", "orders")
+    with pytest.raises(QueryError, match="all pairs"):
+        run_sql(spark, refs, "SELECT count(*) FROM customer CROSS JOIN orders")
+    with pytest.raises(QueryError, match="all pairs"):
+        run_sql(spark, refs, "SELECT count(*) FROM customer c JOIN orders o "
+                             "ON o.o_totalprice > c.c_acctbal")
+    # opt-in, and sides with a proven bound (one-row aggregate, LIMIT) run
+    n = run_sql(spark, refs, "SELECT count(*) AS n FROM customer CROSS JOIN orders",
+                allow_all_pairs=True).df.first().n
+    assert n == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").count() * \
+        spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    run_sql(spark, refs, "SELECT count(*) FROM customer c CROSS JOIN "
+                         "(SELECT avg(o_totalprice) AS a FROM orders) s WHERE c.c_acctbal > s.a")
+    run_sql(spark, refs, "SELECT count(*) FROM customer c JOIN (SELECT * FROM orders LIMIT 50) o "
+                         "ON o.o_totalprice > c.c_acctbal")

@@ -158,3 +158,16 @@ def k_export(spark, sf_dir):
     out = scratch_path(spark, "export")
     export_result(res.df, out, "csv")
     return scan_csv(spark, out, schema=res.df.schema)
+
+
+@check("coerce_mixed_types", oracle="SELECT vec_id, embedding, label FROM embeddings")
+def k_coerce(spark, sf_dir):
+    # CSV cannot hold an array: the writer turns it into JSON text (K4);
+    # reading the text back with the array type restores every vector
+    from quarry.sources.files import scan_csv as _scan_csv
+    emb = table(spark, sf_dir, "embeddings")
+    out = scratch_path(spark, "csv-nested")
+    write_csv(emb, out)
+    text = _scan_csv(spark, out, schema="vec_id bigint, embedding string, label int")
+    return text.select("vec_id", F.from_json("embedding", "array<float>").alias("embedding"),
+                       "label")

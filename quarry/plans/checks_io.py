@@ -171,3 +171,19 @@ def k_coerce(spark, sf_dir):
     text = _scan_csv(spark, out, schema="vec_id bigint, embedding string, label int")
     return text.select("vec_id", F.from_json("embedding", "array<float>").alias("embedding"),
                        "label")
+
+
+@check("drop_envelope_fields", oracle="""
+SELECT event_id, CAST(0 AS INTEGER) AS record_pos, event_type, value FROM events""")
+def s_drop_envelope(spark, sf_dir):
+    # every event as an API-style payload: {"records": [{..., "attributes": {...}}]};
+    # unwrapping finds the envelope, the bookkeeping field is dropped
+    from quarry.sources.records import drop_envelope_fields
+    ev = table(spark, sf_dir, "events")
+    rec = F.struct(F.struct(F.lit("Event").alias("type"), F.col("user_id").alias("owner"))
+                   .alias("attributes"), "event_type", "value")
+    docs = ev.select("event_id", F.to_json(F.struct(F.array(rec).alias("records"))).alias("doc"))
+    records, _rejects = unwrap_records(
+        docs, "doc", schema="attributes struct<type: string, owner: bigint>, "
+                            "event_type string, value double", keep=["event_id"])
+    return drop_envelope_fields(records)

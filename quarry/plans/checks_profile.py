@@ -281,3 +281,27 @@ def p_annotation_inputs(spark, sf_dir):
     prof = profile_columns(_docs_labels(spark, sf_dir), k)
     return annotation_inputs(prof).select("column_name", "data_type", "semantic_type",
                                           "null_percentage")
+
+
+# Annotations (P14, P15): one fenced JSON answer per column of the orders
+# profile (as an annotator would return it, describing the column by its
+# auto description), parsed and merged back onto the profile.
+@check("merge_annotations", oracle=f"""
+SELECT table_name, column_name,
+  CASE sem WHEN 'email' THEN 'Email address - ' || r WHEN 'phone' THEN 'Phone number - ' || r
+    WHEN 'identifier' THEN 'Unique identifier - ' || r WHEN 'currency' THEN 'Monetary amount - ' || r
+    WHEN 'datetime' THEN 'Date/time value - ' || r ELSE r || ' (' || spark_type || ')' END AS ai_description,
+  'missing: ' || CAST(null_count AS VARCHAR) AS ai_quality_notes, CAST(0.7 AS DOUBLE) AS ai_confidence
+FROM (SELECT *, {DUCK_SEMANTIC} AS sem, {_DUCK_READABLE} AS r FROM {DUCK_PROFILE} c) t
+WHERE table_name = 'orders'""")
+def p_merge_annotations(spark, sf_dir):
+    from quarry.operators.profile import merge_annotations, parse_annotations
+    prof = profile_columns(table(spark, sf_dir, "orders"), with_samples=False)
+    answer = F.to_json(F.create_map(F.col("column_name"), F.struct(
+        F.col("auto_description").alias("description"),
+        F.concat(F.lit("missing: "), F.col("null_count").cast("string")).alias("quality_notes"))))
+    texts = prof.select(F.concat(F.lit("Here you go:\n```json\n"), answer, F.lit("\n```"))
+                        .alias("text"))
+    merged = merge_annotations(prof, texts.select(parse_annotations("text").alias("annotations")))
+    return merged.select(F.lit("orders").alias("table_name"), "column_name", "ai_description",
+                         "ai_quality_notes", "ai_confidence")

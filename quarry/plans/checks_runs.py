@@ -154,3 +154,27 @@ def k_write_metrics(spark, sf_dir):
         F.lit(m["total_rows"]).cast("bigint").alias("total_rows"),
         (F.max("n") <= 10000).alias("files_within_cap"),
         F.sum("n").cast("bigint").alias("rows_read_back"))
+
+
+@check("approve_column", oracle="""
+SELECT column_name,
+       CASE column_name WHEN 'c_name' THEN 'Customer name' WHEN 'c_acctbal' THEN 'Balance, USD'
+       END AS description,
+       round(100.0 * count(*) FILTER (WHERE c IS NULL) / count(*), 2) AS null_percentage
+FROM (SELECT 'c_custkey' AS column_name, c_custkey::VARCHAR AS c FROM customer
+      UNION ALL SELECT 'c_name', c_name FROM customer
+      UNION ALL SELECT 'c_nationkey', c_nationkey::VARCHAR FROM customer
+      UNION ALL SELECT 'c_acctbal', c_acctbal::VARCHAR FROM customer
+      UNION ALL SELECT 'c_mktsegment', c_mktsegment FROM customer) t
+GROUP BY column_name""")
+def r_approve(spark, sf_dir):
+    # approvals are upserts by column key (the newest wins) and show in the
+    # schema listing at once, next to the profile of the ingested snapshot
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    did = cat.create_dataset("Customers", {"type": "parquet",
+                                           "path": table_path(sf_dir, "customer")})
+    cat.ingest(did)
+    cat.approve_column("c_name", "Name", "Who bought")
+    cat.approve_column(" C_Name ", "Customer name", "Who bought")  # same key: replaces
+    cat.approve_column("c_acctbal", "Balance, USD", "Credit position")
+    return cat.dataset_schemas([did]).select("column_name", "description", "null_percentage")

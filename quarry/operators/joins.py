@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.names import col_ref
+
 # Accepted join kinds (user word -> Spark join type).  ``asof`` is handled by
 # quarry.operators.asof; ``cross`` is refused (a join needs a condition).
 JOIN_KINDS = {
@@ -50,23 +52,49 @@ def dedupe_columns(df: DataFrame) -> DataFrame:
     return df if names == df.columns else df.toDF(*names)
 
 
-def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str,
-               bin_width: float, how: str = "inner") -> DataFrame:
-    """Points ⋈ ranges on ``lo <= point < hi`` without a nested loop.
-
-    Each range is exploded into the fixed-width bins it covers (a bounded
-    number per range: its length / ``bin_width`` + 1), points get their one
-    bin, and the join is an equi-join on the bin followed by the exact
-    residual test.  Choose ``bin_width`` near the typical range length.
+def binned_range_join(left: DataFrame, right: DataFrame, points_on_left: bool, point: str,
+                      lo: str, hi: str, condition, how: str = "inner",
+                      bin_width: float | None = None,
+                      aliases: tuple[str, str] | None = None) -> DataFrame:
+    """A range condition as an equi-join on fixed-width bins plus the exact
+    condition as residual, never a nested loop over all pairs.
+
+    The points side (``point`` column) falls in one bin per row; each row
+    of the ranges side (``lo`` / ``hi`` columns) is repeated for the bins
+    it covers, so every (point, range) pair meets in exactly one bin.  A
+    range of length L covers at most L / width + 2 bins: with the mean
+    length as width (the default) the ranges side grows to at most about
+    three times its rows, however skewed the lengths are.
+    ``condition(l, r)`` builds the exact test from the two (aliased) sides.
+    Only joins that keep no unmatched *range* rows are exact this way
+    (inner; left/semi/anti with the points on the left).
     """
-    if bin_width <= 0 or math.isnan(bin_width):
-        raise ValueError("bin_width must be positive")
+    pts, rng = (left, right) if points_on_left else (right, left)
+    if bin_width is None:
+        bin_width = rng.agg(F.avg(col_ref(hi) - col_ref(lo))).first()[0]
+    if bin_width is None or math.isnan(bin_width) or bin_width <= 0:
+        bin_width = 1.0
     w = F.lit(float(bin_width))
-    r = ranges.withColumn(
-        "_bin", F.explode(F.sequence(F.floor(F.col(lo) / w), F.floor(F.col(hi) / w))))
-    p = points.withColumn("_bin", F.floor(F.col(point) / w))
-    cond = (p["_bin"] == r["_bin"]) & (p[point] >= r[lo]) & (p[point] < r[hi])
-    return p.join(r, cond, how).drop(p["_bin"]).drop(r["_bin"])
+    pts = pts.withColumn("_qbin", F.floor(col_ref(point) / w))
+    rng = rng.withColumn("_qbin", F.explode(F.sequence(F.floor(col_ref(lo) / w),
+                                                       F.floor(col_ref(hi) / w))))
+    lb, rb = (pts, rng) if points_on_left else (rng, pts)
+    if aliases:
+        lb, rb = lb.alias(aliases[0]), rb.alias(aliases[1])
+    out = lb.join(rb, (lb["_qbin"] == rb["_qbin"]) & condition(lb, rb), how)
+    out = out.drop(lb["_qbin"])
+    return out if how in ("left_semi", "left_anti") else out.drop(rb["_qbin"])
+
+
+def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str,
+               bin_width: float | None = None, how: str = "inner") -> DataFrame:
+    """Points ⋈ ranges on ``lo <= point < hi`` (see :func:`binned_range_join`;
+    choose ``bin_width`` near the typical range length, default the mean)."""
+    if bin_width is not None and (bin_width <= 0 or math.isnan(bin_width)):
+        raise ValueError("bin_width must be positive")
+    return binned_range_join(
+        points, ranges, True, point, lo, hi,
+        lambda p, r: (p[point] >= r[lo]) & (p[point] < r[hi]), how, bin_width)
 
 
 # Joins Spark runs by comparing every pair of rows of its two sides.

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.asof import asof_join
-from quarry.operators.joins import dedupe_columns, spark_join_type, unbounded_all_pairs
-from quarry.functions.names import col_ref
+from quarry.operators.joins import (binned_range_join, dedupe_columns, spark_join_type,
+                                    unbounded_all_pairs)
 
 _CMP = re.compile(r"^\s*([\w.`]+)\s*(=|>=|<=)\s*([\w.`]+)\s*$")
 _RANGE_CMP = re.compile(r"^\s*([\w.`]+)\s*(>=|>|<=|<)\s*([\w.`]+)\s*$")
@@ -100,30 +100,6 @@ def _range_terms(on: str, left: str, right: str):
     return None
 
 
-def _binned_range_join(ldf, rdf, left, right, on, jt, point_side, point, lo, hi, width):
-    """Range condition as an equi-join on fixed-width bins plus the exact
-    condition as residual: each range row is repeated for the bins it
-    covers, each point falls in one bin, so every (point, range) pair meets
-    exactly once and no task compares all pairs.
-
-    A range of length L covers at most L / width + 2 bins, so with the mean
-    length as width the ranges side grows to at most about three times its
-    rows in total, however skewed the lengths are."""
-    pts, rng = (ldf, rdf) if point_side == left else (rdf, ldf)
-    if width is None:
-        width = rng.agg(F.avg(col_ref(hi) - col_ref(lo))).first()[0]
-    width = float(width) if width and width > 0 else 1.0
-    w = F.lit(width)
-    pts = pts.withColumn("_qbin", F.floor(col_ref(point) / w))
-    rng = rng.withColumn("_qbin", F.explode(F.sequence(F.floor(col_ref(lo) / w),
-                                                       F.floor(col_ref(hi) / w))))
-    lb, rb = (pts, rng) if point_side == left else (rng, pts)
-    cond = (F.col(f"{left}._qbin") == F.col(f"{right}._qbin")) & F.expr(on)
-    out = lb.alias(left).join(rb.alias(right), cond, jt)
-    return out.drop(F.col(f"{left}._qbin")) if jt in ("left_semi", "left_anti") else \
-        out.drop(F.col(f"{left}._qbin")).drop(F.col(f"{right}._qbin"))
-
-
 def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
     """One join of two aliased sources.
 
@@ -149,8 +125,10 @@ def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
         # every pair must meet once, and a range row is repeated per bin:
         # only joins that keep no unmatched range rows may use bins
         if jt == "inner" or (side == left and jt in ("left", "left_semi", "left_anti")):
-            return _binned_range_join(ldf, rdf, left, right, join["on"], jt, side, point,
-                                      lo, hi, join.get("bin_width"))
+            on = join["on"]
+            return binned_range_join(ldf, rdf, side == left, point, lo, hi,
+                                     lambda lb, rb: F.expr(on), jt, join.get("bin_width"),
+                                     aliases=(left, right))
     out = ldf.alias(left).join(rdf.alias(right), F.expr(join["on"]), jt)
     if unbounded_all_pairs(out):
         raise ValueError(

@@ -17,7 +17,9 @@ Bucketing is what keeps a hot key (say a third of all rows) from landing in
 one task: its rows spread over as many tasks as it has buckets, and step 2
 works on one row per bucket.  Timestamps take ``"hour"`` (default),
 ``"day"`` or a width in seconds (finer buckets for denser keys); numbers
-take a width.  ``bucket=None`` partitions by key only.
+take a width.  ``bucket=None`` partitions by key only.  The trade-off: a
+finer bucket splits step 1 further, while step 2 orders one row per
+non-empty bucket of a key (an hour bucket: under 9,000 rows per key-year).
 """
 
 from __future__ import annotations

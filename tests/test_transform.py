@@ -191,3 +191,24 @@ def test_transform_refuses_all_pairs_condition(spark):
                                    "join": {"left": "p", "right": "r", "how": "inner",
                                             "on": "p.x > r.lo"}},
                            frames={"p": p, "r": r})
+
+
+@pytest.mark.parametrize("on,rule", [
+    ("p.x > r.lo AND p.x <= r.hi", lambda x, lo, hi: lo < x <= hi),
+    ("r.hi >= p.x AND r.lo <= p.x", lambda x, lo, hi: lo <= x <= hi),
+    ("r.lo < p.x AND r.hi > p.x", lambda x, lo, hi: lo < x < hi),
+    ("p.x < r.hi AND r.lo <= p.x", lambda x, lo, hi: lo <= x < hi),
+])
+def test_range_operators_and_orders_on_bin_edges(spark, on, rule):
+    # values sit exactly on bin edges (width 2.0) and on range ends
+    pts = [(i, float(x)) for i, x in enumerate([0, 1, 2, 3, 4, 6, 8, 10, 2, 4])]
+    rngs = [(0, 0.0, 2.0), (1, 2.0, 4.0), (2, 3.0, 3.0), (3, 4.0, 10.0), (4, 1.0, 9.0)]
+    p = spark.createDataFrame(pts, "pid int, x double")
+    r = spark.createDataFrame(rngs, "rid int, lo double, hi double")
+    out = run_transformation(spark, {"sources": [{"alias": "p"}, {"alias": "r"}],
+                                     "join": {"left": "p", "right": "r", "how": "inner",
+                                              "on": on, "bin_width": 2.0}},
+                             frames={"p": p, "r": r})
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+    want = sorted((pid, rid) for pid, x in pts for rid, lo, hi in rngs if rule(x, lo, hi))
+    assert sorted((row.pid, row.rid) for row in out.collect()) == want

@@ -107,7 +107,10 @@ def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
     shuffle on the keys, or broadcast when the planner's size check allows
     it.  A pure range condition (``l.x >= r.lo AND l.x < r.hi``) becomes a
     binned equi-join (``bin_width`` from the config, else the ranges' mean
-    length).  Any other condition that would plan as a nested loop or a
+    length) for inner joins, and for left / semi / anti joins with the points
+    on the left (right joins with the points on the right, mirrored); a full
+    outer range join would need each unmatched range once and is not binned.
+    Any other condition that would plan as a nested loop or a
     Cartesian product over two sides without a proven row bound, i.e.
     compare all pairs, is refused.
     """
@@ -124,11 +127,15 @@ def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
         side, point, lo, hi = rng
         # every pair must meet once, and a range row is repeated per bin:
         # only joins that keep no unmatched range rows may use bins
+        on, width = join["on"], join.get("bin_width")
         if jt == "inner" or (side == left and jt in ("left", "left_semi", "left_anti")):
-            on = join["on"]
             return binned_range_join(ldf, rdf, side == left, point, lo, hi,
-                                     lambda lb, rb: F.expr(on), jt, join.get("bin_width"),
-                                     aliases=(left, right))
+                                     lambda lb, rb: F.expr(on), jt, width, aliases=(left, right))
+        if jt == "right" and side == right:
+            # the mirror of a left join with the points first; left columns first again
+            out = binned_range_join(rdf, ldf, True, point, lo, hi, lambda rb, lb: F.expr(on),
+                                    "left", width, aliases=(right, left))
+            return out.select(f"{left}.*", f"{right}.*")
     out = ldf.alias(left).join(rdf.alias(right), F.expr(join["on"]), jt)
     if unbounded_all_pairs(out):
         raise ValueError(

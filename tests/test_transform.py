@@ -212,3 +212,21 @@ def test_range_operators_and_orders_on_bin_edges(spark, on, rule):
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
     want = sorted((pid, rid) for pid, x in pts for rid, lo, hi in rngs if rule(x, lo, hi))
     assert sorted((row.pid, row.rid) for row in out.collect()) == want
+
+
+def test_right_range_join_with_points_on_the_right(spark):
+    pts, rngs, p, r = _range_frames(spark)
+    out = run_transformation(spark, {"sources": [{"alias": "r"}, {"alias": "p"}],
+                                     "join": {"left": "r", "right": "p", "how": "right",
+                                              "on": "r.lo <= p.x AND p.x < r.hi"}},
+                             frames={"p": p, "r": r})
+    assert out.columns == ["rid", "lo", "hi", "pid", "x"]
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+    def hit(x, lo, hi):
+        return x is not None and lo is not None and hi is not None and lo <= x < hi
+    pairs = [(pid, rid) for pid, x in pts for rid, lo, hi in rngs if hit(x, lo, hi)]
+    matched = {pid for pid, _ in pairs}
+    key = lambda t: (t[0], -1 if t[1] is None else t[1])
+    want = sorted(pairs + [(pid, None) for pid, _ in pts if pid not in matched], key=key)
+    assert sorted(((row.pid, row.rid) for row in out.collect()), key=key) == want

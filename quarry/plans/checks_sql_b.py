@@ -75,9 +75,10 @@ sql_check("sql_ranking_more", """
 SELECT c_custkey,
   CAST(dense_rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment) AS BIGINT) AS dr,
   CAST(ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS BIGINT) AS quartile,
-  round(percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 6) AS pr,
-  round(cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey), 6) AS cd
-FROM customer""", None, "customer")
+  percent_rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS pr,
+  cume_dist() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS cd
+FROM customer""", None, "customer")  # ratios of counts: the same double in both engines,
+# so no rounding (a 6-place round of a tie like 41/640 differs between them)
 
 sql_check("sql_frames_rows", """
 SELECT conv_id, turn,

@@ -5,8 +5,8 @@
 * counts over the **full** data in a single aggregate pass (one scan; each
   task pre-aggregates, the shuffle carries one partial row per task):
   missing values (NULL, and NaN in float columns), distinct values
-  (``approx_count_distinct`` by default; exact ``count_distinct`` on request,
-  which plans an Expand of rows × columns), min / max / mean of numeric
+  (a HyperLogLog sketch of value hashes by default, ~1.6 % error; exact
+  ``count_distinct`` on request, which plans an Expand of rows × columns), min / max / mean of numeric
   columns with NaN treated as missing;
 * sample values from a bounded, seeded sample: the ``sample_size`` rows with
   the smallest ``xxhash64`` of the row (a per-task top-k, never a sort or a
@@ -32,6 +32,7 @@ SAMPLE_SIZE = 1000
 SAMPLES_SHOWN = 5
 ANNOTATION_SAMPLES = 10
 DEFAULT_AI_CONFIDENCE = 0.7
+HLL_LG_K = 12  # 4,096 sketch slots: ~1.6 % relative error, a few KB per column
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType,
             T.DecimalType)
@@ -71,7 +72,11 @@ def _stats_sql(i: int, f: T.StructField, exact_distinct: bool) -> str:
     is_float = isinstance(f.dataType, FLOAT_TYPES)
     clean = f"nanvl({c}, CAST(NULL AS {f.dataType.simpleString()}))" if is_float else c
     missing = f"({c} IS NULL OR isnan({c}))" if is_float else f"{c} IS NULL"
-    distinct = f"count(DISTINCT {clean})" if exact_distinct else f"approx_count_distinct({clean})"
+    # approximate distinct: a DataSketches HLL (lgK 12, ~1.6 % error) of the
+    # values' 64-bit hashes; NULL/NaN are not hashed (xxhash64(NULL) is not NULL)
+    distinct = (f"count(DISTINCT {clean})" if exact_distinct else
+                f"hll_sketch_estimate(hll_sketch_agg(CASE WHEN {clean} IS NOT NULL "
+                f"THEN xxhash64({clean}) END, {HLL_LG_K}))")
     num = f"CAST({clean} AS DOUBLE)"
     numeric = isinstance(f.dataType, _NUMERIC)
     none = "CAST(NULL AS DOUBLE)"

@@ -170,7 +170,10 @@ def profile_columns(df: DataFrame, knowledge: DataFrame | None = None,
                         auto_description("column_name", "data_type", "semantic_type"))
             .withColumn("column_key", column_key_col("column_name")))
     # booleans are typed "boolean" and get no min / max / mean
-    return apply_knowledge(prof, knowledge, keys=df.columns).orderBy("ordinal")
+    # One row per column: ordered inside one partition (no range-partition
+    # sampling job and no exchange, as a global orderBy would plan).
+    return (apply_knowledge(prof, knowledge, keys=df.columns)
+            .coalesce(1).sortWithinPartitions("ordinal"))
 
 
 _KNOWLEDGE_EMPTY = ("column_key string, description string, business_meaning string, "

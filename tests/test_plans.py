@@ -39,6 +39,19 @@ def test_profile_is_one_scan_one_exchange(spark):
     assert plan.count("FileScan parquet") == 1
 
 
+def test_profile_from_observed_stats_has_no_range_sort(spark):
+    # ingest passes stats built from observed metrics (a small local frame
+    # spread over several partitions): the per-column rows are ordered in
+    # one partition, with no range-partitioning exchange or sampling job
+    from quarry.operators.profile import column_stats
+    li = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    stats = column_stats(li).repartition(4)
+    prof = profile_columns(li, stats=stats, with_samples=False)
+    rows = prof.collect()
+    assert [r["ordinal"] for r in rows] == sorted(r["ordinal"] for r in rows)
+    assert "rangepartitioning" not in _plan(prof).lower()
+
+
 def test_profile_joins_are_bounded_broadcasts(spark):
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     k = spark.createDataFrame([("l_tax", "Tax rate", None, None)],

@@ -42,6 +42,22 @@ def _q(name: str):
     return col_ref(name)
 
 
+def _needs_text(dt: T.DataType) -> bool:
+    """Maps and variants (anywhere in a type) can be neither hashed nor
+    grouped in Spark: such columns are hashed and counted by their JSON text."""
+    if isinstance(dt, (T.MapType, T.VariantType)):
+        return True
+    if isinstance(dt, T.ArrayType):
+        return _needs_text(dt.elementType)
+    if isinstance(dt, T.StructType):
+        return any(_needs_text(f.dataType) for f in dt.fields)
+    return False
+
+
+def _hashable(f: T.StructField):
+    return F.to_json(_q(f.name)) if _needs_text(f.dataType) else _q(f.name)
+
+
 def profile_table(df: DataFrame) -> DataFrame:
     """Row count and column count (P1), one row."""
     return df.agg(F.count(F.lit(1)).alias("row_count")) \
@@ -61,7 +77,7 @@ def sample_rows(df: DataFrame, n: int = SAMPLE_SIZE, seed: int = 42) -> DataFram
     Planned as TakeOrderedAndProject: each task keeps its own top ``n`` and
     only those are merged, so memory and shuffle stay O(n × tasks).
     """
-    h = F.xxhash64(F.lit(seed), *[_q(c) for c in df.columns])
+    h = F.xxhash64(F.lit(seed), *[_hashable(f) for f in df.schema.fields])
     return df.withColumn("_h", h).orderBy("_h").limit(n)
 
 
@@ -72,6 +88,8 @@ def _stats_sql(i: int, f: T.StructField, exact_distinct: bool) -> str:
     is_float = isinstance(f.dataType, FLOAT_TYPES)
     clean = f"nanvl({c}, CAST(NULL AS {f.dataType.simpleString()}))" if is_float else c
     missing = f"({c} IS NULL OR isnan({c}))" if is_float else f"{c} IS NULL"
+    if _needs_text(f.dataType):  # distinct values by JSON text
+        clean = f"to_json({c})"
     # approximate distinct: a DataSketches HLL (lgK 12, ~1.6 % error) of the
     # values' 64-bit hashes; NULL/NaN are not hashed (xxhash64(NULL) is not NULL)
     distinct = (f"count(DISTINCT {clean})" if exact_distinct else

@@ -59,6 +59,18 @@ def test_boolean_has_no_numeric_stats(spark):
     assert r.semantic_type == "boolean" and r.min is None
 
 
+@pytest.mark.parametrize("exact", [False, True])
+def test_map_and_variant_columns_profile_by_json_text(spark, exact):
+    # maps and variants cannot be hashed or grouped: counted by JSON text
+    df = spark.sql("""SELECT id, map('a', id % 7) AS m, array(map('k', id % 3)) AS am,
+        CASE WHEN id % 5 = 0 THEN NULL ELSE parse_json(concat('{"k":', id % 4, '}')) END AS v
+        FROM range(50)""")
+    got = {r["column_name"]: r for r in profile_columns(df, exact_distinct=exact).collect()}
+    assert [got[c]["unique_values"] for c in ("m", "am", "v")] == [7, 3, 4]
+    assert got["v"]["null_count"] == 10 and got["m"]["null_count"] == 0
+    assert all(len(got[c]["sample_values"]) == 5 for c in ("m", "am", "v"))
+
+
 def test_samples_bounded_and_seeded(spark):
     li = spark.read.parquet(f"{SF001}/lineitem.parquet")
     assert sample_rows(li, 100).count() == 100

@@ -19,12 +19,16 @@ File (little-endian, sections aligned to 8 bytes)::
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +49,10 @@ MAGIC = b"QRYDAC1\0"
 BLOCK = 512
 END_ID = 2
 SHARD_TOKENS = 4 << 20
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
+MARKED = re.compile(r"(.+?)([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch  # a word, then ASCII marks other than '
 SHARD_SCHEMA = "part int, seq int, file string, n_docs long, n_ids long, n_bytes long"
-DOC_SCHEMA = "doc_id long, local_start long, n_tokens long, ids_crc32 long, part int, seq int"
+DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 # ---------------------------------------------------------------- the codes
@@ -149,9 +154,11 @@ class Shard:
 # ---------------------------------------------------------------- tokenizing
 class WordTokenizer:
     """Ids of whole texts by a tokenizers file whose splitting never joins
-    characters across an ASCII blank (the public word-level BPE: blanks only
-    separate).  Equal blank-separated pieces then have equal ids wherever
-    they stand, so each distinct piece is encoded once and looked up after.
+    characters across an ASCII blank and which lower-cases (the public
+    word-level BPE: blanks only separate).  Equal pieces between blanks then
+    have equal ids wherever they stand, so each distinct piece is encoded
+    once and looked up after.  Texts that may hold a special token's string
+    (which would be matched before lower-casing) are encoded as they stand.
     The store of pieces is bounded by ``CACHE_WORDS`` and begun anew beyond it."""
 
     def __init__(self, path: str):
@@ -159,36 +166,85 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
+        suffix = json.loads(self._tok.to_str())["model"].get("end_of_word_suffix") or ""
+        vocab = self._tok.get_vocab(with_added_tokens=False)
+        self._ends = np.zeros(max(vocab.values()) + 1, bool)
+        if suffix:
+            self._ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._clear()
 
     def _clear(self) -> None:
-        self._code: dict[bytes, int] = {}
+        self._code: dict[str, int] = {}
         self._flat, self._start, self._len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self._tok.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        n = np.array([len(g) for g in got], np.int64)
-        starts = len(self._flat) + np.cumsum(n) - n
-        self._flat = np.concatenate([self._flat, np.array([i for g in got for i in g], np.uint32)])
-        self._start, self._len = np.concatenate([self._start, starts]), np.concatenate([self._len, n])
-        base = len(self._code)
-        self._code.update(zip(words, range(base, base + len(words))))
-
-    def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of letters only, each one pre-token.  ASCII words go
+        straight to the model, as lower-casing and the byte mapping leave
+        them alone; others are encoded as one text and parted at the tokens
+        that end a word."""
+        if words[0].isascii():
+            got = [[t.id for t in self._tok.model.tokenize(w)] for w in words]
+            return np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+        ids = np.array(self._tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        last = np.flatnonzero(self._ends[ids])
+        if len(last) != len(words) or (len(ids) and last[-1] != len(ids) - 1):
+            return self._ids(words)  # the tokenizer sees other letters than Python does
+        return ids, np.diff(last, prepend=-1)
+
+    def _store(self, words: list[str], flat: np.ndarray, n: np.ndarray) -> None:
+        self._start = np.concatenate([self._start, len(self._flat) + np.cumsum(n) - n])
+        self._len, self._flat = np.concatenate([self._len, n]), np.concatenate([self._flat, flat])
+        self._code.update(zip(words, range(len(self._code), len(self._code) + len(words))))
+
+    def _learn(self, words: list[str]) -> None:
+        """Store new pieces.  A piece of letters and then ASCII marks is two
+        pre-tokens, so it has the ids of its two parts."""
+        known, parts = self._code, {w: m.groups() for w in words if (m := MARKED(w)) and m[1].isalpha()}
+        bare = dict.fromkeys([w for w in words if w not in parts] + [x for p in parts.values() for x in p])
+        new = [w for w in bare if w not in known]
+        plain = [w for w in new if w.isascii() and w.isalpha()]
+        letters = [w for w in new if not w.isascii() and w.isalpha() and unicodedata.is_normalized("NFC", w) and w.lower().isalpha()]
+        rest = list(dict.fromkeys(new) - dict.fromkeys(plain + letters).keys())
+        for some, encode in ((plain, self._letters), (letters, self._letters), (rest, self._ids)):
+            if some:
+                self._store(some, *encode(some))
+        if parts:
+            codes = np.array([(known[a], known[b]) for a, b in parts.values()], np.int64).ravel()
+            lens = self._len[codes]
+            self._store(list(parts), self._flat[ragged(self._start[codes], lens)], lens.reshape(-1, 2).sum(axis=1))
+
+    def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, number of ids of each)."""
-        split = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        texts = pc.fill_null(texts, "")
+        odd = np.zeros(len(texts), bool)
+        for s in self._special:
+            odd |= np.asarray(pc.match_substring(texts, s, ignore_case=True))
+        whole = dict(zip(np.flatnonzero(odd).tolist(), texts.filter(pa.array(odd)).to_pylist()))
+        pieces = pc.ascii_split_whitespace(pc.ascii_lower(pc.if_else(pa.array(odd), "", texts)))
+        counts = np.diff(pieces.offsets.to_numpy())
+        coded = pieces.flatten().dictionary_encode()
         if len(self._code) > CACHE_WORDS:
             self._clear()
-        code = self._code
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in code))
+        seen = coded.dictionary.to_pylist()
+        new = [w for w in seen if w not in self._code]
         if new:
             self._learn(new)
-        counts = np.array([len(ws) for ws in split], np.int64)
-        codes = np.fromiter((code[w] for ws in split for w in ws), np.int64, int(counts.sum()))
-        lens = self._len[codes]
-        flat = self._flat[ragged(self._start[codes], lens)]
+        code = np.fromiter(map(self._code.__getitem__, seen), np.int64, len(seen))[coded.indices.to_numpy()]
+        lens = self._len[code]
+        flat = self._flat[ragged(self._start[code], lens)]
         ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(counts)]
         per = np.diff(ends, prepend=0)
+        if whole:
+            ids, n = self._ids(list(whole.values()))
+            at = np.fromiter(whole, np.int64)
+            flat = np.insert(flat, np.repeat(ends[at], n), ids)
+            per[at] = n
+            ends = np.cumsum(per)
         if end_id is not None:
             flat, per = np.insert(flat, ends, np.uint32(end_id)), per + 1
         return flat, per
@@ -228,7 +284,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: s
             doc_ids, lens, ids, held = [], [], [], 0
 
         for b in small_batches(batches, "_t", 4 << 20):
-            flat, per = tok.encode(b.column("_t").to_pylist(), end_id)
+            flat, per = tok.encode(b.column("_t"), end_id)
             doc_ids += b.column("_id").to_pylist()
             lens.append(per)
             ids.append(flat)
@@ -256,18 +312,14 @@ def read_documents(manifest: DataFrame) -> DataFrame:
                 shard = Shard.of(read_file(row["file"]))
                 docs, starts = shard.documents()
                 crc = [zlib.crc32(shard.ids(int(a), int(z)).astype("<u4").tobytes()) for a, z in zip(starts, starts[1:])]
-                n = len(docs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(docs, pa.int64()), pa.array(starts[:-1], pa.int64()), pa.array(np.diff(starts), pa.int64()),
-                     pa.array(crc, pa.int64()), pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32())],
-                    ["doc_id", "local_start", "n_tokens", "ids_crc32", "part", "seq"])
+                    [pa.array(docs, pa.int64()), pa.array(starts[:-1] + row["base"]), pa.array(np.diff(starts)), pa.array(crc, pa.int64())],
+                    ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # One row per shard: the running sum is over files, not documents.
+    # One row per shard of some million ids: the running sum is over files, not documents.
     before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    base = manifest.select("part", "seq", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("_base"))
-    files = manifest.select("part", "seq", "file").repartition(shuffle_width(manifest.sparkSession))
-    return (files.mapInArrow(run, DOC_SCHEMA).join(base, ["part", "seq"])
-            .select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32"))
+    files = manifest.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
+    return files.repartition(shuffle_width(manifest.sparkSession)).mapInArrow(run, DOC_SCHEMA)
 
 
 def tokens_round_trip(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:

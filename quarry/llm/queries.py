@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, mixing, token_codes
+from quarry.llm import decontaminate, jaccard, mixing, token_codes
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -36,10 +36,15 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_codes": op2_token_codes,
     "op3_decontamination": op3_decontamination,
     "op5_mixing": op5_mixing,
+    "op7_jaccard_join": op7_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}

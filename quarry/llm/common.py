@@ -7,7 +7,11 @@ computed once, and survives the loss of any executor.
 
 from __future__ import annotations
 
+import contextlib
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +26,34 @@ BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANKS = r"[^\x20\x09-\x0D]+"
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per session, for clusters where
+    it isn't installed or submitted with ``--py-files``."""
+    sc = spark.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    out = Path(tempfile.mkdtemp(prefix="quarry-ship-")) / "quarry.zip"  # on the driver; Spark hands it out
+    with zipfile.ZipFile(out, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, Path(root.name) / f.relative_to(root))
+    sc.addPyFile(str(out))
+    sc._quarry_shipped = True
+
+
+@contextlib.contextmanager
+def batch_rows(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows for the jobs started inside, for
+    tables whose single rows are large."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to a fresh shared folder and read it back."""
     spark = df.sparkSession

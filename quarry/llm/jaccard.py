@@ -7,20 +7,22 @@ overlap of every two documents.  Only entries of at least the overlap that
 1. *Rows*: documents of equal shingle sets are one class (one matrix row).
 2. *Column order*: every column (shingle) is counted over all documents, 4
    bytes each.  Two bitmaps of fixed size say "in two documents or more" and
-   "in ``HEAVY`` or more"; columns are ordered rare first, then by hash.
-   Any such order is right; the counts only make it cheap.
+   "in ``HEAVY`` or more"; columns of one document come first, heavy ones
+   last, each by hash.  Any such order is right; the counts only make it
+   cheap: a row with a quarter of columns of its own has nothing to join.
 3. *Prefix block*: two similar rows share a column among the first
    n - ceil(0.75 n) + 1 of either, so only those columns are joined, minus
    columns of one document.  A pair goes on if its sizes, the places of the
    shared column in both rows, and the parity bitmaps of both rows (a lower
    bound of their difference) leave room for the overlap it needs.
-4. *Remaining block*: full rows are fetched for the surviving pairs alone
-   and their exact overlap is counted.
-
-To avoid all pairs of a large group, the prefix block is joined in two
-rounds: first each row against one row of its column and size band, then
-only rows that share a column but not yet a component.  A link between rows
-of one component changes nothing, so components are exact.
+4. *Remaining block*: for the surviving pairs alone the whole rows are
+   joined and their exact overlap is counted.
+
+To avoid all pairs of a large group, the prefix block is joined in rounds:
+first each row against one row of its column and size band, then again those
+that share a column but not yet a component, then all rows that share a
+column but not a component.  A link between rows of one component changes
+nothing, so components are exact.
 """
 
 from __future__ import annotations
@@ -34,16 +36,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import shuffle_width, small_batches, staged
+from quarry.llm.common import batch_rows, shuffle_width, small_batches, staged
 from quarry.llm.components import components
 from quarry.llm.shingles import least_difference, mix, parity_bitmap, set_digests, shingle_sets
 
 SIZE = 5
 PERCENT = 75
 HEAVY = 64
-SHARED_BITS, HEAVY_BITS, CLASS_BITS = 27, 23, 23  # log2 of the bitmaps' bits: 16 MB, 1 MB, 1 MB
-FLUSH = 1 << 20
-PIECE = 2 << 20
+SHARED_BITS, HEAVY_BITS = 27, 23  # log2 of the bitmaps' bits: 16 MB, 1 MB
+FLUSH = 1 << 19
+PIECE = 1 << 20
 _U = np.uint64
 
 
@@ -52,14 +54,6 @@ def _bloom_bits(keys: np.ndarray, bits: int, hashes: int) -> np.ndarray:
     return np.concatenate([(mix(keys, 41 + k) & _U((1 << bits) - 1)) for k in range(hashes)]).astype(np.int64)
 
 
-def _bloom_has(bitmap: np.ndarray, keys: np.ndarray, bits: int, hashes: int) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for k in range(hashes):
-        at = (mix(keys, 41 + k) & _U((1 << bits) - 1)).astype(np.int64)
-        out &= (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return out
-
-
 def _packed(at: np.ndarray, bits: int) -> bytes:
     flags = np.zeros(1 << bits, np.uint8)
     flags[at] = 1
@@ -150,7 +144,8 @@ def prefix_length(n: int, percent: int) -> int:
 
 def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row per class that has a shared column in its prefix: cls, n, its
-    parity bitmap, and those columns with their places in the row's order."""
+    parity bitmap, all its columns (``row``), those of the prefix with their places in the row's order, and a
+    number ``rid`` that stands for the class from here on."""
     shared_map, heavy_map, top = _column_counts(docs, size)
     maps = docs.sparkSession.sparkContext.broadcast((shared_map, heavy_map))
 
@@ -169,19 +164,20 @@ def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     continue
                 done.add(key)
                 row = slice(ends[d] - n, ends[d])
-                order = np.argsort(heavy[row], kind="stable")[: prefix_length(n, percent)]
+                order = np.argsort(shared[row] * (1 + heavy[row]), kind="stable")[: prefix_length(n, percent)]
                 place = np.flatnonzero(shared[row][order])
                 if len(place):
-                    out.append((key, n, parity_bitmap(hashes[row]), hashes[row][order[place]].astype(np.int64), place))
+                    out.append((key, n, parity_bitmap(hashes[row]), hashes[row].tobytes(), hashes[row][order[place]].astype(np.int64), place))
             if out:
-                lens = np.cumsum([0] + [len(o[3]) for o in out]).astype(np.int32)
+                lens = np.cumsum([0] + [len(o[4]) for o in out]).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(lens), pa.array(np.concatenate([o[i] for o in out]).astype(k)))
-                         for i, k in ((3, np.int64), (4, np.int32))]
+                         for i, k in ((4, np.int64), (5, np.int32))]
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.binary()), pa.array([o[1] for o in out], pa.int64()),
-                                                  pa.array([o[2] for o in out], pa.binary()), *lists], ["cls", "n", "bitmap", "cols", "places"])
+                                                  pa.array([o[2] for o in out], pa.binary()), pa.array([o[3] for o in out], pa.binary()), *lists],
+                                                 ["cls", "n", "bitmap", "row", "cols", "places"])
 
-    rows = docs.mapInArrow(run, "cls binary, n long, bitmap binary, cols array<long>, places array<int>")
-    return staged(rows.dropDuplicates(["cls"]), "jaccard-prefixes")
+    rows = docs.mapInArrow(run, "cls binary, n long, bitmap binary, row binary, cols array<long>, places array<int>")
+    return staged(rows.dropDuplicates(["cls"]).withColumn("rid", F.monotonically_increasing_id()), "jaccard-prefixes")
 
 
 # ---------------------------------------------------------------- pairs
@@ -192,7 +188,7 @@ def _needed(na: Column, nb: Column, percent: int) -> Column:
 
 def _bounded(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """Distinct (a, b, na, nb) whose parity bitmaps leave room for a link."""
-    side = lambda x: rows.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
+    side = lambda x: rows.select(F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("bitmap").alias(f"m{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,44 +199,16 @@ def _bounded(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
             may = (n - differ) * (100 + percent) >= 2 * percent * n
             yield pa.RecordBatch.from_arrays([b.column(c) for c in ("a", "b", "na", "nb")], ["a", "b", "na", "nb"]).filter(pa.array(may, pa.bool_()))
 
-    return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a binary, b binary, na long, nb long")
+    return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(run, "a long, b long, na long, nb long")
 
 
-def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs of enough exact overlap: the remaining block of the product,
-    over the full rows of the classes in ``pairs`` alone."""
-    pairs = staged(pairs, "jaccard-pairs")
-    ends = staged(pairs.select(F.col("a").alias("cls")).unionAll(pairs.select(F.col("b").alias("cls"))).distinct(), "jaccard-ends")
-
-    def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = np.unique(_bloom_bits(np.frombuffer(b"".join(b.column("cls").to_pylist()), np.uint64)[::2], CLASS_BITS, 1))
-            yield pa.RecordBatch.from_arrays([pa.array((at >> 15).astype(np.int32)), pa.array((at & 32767).astype(np.int32))], ["part", "bit"])
-
-    parts = ends.mapInArrow(bits, "part int, bit int").distinct().groupBy("part").applyInPandas(
-        lambda p: pd.DataFrame({"part": [int(p["part"].iloc[0])], "bits": [_packed(p["bit"].to_numpy(), 15)]}), "part int, bits binary")
-    wanted = np.zeros((1 << (CLASS_BITS - 15), 1 << 12), np.uint8)
-    for r in parts.toLocalIterator():  # 1 MB at most
-        wanted[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    bitmap = docs.sparkSession.sparkContext.broadcast(wanted.ravel())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[bytes] = set()
-        for b in small_batches(batches, "_t", PIECE):
-            hashes, sizes = shingle_sets(b.column("_t"), size)
-            digests, at = set_digests(hashes, sizes), np.cumsum(sizes)
-            hit = _bloom_has(bitmap.value, digests[:, 0], CLASS_BITS, 1) & (sizes > 0)
-            rows = []
-            for d in np.flatnonzero(hit):
-                key = digests[d].tobytes()
-                if key not in done:
-                    done.add(key)
-                    rows.append((key, hashes[at[d] - sizes[d]: at[d]].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary()) for i in range(2)], ["cls", "row"])
-
-    full = staged(docs.mapInArrow(run, "cls binary, row binary").join(ends, "cls", "left_semi").dropDuplicates(["cls"]), "jaccard-rows")
-    side = lambda x: full.select(F.col("cls").alias(x), F.col("row").alias(f"r{x}"))
+    over the rows of the classes in ``pairs`` alone."""
+    spark = rows.sparkSession
+    with batch_rows(spark, 1000):
+        pairs = staged(_bounded(pairs, rows, percent), "jaccard-pairs")
+    side = lambda x: rows.select(F.col("rid").alias(x), F.col("row").alias(f"r{x}"))
 
     def overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -252,7 +220,8 @@ def _links(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb")
-    return staged(joined.mapInArrow(overlap, "a binary, b binary"), "jaccard-links")
+    with batch_rows(spark, 100):  # two whole rows in each
+        return staged(joined.mapInArrow(overlap, "a long, b long"), "jaccard-links")
 
 
 def _fits(percent: int) -> Column:
@@ -262,6 +231,26 @@ def _fits(percent: int) -> Column:
     return (small * 100 >= large * percent) & (room >= _needed(F.col("na"), F.col("nb"), percent))
 
 
+def _star(cells: DataFrame, order: Column, rows: DataFrame, percent: int) -> DataFrame:
+    """Links between the first row (by ``order``) of each column and size band
+    and the rows of other components in it: at most one pair for each cell."""
+    cells = cells.withColumn("band", F.floor(F.log("n") / math.log(100 / percent)).cast("int"))
+    first = cells.groupBy("col", "band").agg(F.min(F.struct(order.alias("_o"), "rid", "n", "place", "comp")).alias("_f"), F.count("*").alias("_k"))
+    first = staged(first.filter("_k > 1").select("col", "band", F.col("_f.rid").alias("a"), F.col("_f.n").alias("na"), F.col("_f.place").alias("pa"),
+                                                 F.col("_f.comp").alias("ca")), "jaccard-anchors")
+    met = cells.withColumnsRenamed({"rid": "b", "n": "nb", "place": "pb"}).join(first, ["col", "band"]).filter("comp != ca").filter(_fits(percent))
+    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _links(staged(pairs, "jaccard-met"), rows, percent)
+
+
+def _mixed(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """The cells of columns that rows of several components share, staged."""
+    groups = staged(components(links, "a", "b"), "jaccard-groups")
+    cells = cells.join(groups, cells["rid"] == groups["node"], "left").select("col", "rid", "n", "place", F.coalesce("component", "rid").alias("comp"))
+    mixed = cells.groupBy("col").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("col")
+    return staged(cells.join(staged(mixed, "jaccard-mixed"), "col", "left_semi"), "jaccard-cells")
+
+
 def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles (its set's size), cls (its
     set's digest) and component_id, the least doc_id reachable by links of at
@@ -274,36 +263,30 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"))
     members = _classes(texts, size)
     rows = _prefixes(texts.select("_t"), size, percent)
-    cells = rows.select("cls", "n", F.explode(F.arrays_zip("cols", "places")).alias("_c")).select(
-        "cls", "n", F.col("_c.cols").alias("col"), F.col("_c.places").alias("place"))
-
-    # round 1: one row of each column and size band against all others of it
-    band = F.floor(F.log("n") / math.log(100 / percent))
-    cells = cells.withColumn("band", band)
-    anchors = cells.groupBy("col", "band").agg(F.min(F.struct("cls", "n", "place")).alias("_first"), F.count("*").alias("_k"))
-    anchors = staged(anchors.filter("_k > 1").select("col", "band", F.col("_first.cls").alias("a"), F.col("_first.n").alias("na"), F.col("_first.place").alias("pa")), "jaccard-anchors")
-    met = cells.withColumnsRenamed({"cls": "b", "n": "nb", "place": "pb"}).join(anchors, ["col", "band"]).filter("a != b").filter(_fits(percent))
-    pairs = staged(met.select("a", "b").distinct(), "jaccard-met")
-    first = _links(_bounded(pairs, rows, percent), texts, size, percent)
-    groups = staged(components(first, "a", "b"), "jaccard-groups")
-
-    # round 2: rows that share a column but not a component
-    grouped = cells.join(groups, cells["cls"] == groups["node"], "left").select("col", "cls", "n", "place", F.coalesce("component", "cls").alias("comp"))
-    grouped = staged(grouped, "jaccard-cells")
+    cells = rows.select("rid", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("cols", "places")).alias("_c")).select(
+        F.col("_c.cols").alias("col"), "rid", "n", F.col("_c.places").alias("place"))
+
+    # round 1: one row of each column and size band against all others of it: that with the fewest
+    # columns of its own before it, as the text that others were copied from has
+    links = _star(cells.withColumn("comp", F.col("rid")), F.col("place"), rows, percent)
+    grouped = _mixed(cells, links)
+    # round 2: the same with another row, for rows that share a column but not yet a component
+    links = staged(links.unionAll(_star(grouped, F.xxhash64("col", "rid"), rows, percent)), "jaccard-links")
+    grouped = _mixed(grouped.drop("comp"), links)
+    # round 3: all rows that share a column but not a component
     comps = staged(grouped.groupBy("col", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "jaccard-comps")
-    mixed = comps.groupBy("col").agg(F.count("*").alias("_k")).filter("_k > 1").select("col")
-    comps = staged(comps.join(mixed, "col", "left_semi"), "jaccard-mixed")
     near = (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
     across = comps.alias("x").join(comps.alias("y"), (F.col("x.col") == F.col("y.col")) & (F.col("x.comp") < F.col("y.comp")) & near).select(
         F.col("x.col").alias("col"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    side = lambda x: grouped.select("col", F.col("comp").alias(f"c{x}"), F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
+    side = lambda x: grouped.select("col", F.col("comp").alias(f"c{x}"), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
     met = across.join(side("a"), ["col", "ca"]).join(side("b"), ["col", "cb"]).filter(_fits(percent))
     pairs = staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-met")
-    second = _links(_bounded(pairs, rows, percent), texts, size, percent)
+    links = links.unionAll(_links(pairs, rows, percent))
 
-    joined = staged(components(first.unionAll(second), "a", "b"), "jaccard-groups")
+    joined = components(links, "a", "b")
+    joined = staged(rows.select("rid", "cls").join(joined, F.col("rid") == F.col("node")).select("cls", F.col("component").cast("string").alias("comp")), "jaccard-groups")
     ids = members.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("_least"))
-    ids = staged(ids.join(joined, ids["cls"] == joined["node"], "left").select("cls", F.coalesce("component", "cls").alias("comp"), "_least"), "jaccard-ids")
+    ids = staged(ids.join(joined, "cls", "left").select("cls", F.coalesce("comp", F.hex("cls")).alias("comp"), "_least"), "jaccard-ids")
     least = staged(ids.groupBy("comp").agg(F.min("_least").alias("component_id")), "jaccard-least")
     named = staged(ids.join(least, "comp").select("cls", "component_id"), "jaccard-named")
     full = members.filter("n_shingles > 0").join(named, "cls").select("doc_id", "n_shingles", "cls", "component_id")

@@ -273,13 +273,20 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     # round 2: the same with another row, for rows that share a column but not yet a component
     links = staged(links.unionAll(_star(grouped, F.xxhash64("col", "rid"), rows, percent)), "jaccard-links")
     grouped = _mixed(grouped.drop("comp"), links)
-    # round 3: all rows that share a column but not a component
-    comps = staged(grouped.groupBy("col", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi")), "jaccard-comps")
-    near = (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
-    across = comps.alias("x").join(comps.alias("y"), (F.col("x.col") == F.col("y.col")) & (F.col("x.comp") < F.col("y.comp")) & near).select(
+    # round 3: all rows that share a column but not a component.  From its place in a row, a column leaves
+    # room for partners of at most ``cap`` columns, so of two similar rows one has a cap of its own size or
+    # more (else each would be smaller than the other): only such strong rows are joined with all.
+    cap = F.floor(F.lit(100 + percent) * (F.col("n") - F.col("place")) / F.lit(percent)).cast("int") - F.col("n")
+    grouped = grouped.withColumn("cap", cap)
+    comps = lambda c: c.groupBy("col", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max("cap").alias("cap"))
+    strong = grouped.filter("cap >= n")
+    near = ((F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
+            & (F.col("x.cap") >= F.col("y.lo")) & (F.col("y.cap") >= F.col("x.lo")))
+    across = comps(strong).alias("x").join(comps(grouped).alias("y"), (F.col("x.col") == F.col("y.col")) & (F.col("x.comp") != F.col("y.comp")) & near).select(
         F.col("x.col").alias("col"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    side = lambda x: grouped.select("col", F.col("comp").alias(f"c{x}"), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
-    met = across.join(side("a"), ["col", "ca"]).join(side("b"), ["col", "cb"]).filter(_fits(percent))
+    across = staged(across, "jaccard-across")
+    side = lambda c, x: c.select("col", F.col("comp").alias(f"c{x}"), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
+    met = across.join(side(strong, "a"), ["col", "ca"]).join(side(grouped, "b"), ["col", "cb"]).filter(_fits(percent))
     pairs = staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-met")
     links = links.unionAll(_links(pairs, rows, percent))
 

@@ -102,7 +102,7 @@ class Output:
         self.path = f"{folder.rstrip('/')}/{name}"
         f, p = file_system(self.path)
         f.create_dir(p.rsplit("/", 1)[0], recursive=True)
-        self._out = f.open_output_stream(p)
+        self._out = f.open_output_stream(p, compression=None)  # else a .gz name compresses once more
         self.n = 0
 
     def write(self, data: bytes) -> None:

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, jaccard, mixing, token_codes
+from quarry.llm import chunk_prints, decontaminate, jaccard, mixing, token_codes, warc
 from quarry.llm.common import ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -25,6 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
 def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.tokens_round_trip(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -42,11 +46,17 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op10_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_prints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_token_codes": op2_token_codes,
     "op3_decontamination": op3_decontamination,
     "op5_mixing": op5_mixing,
     "op7_jaccard_join": op7_jaccard_join,
+    "op10_chunk_prints": op10_chunk_prints,
 }
 
 ORACLE_SQL: dict[str, str] = {}

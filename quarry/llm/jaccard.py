@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import batch_rows, shuffle_width, small_batches, staged
+from quarry.llm.common import BLANKS, batch_rows, row_key, shuffle_width, small_batches, staged
 from quarry.llm.components import components
 from quarry.llm.shingles import least_difference, mix, parity_bitmap, set_digests, shingle_sets
 
@@ -127,15 +127,19 @@ def _in_blocks(bitmaps: np.ndarray, hashes: np.ndarray, top: int, n: int) -> np.
 
 # ---------------------------------------------------------------- the matrix's rows
 def _classes(docs: DataFrame, size: int) -> DataFrame:
-    """Every document with its set's size and digest, staged."""
+    """Every document (_id, and _key where there is one) with its set's size
+    and digest, staged."""
+    more = [c for c in docs.columns if c not in ("_id", "_t")]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "_t", PIECE):
             hashes, sizes = shingle_sets(b.column("_t"), size)
             digest = set_digests(hashes, sizes)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(sizes, pa.int64()), pa.array([d.tobytes() for d in digest], pa.binary())],
-                                             ["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(sizes, pa.int64()), pa.array([d.tobytes() for d in digest], pa.binary()),
+                                              *[b.column(c) for c in more]], ["doc_id", "n_shingles", "cls", *more])
 
-    return staged(docs.mapInArrow(run, "doc_id long, n_shingles long, cls binary"), "jaccard-classes")
+    kinds = "doc_id long, n_shingles long, cls binary" + "".join(f", {c} string" for c in more)
+    return staged(docs.mapInArrow(run, kinds), "jaccard-classes")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -251,17 +255,20 @@ def _mixed(cells: DataFrame, links: DataFrame) -> DataFrame:
     return staged(cells.join(staged(mixed, "jaccard-mixed"), "col", "left_semi"), "jaccard-cells")
 
 
-def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles (its set's size), cls (its
-    set's digest) and component_id, the least doc_id reachable by links of at
-    least ``percent`` per cent Jaccard similarity.
+def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, percent: int = PERCENT,
+                   keyed: bool = False) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles (its set's size), component_id
+    (the least doc_id reachable by links of at least ``percent`` per cent
+    Jaccard similarity), cls (its set's digest) and comp (its component's
+    name, null for the empty set); ``keyed`` adds _key, of its id and text.
 
     A null, empty or blank text has the empty set, links with nothing and is
     its own component; so its component_id is its own doc_id, null if that is
     null.  Repeated rows are copies.  Null ids are members but never the
     least id unless all are null.  Other columns are not read."""
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"))
-    members = _classes(texts, size)
+    key = row_key(F.col(id_col), F.col(text_col)).alias("_key")
+    members = _classes(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_t"), *[key] * keyed), size)
     rows = _prefixes(texts.select("_t"), size, percent)
     cells = rows.select("rid", F.col("n").cast("int").alias("n"), F.explode(F.arrays_zip("cols", "places")).alias("_c")).select(
         F.col("_c.cols").alias("col"), "rid", "n", F.col("_c.places").alias("place"))
@@ -295,7 +302,22 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     ids = members.filter("n_shingles > 0").groupBy("cls").agg(F.min("doc_id").alias("_least"))
     ids = staged(ids.join(joined, "cls", "left").select("cls", F.coalesce("comp", F.hex("cls")).alias("comp"), "_least"), "jaccard-ids")
     least = staged(ids.groupBy("comp").agg(F.min("_least").alias("component_id")), "jaccard-least")
-    named = staged(ids.join(least, "comp").select("cls", "component_id"), "jaccard-named")
-    full = members.filter("n_shingles > 0").join(named, "cls").select("doc_id", "n_shingles", "cls", "component_id")
-    empty = members.filter("n_shingles = 0").select("doc_id", "n_shingles", "cls", F.col("doc_id").alias("component_id"))
-    return full.unionAll(empty)
+    named = staged(ids.join(least, "comp").select(F.col("cls").alias("_cls"), "comp", "component_id"), "jaccard-named")
+    columns = ["doc_id", "n_shingles", "component_id", "cls", "comp", *["_key"] * keyed]
+    full = members.filter("n_shingles > 0").join(named, F.col("cls") == F.col("_cls")).select(*columns)
+    empty = members.filter("n_shingles = 0").withColumn("component_id", F.col("doc_id")).withColumn("comp", F.lit(None).cast("string"))
+    return full.unionAll(empty.select(*columns))
+
+
+def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` with one of each component, that of the least id
+    (null ids last; of equal ids the least key of id and text; of repeated
+    rows one).  Texts without words are in no group and all stay."""
+    groups = similar_groups(docs, id_col=id_col, text_col=text_col, keyed=True, **options)
+    groups = staged(groups.select("doc_id", "comp", "_key"), "jaccard-members")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"]
+    kept = staged(groups.filter("comp is not null").groupBy("comp").agg(first.alias("__kept")).select("__kept"), "jaccard-kept")
+    rows = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
+    words = F.length(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), BLANKS, "")) > 0
+    one = rows.filter(words).join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"])
+    return one.unionAll(rows.filter(~words)).select(*docs.columns)

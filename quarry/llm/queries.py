@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chunk_prints, decontaminate, jaccard, mixing, token_codes, warc
+from quarry.llm import chunk_prints, decontaminate, jaccard, language_id, mixing, pii_tagger, secret_scan, text_density, token_codes, warc
 from quarry.llm.common import ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -37,15 +37,32 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_key")
 
 
+def op4_text_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_density.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source", "source_size", "target", "taken")
 
 
+def op6_pii_tagger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_tagger.find(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(table(spark, sf_dir, "documents"), declared=F.col("lang"), host=F.col("source"))
+    return found.drop("_key")
+
+
+def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_prints.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -54,8 +71,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_codes": op2_token_codes,
     "op3_decontamination": op3_decontamination,
+    "op4_text_density": op4_text_density,
     "op5_mixing": op5_mixing,
+    "op6_pii_tagger": op6_pii_tagger,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_language_id": op8_language_id,
+    "op9_secret_scan": op9_secret_scan,
     "op10_chunk_prints": op10_chunk_prints,
 }
 

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,13 +181,23 @@ def draws(mixed: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
                       F.xxhash64(F.lit(seed + 1), "_h", "_rid", "copy").alias("_place"))
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a lasting row name ``__rid``: file and place of a row
+    that is read from files, else a row number in a staged copy."""
+    try:
+        path, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+        return docs.select("*", F.concat_ws(":", F.hex(F.xxhash64(path)), at).alias("__rid"))
+    except AnalysisException:
+        return staged(docs.withColumn("__rid", F.monotonically_increasing_id().cast("string")), "mix-rows")
+
+
 def mixed_documents(docs: DataFrame, seed: int = 0, shards: int = SHARDS, *, id_col: str = "doc_id",
                     text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: the rows of ``docs``, once per drawn copy, dealt to
     ``shards`` partitions and shuffled inside each.  A block cut at its
     source's edge keeps its first words; ``n_chars``, where there is one,
     is then counted anew."""
-    kept = staged(docs.withColumn("__rid", F.monotonically_increasing_id()), "mix-rows")
+    kept = _numbered(docs)
     sizes = kept.select(F.col("__rid").alias("_rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                         word_count(text_col).alias("size"), row_key(F.col(id_col), F.col(text_col)).alias("_key"))
     drawn = draws(mix_sizes(staged(sizes, "mix-sizes"), seed), shards, seed).select(

@@ -8,6 +8,7 @@ computed once, and survives the loss of any executor.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -130,6 +131,14 @@ def partition_id() -> int:
 
 
 # ---------------------------------------------------------------- batches
+def release_memory() -> None:
+    """Hand freed memory back at a task's end: Python workers live on, idle,
+    through stages that need the executor's memory elsewhere."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``text`` column has about ``limit`` bytes,
     so a task's memory does not follow the batch's row count.  Every row is
@@ -145,6 +154,8 @@ def small_batches(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 <
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield b.slice(at, to - at)
             at = to
+        del b, sizes, ends
+    release_memory()
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:

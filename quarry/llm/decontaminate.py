@@ -86,13 +86,14 @@ def _maybe(bitmap: Column, h: Column, bits: int = BITS) -> Column:
 def _positions(docs: DataFrame, lengths: list[int]) -> DataFrame:
     """(kept columns, _words, _at, _h) of every position and shingle length.
     Position n_words is the document's own row: it has no shingle."""
-    at = docs.select("*", F.explode(F.sequence(F.lit(0), F.size("_words"))).alias("_at"))
-    if len(lengths) == 1:
-        return at.withColumn("_h", _hash(F.col("_words"), F.col("_at"), lengths[0]))
-    hashes = F.array(*[_hash(F.col("_words"), F.col("_at"), n) for n in lengths])
-    own = F.col("_at") == F.size("_words")
-    each = F.when(own, F.array(F.lit(None).cast("long"))).otherwise(F.filter(hashes, lambda h: h.isNotNull()))
-    return at.withColumn("_h", F.explode(each))
+    n = len(lengths)
+    rows = docs.select("*", F.explode(F.sequence(F.lit(0), F.size("_words") * n)).alias("_i"))
+    rows = rows.withColumn("_at", F.floor(F.col("_i") / n).cast("int")) if n > 1 else rows.withColumnRenamed("_i", "_at")
+    h = _hash(F.col("_words"), F.col("_at"), lengths[0])
+    if n > 1:
+        turn = F.pmod(F.col("_i"), F.lit(n))
+        h = F.coalesce(*[F.when(turn == k, _hash(F.col("_words"), F.col("_at"), size)) for k, size in enumerate(lengths)])
+    return rows.withColumn("_h", h)
 
 
 def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",

@@ -48,8 +48,8 @@ from quarry.session import scratch_path
 MAGIC = b"QRYDAC1\0"
 BLOCK = 512
 END_ID = 2
-SHARD_TOKENS = 4 << 20
-CACHE_WORDS = 600_000
+SHARD_TOKENS = 2 << 20
+CACHE_WORDS = 300_000
 MARKED = re.compile(r"(.+?)([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch  # a word, then ASCII marks other than '
 SHARD_SCHEMA = "part int, seq int, file string, n_docs long, n_ids long, n_bytes long"
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -60,11 +60,11 @@ def split_levels(ids: np.ndarray, width: int = 8) -> list[tuple[np.ndarray, np.n
     """Chunk arrays and continuation flags of each level (at least one)."""
     if width not in (8, 16):
         raise ValueError("width must be 8 or 16 bits")
-    kind, rest, out = (np.uint8 if width == 8 else np.uint16), ids.astype(np.uint64), []
+    kind, rest, out = (np.uint8 if width == 8 else np.uint16), ids.astype(np.uint32), []
     while True:
-        more = rest >> np.uint64(width)
+        more = rest >> np.uint32(width)
         goes_on = more > 0
-        out.append(((rest & np.uint64((1 << width) - 1)).astype(kind), goes_on))
+        out.append(((rest & np.uint32((1 << width) - 1)).astype(kind), goes_on))
         if not goes_on.any():
             return out
         rest = more[goes_on]
@@ -283,7 +283,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: s
             done.append((part, len(done), out.path, len(doc_ids), held, len(data)))
             doc_ids, lens, ids, held = [], [], [], 0
 
-        for b in small_batches(batches, "_t", 4 << 20):
+        for b in small_batches(batches, "_t", 2 << 20):
             flat, per = tok.encode(b.column("_t"), end_id)
             doc_ids += b.column("_id").to_pylist()
             lens.append(per)

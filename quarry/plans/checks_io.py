@@ -14,7 +14,7 @@ from quarry.plans.registry import check, table, table_path, table_refs
 from quarry.session import scratch_path
 from quarry.sinks.writers import (export_result, write_chunked, write_combined, write_csv,
                                   write_json, write_parquet)
-from quarry.sources.files import scan_csv, scan_json, scan_parquet
+from quarry.sources.files import CSV_SNAPSHOT_READ, scan_csv, scan_json, scan_parquet
 from quarry.sources.records import unwrap_records
 from quarry.sources.registry import preview_source, read_source
 from quarry.sources.synthetic import synthetic_columns
@@ -34,7 +34,7 @@ def s_csv(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     out = scratch_path(spark, "csv")
     write_csv(orders, out)
-    return scan_csv(spark, out, schema=orders.schema)
+    return scan_csv(spark, out, schema=orders.schema, **CSV_SNAPSHOT_READ)
 
 
 @check("scan_json", oracle="SELECT * FROM orders")
@@ -122,7 +122,7 @@ def k_csv(spark, sf_dir):
     orders = table(spark, sf_dir, "orders")
     out = scratch_path(spark, "csvgz")
     write_csv(orders, out, compression="gzip")
-    return scan_csv(spark, out, schema=orders.schema)
+    return scan_csv(spark, out, schema=orders.schema, **CSV_SNAPSHOT_READ)
 
 
 @check("write_json", oracle="SELECT * FROM customer")
@@ -157,7 +157,7 @@ def k_export(spark, sf_dir):
                   "ORDER BY o_orderkey", cap=EXPORT_CAP)
     out = scratch_path(spark, "export")
     export_result(res.df, out, "csv")
-    return scan_csv(spark, out, schema=res.df.schema)
+    return scan_csv(spark, out, schema=res.df.schema, **CSV_SNAPSHOT_READ)
 
 
 @check("coerce_mixed_types", oracle="SELECT vec_id, embedding, label FROM embeddings")
@@ -168,7 +168,7 @@ def k_coerce(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     out = scratch_path(spark, "csv-nested")
     write_csv(emb, out)
-    text = _scan_csv(spark, out, schema="vec_id bigint, embedding string, label int")
+    text = _scan_csv(spark, out, schema="vec_id bigint, embedding string, label int", **CSV_SNAPSHOT_READ)
     return text.select("vec_id", F.from_json("embedding", "array<float>").alias("embedding"),
                        "label")
 

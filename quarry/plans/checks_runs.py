@@ -21,6 +21,26 @@ def r_ingest(spark, sf_dir):
     return cat.read_snapshot(did)
 
 
+def _through_catalog(name: str, fmt: str):
+    """Ingest a whole table in a text format and read it back by its id."""
+    def run(spark, sf_dir):
+        cat = Catalog(spark, scratch_path(spark, "catalog"))
+        did = cat.create_dataset(name, {"type": "parquet", "path": table_path(sf_dir, name)},
+                                 options={"format": fmt, "profile": False})
+        res = cat.ingest(did)
+        if res["status"] != "success":
+            raise RuntimeError(res)
+        return cat.read_snapshot(did)
+    return run
+
+
+# texts with newlines, quotes and blanks, and dates and numbers, come back as they were
+for _name, _table, _fmt in (("csv_text_round_trip", "documents", "csv"), ("csv_pages_round_trip", "pages", "csv"),
+                            ("csv_types_round_trip", "orders", "csv"), ("json_text_round_trip", "documents", "json"),
+                            ("json_pages_round_trip", "pages", "json"), ("json_types_round_trip", "orders", "json")):
+    check(_name, oracle=f"SELECT * FROM {_table}")(_through_catalog(_table, _fmt))
+
+
 @check("register_transformation", oracle="""
 SELECT o.o_orderpriority AS o_orderpriority, CAST(count(*) AS BIGINT) AS n_lines,
        round(sum(l.l_quantity), 2) AS qty

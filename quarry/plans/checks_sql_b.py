@@ -136,15 +136,25 @@ SELECT d.doc_id, d.lang FROM documents d LEFT ANTI JOIN labels l ON d.doc_id = l
 SELECT d.doc_id, d.lang FROM documents d ANTI JOIN labels l ON d.doc_id = l.doc_id""",
           "documents", "labels")
 
+# NOT IN written so that neither side has to fit in memory: an anti join on
+# the key, and one flag for a NULL in the list (a plain NOT IN sends the list
+# to every task whatever its size).
 sql_check("sql_not_in", """
+SELECT doc_id FROM documents d
+WHERE NOT (SELECT coalesce(bool_or(doc_id IS NULL), false) FROM labels WHERE toxic = 1)
+  AND NOT EXISTS (SELECT 1 FROM labels l WHERE l.toxic = 1 AND l.doc_id = d.doc_id)
+  AND (d.doc_id IS NOT NULL OR NOT EXISTS (SELECT 1 FROM labels WHERE toxic = 1))""", """
 SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
-          None, "documents", "labels")
+          "documents", "labels")
 
 # NOT IN against a list holding a NULL is never true: no rows qualify.
 sql_check("sql_not_in_null", """
+SELECT CAST(count(*) AS BIGINT) AS n FROM documents d
+WHERE NOT (SELECT coalesce(bool_or(toxic = 1 OR doc_id IS NULL), false) FROM labels)
+  AND NOT EXISTS (SELECT 1 FROM labels l WHERE (l.toxic <> 1 OR l.toxic IS NULL) AND l.doc_id = d.doc_id)""", """
 SELECT CAST(count(*) AS BIGINT) AS n FROM documents
 WHERE doc_id NOT IN (SELECT CASE WHEN toxic = 1 THEN NULL ELSE doc_id END FROM labels)""",
-          None, "documents", "labels")
+          "documents", "labels")
 
 
 # ---------------------------------------------------------------- B11

@@ -10,10 +10,12 @@ until the caller asks, and then only up to the cap.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterator, Mapping
 from dataclasses import dataclass, field
+from itertools import islice
 
-from pyspark.errors import AnalysisException, ParseException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.functions.names import sanitize_name
@@ -77,14 +79,21 @@ class QueryResult:
     def columns(self) -> list[str]:
         return self.df.columns
 
-    def collect(self, max_rows: int = EXPORT_CAP) -> dict:
-        """Materialise into the reported shape.  At most ``max_rows`` rows
-        reach the driver (the cap, or the statement's own LIMIT, is usually
-        smaller); ``truncated`` says when more were there.  Whole results
-        are written by executors (``export_result``), not collected."""
-        bound = min(self.cap, max_rows) if self.cap is not None else max_rows
-        got = self.df.limit(bound + 1).collect()
-        rows = [r.asDict(recursive=True) for r in got[:bound]]
+    def rows(self) -> Iterator[dict]:
+        """The result's rows one by one; the driver holds one partition at a time."""
+        try:
+            for r in self.df.toLocalIterator():
+                yield r.asDict(recursive=True)
+        except (PySparkException, Py4JJavaError) as e:  # an iterator's errors reach Python unconverted
+            raise QueryError(f"Query execution failed: {e}") from e
+
+    def collect(self, max_rows: int | None = None) -> dict:
+        """Materialise into the reported shape: all rows that the cap or the
+        statement's own LIMIT leaves, or the first ``max_rows`` if given
+        (``truncated`` says when more were there).  Large results are read
+        with :meth:`rows` or written by executors (``export_result``)."""
+        rows = list(islice(self.rows(), None if max_rows is None else max_rows + 1))
+        got, rows = len(rows), rows[:max_rows]
         out = {
             "rows": rows,
             "columns": self.columns,
@@ -92,7 +101,7 @@ class QueryResult:
             "execution_time_ms": round((time.time() - self.started) * 1000, 2),
             "views": self.views,
             "query_executed": self.sql,
-            "truncated": len(got) > bound,
+            "truncated": got > len(rows),
         }
         if not rows:
             out["hints"] = [
@@ -102,6 +111,28 @@ class QueryResult:
         return out
 
 
+def _only_queries(qs: SparkSession, text: str) -> None:
+    """Refuse a statement that is anything but a query: commands and inserts,
+    also below a WITH.  The text is parsed, nothing runs."""
+    of = qs._jvm.java.lang.Class.forName
+    loader = qs._jsparkSession.getClass().getClassLoader()
+    names = ("plans.logical.Command", "plans.logical.ParsedStatement")
+    kinds = [of(f"org.apache.spark.sql.catalyst.{n}", False, loader) for n in names]
+    sessions = qs._jvm.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(qs._jsparkSession)  # the parser follows the active session's dialect
+    try:
+        todo = [qs._jsparkSession.sessionState().sqlParser().parsePlan(text)]
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
+    while todo:
+        node = todo.pop()
+        if any(k.isInstance(node) for k in kinds) or node.nodeName().startswith("InsertInto"):
+            raise QueryError(f"Query execution failed: only queries are run, not {node.nodeName()}")
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
 def run_sql(spark: SparkSession, datasets: Mapping[str, DatasetRef], sql: str,
             cap: int | None = DEFAULT_CAP, allow_all_pairs: bool = False) -> QueryResult:
     """Run one Spark SQL statement over the named datasets.
@@ -114,6 +145,7 @@ def run_sql(spark: SparkSession, datasets: Mapping[str, DatasetRef], sql: str,
     qs, views = dataset_views(spark, datasets)
     text = strip_trailing_semicolons(sql)
     try:
+        _only_queries(qs, text)
         df = qs.sql(text)
     except (AnalysisException, ParseException) as e:
         raise QueryError(f"Query execution failed: {e}") from e

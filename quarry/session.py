@@ -115,6 +115,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small text file on any Hadoop file system."""
+    p, fs = _fs(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file's content, None where there is no such file."""
+    p, fs = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    src = fs.open(p)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(src, "UTF-8")
+    finally:
+        src.close()
+
+
 def query_session(spark: SparkSession) -> SparkSession:
     """An isolated session (own temp views) with the query dialect settings."""
     s = spark.newSession()

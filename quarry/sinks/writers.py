@@ -14,15 +14,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from quarry.session import count_files
+from quarry.session import count_files, write_text
+from quarry.sources.files import CSV_FILE_ROWS, CSV_SNAPSHOT, TIMES
 from quarry.sources.records import coerce_mixed_types
 
 CHUNK_ROWS = 10000           # rows per file in chunked mode (reference chunk size)
-COMBINE_MAX_ROWS = 1_000_000  # a single-file output above this is refused
-# A run row names its files only up to this many; the snapshot is the
-# directory, and a 100 TB snapshot has far more part files than a log row
-# should carry (the count is always kept).
-MAX_LISTED_FILES = 10_000
+SCHEMA_FILE = "_schema.json"  # beside the parts of a CSV or JSON snapshot
 FORMATS = ("parquet", "csv", "json")
 
 
@@ -77,23 +74,27 @@ def write_snapshot(df: DataFrame, path: str, fmt: str = "parquet", compression:
     obs = Observation("write")
     out = df.observe(obs, F.count(F.lit(1)).alias("rows"), *(observe or []))
     if combine:
-        out = out.coalesce(1)
+        out = out.repartition(1)  # only the write is one task, not what is upstream
     w = out.write.mode(mode).option("compression", _compression(fmt, compression))
     if max_records_per_file:
         w = w.option("maxRecordsPerFile", int(max_records_per_file))
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.option("header", "true").csv(path)
+        if not combine and not max_records_per_file:
+            w = w.option("maxRecordsPerFile", CSV_FILE_ROWS)
+        w.options(**CSV_SNAPSHOT).csv(path)
     elif fmt == "json":
-        w.json(path)
+        w.options(**TIMES).option("ignoreNullFields", "false").json(path)
     else:
         w.parquet(path)
+    if fmt != "parquet":  # text formats don't keep it
+        write_text(df.sparkSession, f"{path}/{SCHEMA_FILE}", df.schema.json())
     metrics = obs.get
     rows = int(metrics.get("rows", 0))
-    n_files, files = count_files(df.sparkSession, path, MAX_LISTED_FILES)
+    n_files, files = count_files(df.sparkSession, path)
     return {"total_rows": rows, "total_chunks": n_files,
-            "files_written": files if n_files <= MAX_LISTED_FILES else [],
+            "files_written": files,
             "primary_file": path, "output_path": path, "format": fmt, "observed": metrics}
 
 
@@ -116,16 +117,9 @@ def write_chunked(df, path, fmt="parquet", compression=None, chunk_rows=CHUNK_RO
     return write_snapshot(df, path, fmt, compression, max_records_per_file=chunk_rows)
 
 
-def write_combined(df, path, fmt="parquet", compression=None, max_rows=COMBINE_MAX_ROWS):
-    """One output file (K6), for small outputs only.
-
-    Writing one file funnels all rows through one task, so the row count is
-    checked first (a bounded ``limit`` count, not a full pass) and a larger
-    output is refused rather than written by a single task.
-    """
-    n = df.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError(f"combine refused: more than {max_rows} rows; write chunked instead")
+def write_combined(df, path, fmt="parquet", compression=None):
+    """One output file (K6), at any size: the caller's explicit choice.  The
+    rows are computed in parallel and pass through one writing task."""
     return write_snapshot(df, path, fmt, compression, combine=True)
 
 
@@ -199,18 +193,11 @@ def write_destination(df: DataFrame, destination: Mapping, options: Mapping | No
 
 # --------------------------------------------------------------- export (K8)
 
-def export_result(df: DataFrame, path: str, fmt: str = "csv",
-                  max_rows: int = COMBINE_MAX_ROWS) -> dict:
+def export_result(df: DataFrame, path: str, fmt: str = "csv") -> dict:
     """Write a (capped) query result as one file.  Empty results and unknown
-    formats are errors.  The cap bounds the single writing task; a result
-    whose own LIMIT lets more than ``max_rows`` rows through is refused (a
-    bounded ``limit`` count decides, not a full pass)."""
+    formats are errors; a result of any size is written whole."""
     if fmt not in ("csv", "json"):
         raise ValueError(f"Unsupported export format: {fmt}")
-    n = df.limit(max_rows + 1).count()
-    if n == 0:
+    if df.isEmpty():
         raise ValueError("Query returned no results to export")
-    if n > max_rows:
-        raise ValueError(f"export refused: more than {max_rows} rows in one file; "
-                         "write a snapshot instead")
     return write_snapshot(df, path, fmt, None, combine=True)

@@ -15,6 +15,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 
+# One set of options for CSV snapshots, to write and to read: with it empty
+# strings, nulls, outer blanks, quotes, backslashes and newlines come back as
+# they were.  A file with quoted newlines can't be split, so writers bound
+# the rows of a file.
+TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+CSV_SNAPSHOT = {**TIMES, "header": "true", "quoteAll": "true", "escape": '"', "nullValue": "\\N", "emptyValue": "",
+                "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+CSV_SNAPSHOT_READ = {**CSV_SNAPSHOT, "multiLine": "true"}
+CSV_FILE_ROWS = 500_000
+
+
 def scan_parquet(spark: SparkSession, path: str | Sequence[str],
                  columns: Sequence[str] | None = None, where: Column | str | None = None,
                  merge_schema: bool = False) -> DataFrame:

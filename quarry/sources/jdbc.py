@@ -86,4 +86,4 @@ def _jdbc(spark, spec):
         pw = spec.get("password")
         if pw:
             msg = msg.replace(str(pw), "***")
-        raise RuntimeError(f"JDBC read failed for {redact(spec)}: {msg[:500]}") from None
+        raise RuntimeError(f"JDBC read failed for {redact(spec)}: {msg}") from None

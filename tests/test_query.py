@@ -109,3 +109,19 @@ def test_all_pairs_guard(spark):
                          "(SELECT avg(o_totalprice) AS a FROM orders) s WHERE c.c_acctbal > s.a")
     run_sql(spark, refs, "SELECT count(*) FROM customer c JOIN (SELECT * FROM orders LIMIT 50) o "
                          "ON o.o_totalprice > c.c_acctbal")
+
+
+def test_own_limit_is_honoured_in_full(spark, tmp_dir):
+    spark.range(30_000).write.parquet(tmp_dir)
+    res = run_sql(spark, {"t": tmp_dir}, "SELECT id FROM t LIMIT 12000").collect()
+    assert res["row_count"] == 12000 and not res["truncated"]
+
+
+def test_only_queries_run_and_failures_are_wrapped(spark, tmp_dir):
+    spark.range(3).write.parquet(tmp_dir)
+    for sql in ("DROP VIEW t", f"INSERT OVERWRITE DIRECTORY '{tmp_dir}-x' USING csv SELECT * FROM t", "WITH x AS (SELECT 1) INSERT INTO t SELECT * FROM x",
+                "SET a=b", "CREATE TEMP VIEW v AS SELECT 1"):
+        with pytest.raises(QueryError):
+            run_sql(spark, {"t": tmp_dir}, sql)
+    with pytest.raises(QueryError):
+        run_sql(spark, {"t": tmp_dir}, "SELECT id / 0 AS x FROM t").collect()

@@ -28,12 +28,25 @@ def test_multi_part_snapshot_three_files(spark, tmp_dir):
     assert spark.read.parquet(tmp_dir).count() == 25000
 
 
-def test_combined_single_file_and_guard(spark, tmp_dir):
+def test_text_snapshots_keep_values_and_types(spark, tmp_dir):
+    from datetime import date, datetime
+
+    from quarry.catalog import read_snapshot_path
+    df = spark.createDataFrame(
+        [("", " x ", "a\"b\\c", "l1\nl2\r\nl3", "00123", None, 1, date(2020, 1, 2), datetime(2020, 1, 2, 3, 4, 5, 678901)),
+         (None, "\r\n", "\\", "'q',\"", "\\n", None, None, None, None)],
+        "a string, b string, c string, d string, e string, nothing string, n long, day date, at timestamp")
+    for fmt in ("csv", "json"):
+        write_snapshot(df, tmp_dir + fmt, fmt)
+        back = read_snapshot_path(spark, tmp_dir + fmt, fmt)
+        assert back.schema.simpleString() == df.schema.simpleString()
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_combined_single_file_at_any_size(spark, tmp_dir):
     df = spark.range(100).repartition(4)
     m = write_combined(df, tmp_dir)
     assert m["total_chunks"] == 1 and m["total_rows"] == 100
-    with pytest.raises(ValueError, match="combine refused"):
-        write_combined(spark.range(20), tmp_dir + "x", max_rows=10)
 
 
 def test_empty_input_gives_typed_snapshot(spark, tmp_dir):

@@ -290,10 +290,14 @@ def similar_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     near = ((F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
             & (F.col("x.cap") >= F.col("y.lo")) & (F.col("y.cap") >= F.col("x.lo")))
     across = comps(strong).alias("x").join(comps(grouped).alias("y"), (F.col("x.col") == F.col("y.col")) & (F.col("x.comp") != F.col("y.comp")) & near).select(
-        F.col("x.col").alias("col"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
+        F.col("x.col").alias("col"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"), F.col("y.lo").alias("lo"), F.col("y.hi").alias("hi"), F.col("y.cap").alias("cap"))
     across = staged(across, "jaccard-across")
     side = lambda c, x: c.select("col", F.col("comp").alias(f"c{x}"), F.col("rid").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"))
-    met = across.join(side(strong, "a"), ["col", "ca"]).join(side(grouped, "b"), ["col", "cb"]).filter(_fits(percent))
+    # of a large component only the rows that fit the other one's sizes and room are taken
+    rows_a = strong.select(F.col("col").alias("_col"), F.col("comp").alias("_ca"), F.col("rid").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("cap").alias("_cap"))
+    fit = ((F.col("na") <= F.col("cap")) & (F.col("_cap") >= F.col("lo")) & (F.col("hi") * 100 >= F.col("na") * percent) & (F.col("na") * 100 >= F.col("lo") * percent))
+    met = across.join(rows_a, (F.col("col") == F.col("_col")) & (F.col("ca") == F.col("_ca")) & fit).select("col", "cb", "a", "na", "pa")
+    met = met.join(side(grouped, "b"), ["col", "cb"]).filter(_fits(percent))
     pairs = staged(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "jaccard-met")
     links = links.unionAll(_links(pairs, rows, percent))
 

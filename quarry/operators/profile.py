@@ -276,10 +276,13 @@ def merge_annotations(profile: DataFrame, annotations: DataFrame) -> DataFrame:
     """Set ``ai_*`` fields on every column named in the annotations.
 
     ``annotations`` has a map column ``annotations`` (from
-    :func:`parse_annotations`); confidence defaults to 0.7.
+    :func:`parse_annotations`); confidence defaults to 0.7.  Of several
+    answers for a column the one with the highest ``seq`` wins if there is
+    such a column, and of equal ones the greatest by its JSON text.
     """
-    a = (annotations.select(F.explode("annotations").alias("column_name", "a"))
-         .groupBy("column_name").agg(F.last("a").alias("a")))
+    seq = [F.col("seq")] if "seq" in annotations.columns else []
+    a = (annotations.select(*seq, F.explode("annotations").alias("column_name", "a"))
+         .groupBy("column_name").agg(F.max_by("a", F.struct(*seq, F.to_json("a").alias("_j"))).alias("a")))
     out = profile.join(a, "column_name", "left")
     return (out.withColumn("ai_description", F.col("a.description"))
             .withColumn("ai_business_meaning", F.col("a.business_meaning"))

@@ -26,7 +26,7 @@ from quarry.operators.asof import asof_join
 from quarry.operators.joins import (binned_range_join, dedupe_columns, spark_join_type,
                                     unbounded_all_pairs)
 
-_CMP = re.compile(r"^\s*([\w.`]+)\s*(=|>=|<=)\s*([\w.`]+)\s*$")
+_CMP = re.compile(r"^\s*([\w.`]+)\s*(=|>=|<=|>|<)\s*([\w.`]+)\s*$")
 _RANGE_CMP = re.compile(r"^\s*([\w.`]+)\s*(>=|>|<=|<)\s*([\w.`]+)\s*$")
 _FLIP = {">=": "<=", ">": "<", "<=": ">=", "<": ">"}
 
@@ -39,7 +39,8 @@ def _strip_alias(ref: str, alias: str) -> str | None:
 
 
 def _asof_terms(on: str, left: str, right: str):
-    """Split ``l.k = r.k AND l.t >= r.t`` into key pairs and the time pair."""
+    """Split ``l.k = r.k AND l.t >= r.t`` into key pairs and (left time,
+    comparison, right time)."""
     keys, time = [], None
     for term in re.split(r"\s+AND\s+", on.strip(), flags=re.I):
         m = _CMP.match(term)
@@ -49,17 +50,17 @@ def _asof_terms(on: str, left: str, right: str):
         la, rb = _strip_alias(a, left), _strip_alias(b, right)
         if la is None or rb is None:  # written right-hand side first
             la, rb = _strip_alias(b, left), _strip_alias(a, right)
-            op = {"=": "=", ">=": "<=", "<=": ">="}[op]
+            op = _FLIP.get(op, op)
             if la is None or rb is None:
                 raise ValueError(f"as-of term must compare {left}.x with {right}.y: {term!r}")
         if op == "=":
             keys.append((la, rb))
-        elif op == ">=" and time is None:
-            time = (la, rb)
+        elif time is None:
+            time = (la, op, rb)
         else:
             raise ValueError(f"as-of needs exactly one '{left}.t >= {right}.t' term")
     if time is None:
-        raise ValueError("as-of join needs a '>=' time term")
+        raise ValueError("as-of join needs a time term: >=, >, <= or <")
     return keys, time
 
 
@@ -117,10 +118,11 @@ def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
     left, right = join["left"], join["right"]
     how = (join.get("how") or "left").strip().lower()
     ldf, rdf = frames[left], frames[right]
-    if how == "asof":
-        keys, (lt, rt) = _asof_terms(join["on"], left, right)
+    if how.replace(" ", "_") in ("asof", "asof_left"):
+        keys, (lt, op, rt) = _asof_terms(join["on"], left, right)
         return asof_join(ldf, rdf, keys, lt, rt, tiebreak=join.get("tiebreak", ()),
-                         bucket=join.get("bucket", "hour"))
+                         bucket=join.get("bucket", "auto"), op=op,
+                         how="left" if how != "asof" else "inner")
     jt = spark_join_type(how)
     rng = _range_terms(join["on"], left, right)
     if rng is not None:

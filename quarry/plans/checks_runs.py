@@ -198,3 +198,39 @@ def r_approve(spark, sf_dir):
     cat.approve_column(" C_Name ", "Customer name", "Who bought")  # same key: replaces
     cat.approve_column("c_acctbal", "Balance, USD", "Credit position")
     return cat.dataset_schemas([did]).select("column_name", "description", "null_percentage")
+
+
+def _two_datasets(spark, sf_dir, profile=True):
+    cat = Catalog(spark, scratch_path(spark, "by-id"))
+    ids = []
+    for name, tab, fmt in (("Customer List", "customer", "csv"), ("Sales Orders", "orders", "json")):
+        did = cat.create_dataset(name, {"type": "parquet", "path": table_path(sf_dir, tab)},
+                                 options={"format": fmt, "profile": profile})
+        res = cat.ingest(did)
+        assert res["status"] == "success", res
+        ids.append(did)
+    return cat, ids
+
+
+@check("query_by_dataset_id", oracle="""
+SELECT c.c_mktsegment AS c_mktsegment, CAST(count(*) AS BIGINT) AS n_orders,
+       min(o.o_orderdate) AS first_order, max(o.o_orderkey) AS last_key
+FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey GROUP BY c.c_mktsegment""")
+def r_query_by_id(spark, sf_dir):
+    # only ids are given: snapshots are a CSV and a JSON one
+    cat, ids = _two_datasets(spark, sf_dir, profile=False)
+    return cat.query(ids, """
+        SELECT c.c_mktsegment, CAST(count(*) AS BIGINT) AS n_orders,
+               min(o.o_orderdate) AS first_order, max(o.o_orderkey) AS last_key
+        FROM customer_list c JOIN sales_orders o ON c.c_custkey = o.o_custkey
+        GROUP BY c.c_mktsegment""").df
+
+
+@check("catalog_pending_reviews", oracle="""
+SELECT table_name AS tab, column_name AS column_name FROM information_schema.columns
+WHERE table_name IN ('customer', 'orders') AND column_name <> 'o_custkey'""")
+def r_catalog_pending(spark, sf_dir):
+    cat, ids = _two_datasets(spark, sf_dir)
+    cat.approve_column("O_CustKey ", "The buying customer")
+    tab = F.when(F.col("dataset_id") == ids[0], "customer").otherwise("orders").alias("tab")
+    return cat.pending_reviews().select(tab, "column_name")

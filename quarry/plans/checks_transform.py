@@ -137,6 +137,56 @@ def t_asof_plain(spark, sf_dir):
         "event_id", "user_id", "ts", "signup_id", "signup_ts")
 
 
+def _asof_sides(spark, sf_dir, time):
+    ev = table(spark, sf_dir, "events")
+    p = ev.where("event_type = 'purchase'").select("event_id", "user_id", F.col(time).alias("t"))
+    s = ev.where("event_type = 'signup'").select(
+        F.col("event_id").alias("signup_id"), F.col("user_id").alias("s_user_id"), F.col(time).alias("s_t"))
+    return {"p": p, "s": s}
+
+
+def _asof_form(time, op, how):
+    join = {"left": "p", "right": "s", "how": how, "tiebreak": ["signup_id"],
+            "on": f"p.user_id = s.s_user_id AND p.t {op} s.s_t"}
+
+    def run(spark, sf_dir):
+        out = run_transformation(spark, {"sources": [{"alias": "p"}, {"alias": "s"}], "join": join},
+                                 frames=_asof_sides(spark, sf_dir, time))
+        return out.select("event_id", "user_id", "t", "signup_id", "s_t")
+    return run
+
+
+for _name, _time, _op, _how in (("transform_asof_strict", "ts", ">", "asof"),
+                                ("transform_asof_left_next", "ts", "<=", "asof_left"),
+                                ("transform_asof_integer", "event_id", "<", "asof")):
+    check(_name, oracle=f"""
+WITH p AS (SELECT event_id, user_id, {_time} AS t FROM events WHERE event_type = 'purchase'),
+s AS (SELECT user_id AS s_user_id, {_time} AS s_t, max(event_id) AS signup_id
+      FROM events WHERE event_type = 'signup' GROUP BY user_id, {_time})
+SELECT p.event_id AS event_id, p.user_id AS user_id, p.t AS t, s.signup_id AS signup_id, s.s_t AS s_t
+FROM p ASOF {"LEFT" if _how == "asof_left" else ""} JOIN s ON p.user_id = s.s_user_id AND p.t {_op} s.s_t""")(
+        _asof_form(_time, _op, _how))
+
+
+@check("transform_range_time", oracle="""
+WITH w AS (SELECT event_id AS w_id, ts AS st, ts + INTERVAL 20 MINUTE AS en
+           FROM events WHERE event_type = 'signup')
+SELECT w.w_id AS w_id, CAST(count(*) AS BIGINT) AS n_events, max(e.event_id) AS last_event
+FROM events e JOIN w ON e.ts >= w.st AND e.ts < w.en GROUP BY w.w_id""")
+def t_range_time(spark, sf_dir):
+    # a window after each signup against all events: bins on the time axis
+    ev = table(spark, sf_dir, "events")
+    w = ev.where("event_type = 'signup'").select(
+        F.col("event_id").alias("w_id"), F.col("ts").alias("st"),
+        (F.col("ts") + F.expr("INTERVAL 20 MINUTE")).alias("en"))
+    return run_transformation(spark, {
+        "sources": [{"alias": "e"}, {"alias": "w"}],
+        "join": {"left": "e", "right": "w", "how": "inner", "on": "e.ts >= w.st AND e.ts < w.en"},
+        "aggregate": {"group_by": ["w.w_id"], "metrics": {
+            "n_events": "CAST(count(*) AS BIGINT)", "last_event": "max(e.event_id)"}}},
+        frames={"e": ev.select("event_id", "ts"), "w": w})
+
+
 @check("transform_theta", oracle="""
 SELECT c.c_custkey AS c_custkey, CAST(count(*) AS BIGINT) AS n_big_orders
 FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 20

@@ -117,10 +117,10 @@ def write_chunked(df, path, fmt="parquet", compression=None, chunk_rows=CHUNK_RO
     return write_snapshot(df, path, fmt, compression, max_records_per_file=chunk_rows)
 
 
-def write_combined(df, path, fmt="parquet", compression=None):
+def write_combined(df, path, fmt="parquet", compression=None, observe=None):
     """One output file (K6), at any size: the caller's explicit choice.  The
     rows are computed in parallel and pass through one writing task."""
-    return write_snapshot(df, path, fmt, compression, combine=True)
+    return write_snapshot(df, path, fmt, compression, combine=True, observe=observe)
 
 
 # ---------------------------------------------------------------- JDBC (K7)
@@ -178,7 +178,7 @@ def write_destination(df: DataFrame, destination: Mapping, options: Mapping | No
             base = destination["path"].rstrip("/")
         path = f"{base}/{run_id}" if run_id else base
         if options.get("combine_chunks"):
-            return write_combined(df, path, fmt, comp)
+            return write_combined(df, path, fmt, comp, observe)
         chunk = options.get("chunk_rows") or (CHUNK_ROWS if options.get("chunked") in
                                                (True, "true") else None)
         return write_snapshot(df, path, fmt, comp, max_records_per_file=chunk, observe=observe)

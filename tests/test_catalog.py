@@ -140,3 +140,26 @@ def test_dataset_schemas(cat, spark):
     assert rows[0].table_alias == "my_nations" and rows[0].source == "parquet"
     assert rows[1].description == "Nation name" and rows[0].description is None
     assert len(rows[1].sample_values) == 5 and rows[0].null_percentage == 0.0
+
+
+def test_query_search_and_review_by_id(cat, spark):
+    nation = cat.create_dataset("World Nations", {"type": "parquet", "path": f"{SF001}/nation.parquet"}, options={"format": "csv"})
+    region = cat.create_dataset("Regions", {"type": "parquet", "path": f"{SF001}/region.parquet"}, options={"combine_chunks": True})
+    for did in (nation, region):
+        res = cat.ingest(did)
+        assert res["status"] == "success"
+    assert cat.runs().where("error is not null").count() == 0
+    got = cat.query([nation, region], "SELECT count(*) AS n FROM world_nations n JOIN regions r ON n.n_regionkey = r.r_regionkey").collect()
+    assert got["rows"] == [{"n": 25}]
+    assert cat.query([nation], "SELECT * FROM world_nations", limit=7).df.count() == 7
+    with pytest.raises(DatasetError, match="not found"):
+        cat.query(["none"], "SELECT 1")
+    assert [r.id for r in cat.search("nations").collect()] == [nation]
+    assert {r.id for r in cat.search("regionkey").collect()} == {nation, region}  # column hits
+    assert region in {r.dataset_id for r in cat.profiles().collect()}  # combined files keep their profile
+    n = cat.pending_reviews().count()
+    cat.approve_column("r_name", "Region name")
+    assert cat.pending_reviews().count() == n - 1
+    cat.join_suggestions(nation, region).collect()
+    with pytest.raises(DatasetError, match="not found"):
+        cat.join_suggestions(nation, "none")

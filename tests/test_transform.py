@@ -230,3 +230,80 @@ def test_right_range_join_with_points_on_the_right(spark):
     key = lambda t: (t[0], -1 if t[1] is None else t[1])
     want = sorted(pairs + [(pid, None) for pid, _ in pts if pid not in matched], key=key)
     assert sorted(((row.pid, row.rid) for row in out.collect()), key=key) == want
+
+
+def _instants(spark, minutes, name, id_name):
+    rows = [(i, None if m is None else _t(m)) for i, m in enumerate(minutes)]
+    return spark.createDataFrame(rows, f"{id_name} int, {name} timestamp")
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "int", "double", "decimal(12,2)"])
+def test_range_join_kinds_match_brute_force(spark, kind):
+    from quarry.operators.joins import range_join
+    unit = 1440 if kind == "date" else 1
+    pts = [None, 0, 3, 5, 5, 17, 60, 999]
+    rngs = [(0, 5), (5, 5), (3, 900), (None, 4), (2, None), (9, 1), (17, 18), (0, 2000)]
+    if "time" in kind or kind == "date":
+        conv = lambda m: None if m is None else _t(m * unit)
+        base = "timestamp"
+    else:
+        conv, base = (lambda m: m), "int"
+    p = spark.createDataFrame([(i, conv(m)) for i, m in enumerate(pts)], f"i int, p {base}").selectExpr("i", f"CAST(p AS {kind}) AS p")
+    r = spark.createDataFrame([(j, conv(a), conv(z)) for j, (a, z) in enumerate(rngs)], f"j int, lo {base}, hi {base}")
+    r = r.selectExpr("j", f"CAST(lo AS {kind}) AS lo", f"CAST(hi AS {kind}) AS hi")
+    want = sorted((i, j) for i, m in enumerate(pts) for j, (a, z) in enumerate(rngs)
+                  if None not in (m, a, z) and a <= m < z)
+    for width in (None, 0.7 if unit == 1 else 50000.0):
+        got = sorted((x.i, x.j) for x in range_join(p, r, "p", "lo", "hi", bin_width=width).collect())
+        assert got == want, (kind, width)
+
+
+def test_range_join_one_long_range_and_bad_bounds(spark):
+    from quarry.operators.joins import range_join
+    p = spark.range(0, 2000).selectExpr("id", "CAST(id * 1000 AS DOUBLE) AS p")
+    r = spark.createDataFrame([(1, 0.0, 2e6), (2, 5000.0, 5001.0)], "j int, lo double, hi double")
+    got = {x.j: x.n for x in range_join(p, r, "p", "lo", "hi", bin_width=1.0).groupBy("j").agg(F.count("*").alias("n")).collect()}
+    assert got == {1: 2000, 2: 1}
+    for bad in (float("inf"), float("nan")):
+        r2 = spark.createDataFrame([(1, 0.0, bad), (2, 0.0, 5.0)], "j int, lo double, hi double")
+        with pytest.raises(Exception, match="finite"):
+            range_join(p, r2, "p", "lo", "hi").collect()
+    text = r.selectExpr("j", "CAST(lo AS STRING) AS lo", "CAST(hi AS STRING) AS hi")
+    with pytest.raises(ValueError, match="equality"):
+        range_join(p, text, "p", "lo", "hi")
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz", "date", "int", "double"])
+@pytest.mark.parametrize("op", [">=", ">", "<=", "<"])
+def test_asof_forms_match_brute_force(spark, kind, op):
+    import operator
+    import random
+    rnd = random.Random(7)
+    day = 1440 if kind == "date" else 37
+    draw = lambda n: [(i, rnd.choice(["a", "a", "b", None]), rnd.choice([None, *range(12)])) for i in range(n)]
+    left, right = draw(40), draw(25)
+    base = "int" if kind in ("int", "double") else "timestamp"
+    conv = (lambda m: m) if base == "int" else (lambda m: None if m is None else _t(m * day))
+    frame = lambda rows, i, k, t: spark.createDataFrame(
+        [(a, b, conv(c)) for a, b, c in rows], f"{i} int, {k} string, {t} {base}").selectExpr(i, k, f"CAST({t} AS {kind}) AS {t}")
+    test = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}[op]
+    want = {}
+    for i, k, t in left:
+        fit = [(r[2] if op[0] == ">" else -r[2], r[0]) for r in right
+               if None not in (k, t, r[1], r[2]) and r[1] == k and test(t, r[2])]
+        want[i] = max(fit)[1] if fit else None
+    lf, rf = frame(left, "i", "k", "t"), frame(right, "j", "rk", "rt")
+    got = {x.i: x.j for x in asof_join(lf, rf, [("k", "rk")], "t", "rt", tiebreak=["j"], op=op, how="left").collect()}
+    assert got == want
+    inner = {x.i: x.j for x in asof_join(lf, rf, [("k", "rk")], "t", "rt", tiebreak=["j"], op=op).collect()}
+    assert inner == {i: j for i, j in want.items() if j is not None}
+
+
+def test_asof_widens_and_refuses(spark):
+    a = spark.createDataFrame([(1, 10)], "k int, t int")
+    b = spark.createDataFrame([(1, 9)], "rk int, rt long")
+    assert asof_join(a, b, [("k", "rk")], "t", "rt").collect()[0].rt == 9
+    with pytest.raises(TypeError, match="differ"):
+        asof_join(a, b.withColumn("rt", F.current_timestamp()), [("k", "rk")], "t", "rt")
+    with pytest.raises(ValueError, match="comparison"):
+        asof_join(a, b, [("k", "rk")], "t", "rt", op="=")

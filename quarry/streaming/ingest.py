@@ -2,7 +2,7 @@
 
 New files under a source directory are picked up by a file-source stream
 (``maxFilesPerTrigger`` bounds a micro-batch), and each micro-batch is
-written by ``foreachBatch`` to ``<target>/batch=<id>`` with mode overwrite,
+written by ``foreachBatch`` to ``<target>/quarry_batch=<id>`` with mode overwrite,
 then logged.  With the stream's checkpoint (offsets + commits) a restart
 replays at most the uncommitted batch, and overwriting its directory makes
 the replay idempotent: every file lands exactly once.  ``availableNow``
@@ -15,15 +15,20 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import scratch_path
+PART = "quarry_batch"  # a name of our own: a source may have a column "batch"
 
 
 def stream_ingest(spark: SparkSession, source_dir: str, target_dir: str,
                   schema: T.StructType, fmt: str = "parquet", checkpoint: str | None = None,
                   glob: str | None = None, max_files_per_trigger: int = 100,
                   on_batch=None) -> list[dict]:
-    """Ingest every not-yet-seen file; return the per-batch log rows."""
-    checkpoint = checkpoint or scratch_path(spark, "stream-ckpt")
+    """Ingest every not-yet-seen file; return the per-batch log rows.
+
+    The checkpoint lies beside the target unless named, so a later call goes
+    on where this one ended.  A source with a column ``quarry_batch`` is refused."""
+    if PART in schema.fieldNames():
+        raise ValueError(f"column name {PART!r} is taken by the batches' folders")
+    checkpoint = checkpoint or f"{target_dir.rstrip('/')}-checkpoint"
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -31,7 +36,7 @@ def stream_ingest(spark: SparkSession, source_dir: str, target_dir: str,
     log: list[dict] = []
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        out = f"{target_dir.rstrip('/')}/batch={batch_id}"
+        out = f"{target_dir.rstrip('/')}/{PART}={batch_id}"
         obs = Observation(f"batch{batch_id}")
         batch.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(out)
         entry = {"batch_id": batch_id, "path": out, "rows": int(obs.get.get("rows", 0))}
@@ -48,6 +53,6 @@ def stream_ingest(spark: SparkSession, source_dir: str, target_dir: str,
 
 
 def read_ingested(spark: SparkSession, target_dir: str) -> DataFrame:
-    """All batches ingested so far (the ``batch`` partition column dropped)."""
-    return spark.read.parquet(target_dir).drop("batch")
+    """All batches ingested so far (without the batches' partition column)."""
+    return spark.read.parquet(target_dir).drop(PART)
 

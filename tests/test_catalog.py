@@ -163,3 +163,13 @@ def test_query_search_and_review_by_id(cat, spark):
     cat.join_suggestions(nation, region).collect()
     with pytest.raises(DatasetError, match="not found"):
         cat.join_suggestions(nation, "none")
+
+
+def test_stream_keeps_own_batch_column_and_goes_on(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "batch int, v string")
+    df.coalesce(1).write.parquet(f"{tmp_dir}/in")
+    assert sum(r["rows"] for r in stream_ingest(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", df.schema)) == 2
+    assert stream_ingest(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", df.schema) == []  # no second copy
+    df.coalesce(1).write.mode("append").parquet(f"{tmp_dir}/in")
+    assert sum(r["rows"] for r in stream_ingest(spark, f"{tmp_dir}/in", f"{tmp_dir}/out", df.schema)) == 2
+    assert sorted(map(tuple, read_ingested(spark, f"{tmp_dir}/out").collect())) == [(1, "x"), (1, "x"), (2, "y"), (2, "y")]

@@ -181,6 +181,14 @@ def draws(mixed: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
                       F.xxhash64(F.lit(seed + 1), "_h", "_rid", "copy").alias("_place"))
 
 
+def dealt(docs: DataFrame, seed: int = 0, shards: int = SHARDS, **columns) -> DataFrame:
+    """``mix``'s rows with ``taken`` as the words of their drawn blocks, summed
+    over all shards that the tree dealt them to; 0 for a row that is not drawn."""
+    plan = staged(mix(docs, seed, **columns), "mix-plan")
+    words = draws(plan, shards, seed).groupBy("_rid").agg(F.sum("words").alias("_drawn"))
+    return plan.join(words, "_rid", "left").withColumn("taken", F.coalesce("_drawn", F.lit(0).cast("long"))).drop("_drawn")
+
+
 def _numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with a lasting row name ``__rid``: file and place of a row
     that is read from files, else a row number in a staged copy."""

@@ -204,6 +204,21 @@ def test_mixed_documents_are_the_plan(spark, docs):
     assert mixing.mixed_documents(odd(spark)).columns == odd(spark).columns
 
 
+def test_mixing_query_deals_through_the_tree(spark, docs, monkeypatch):
+    names = ["doc_id", "size", "source", "source_size", "target", "taken"]
+    trees, halves = [], mixing.shard_quotas
+    monkeypatch.setattr(mixing, "shard_quotas", lambda *a: trees.append(a) or halves(*a))
+    got = queries.op5_mixing(spark, SF)
+    assert trees and got.columns == names
+    assert sorted(map(str, got.collect())) == sorted(map(str, mixing.mix(docs).select(names).collect()))
+    drawn = mixing.draws
+    monkeypatch.setattr(mixing, "draws", lambda *a: drawn(*a).filter("shard <> 0"))  # a shard's blocks lost are words lost
+    assert 0 < queries.op5_mixing(spark, SF).agg(F.sum("taken")).first()[0] < got.agg(F.sum("taken")).first()[0]
+    monkeypatch.setattr(mixing, "draws", drawn)
+    same = lambda f: sorted(map(str, f(odd(spark)).select(names).collect()))
+    assert same(mixing.dealt) == same(mixing.mix)
+
+
 def test_quotas_are_exact(spark):
     counts = spark.createDataFrame([("a", 1000), ("b", 10), (None, 333), ("c", 0)], "source string, n long")
     got = mixing.shard_quotas(counts, 5).toPandas()

@@ -7,10 +7,16 @@ and LT tags of links in it (LCb and Cb: link and all characters of the body),
 
 so many characters per tag score high and link text scores low.  The subtree
 whose children's densities sum highest is the core of the article; the least
-density on its path to the body is the threshold that its surroundings must
-reach.  Elements whose name, role or class says that they are furniture
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) are
-cut before anything is counted.
+density on its path to the body is the threshold of its surroundings: what reaches it
+stays, and so does other text of which at most half is links (the logarithms
+grow with a node's size, so short paragraphs score under a long body).  An
+article or main element around the core is the article, with others like it.
+
+Elements whose name, role or class says that they are furniture (menus,
+headers, footers, sidebars, notices, adverts, forms, comments) are cut before
+anything is counted.  A class, an id or the form tag doesn't cut a wrapper:
+where no article or main stands outside such elements, one that holds a main,
+an article of more text than stands outside, or most of the body's text stays.
 """
 
 from __future__ import annotations
@@ -45,30 +51,64 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dd": ({"dd", "dt"}, {"dl"}), "dt"
 
 
 class Node:
-    __slots__ = ("cut", "density", "inside", "link", "link_chars", "links", "parent", "parts", "sum", "tag", "tags", "chars")
+    __slots__ = ("cut", "density", "inside", "link", "link_chars", "links", "parent", "parts", "sum", "tag", "tags", "chars", "soft")
 
-    def __init__(self, tag: str, parent: Node | None, cut: bool = False):
-        self.tag, self.parent, self.parts, self.cut = tag, parent, [], cut
+    def __init__(self, tag: str, parent: Node | None, cut: bool = False, soft: bool = False):
+        self.tag, self.parent, self.parts, self.cut, self.soft = tag, parent, [], cut, soft
         self.link = tag == "a" or (parent is not None and parent.link)
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.chars = self.link_chars = self.tags = self.links = 0
         self.density = self.sum = 0.0
 
 
-def _furniture(tag: str, attributes: str, inside: bool) -> bool:
-    if tag in CUT or (tag == "header" and not inside):
-        return True
+def _furniture(tag: str, attributes: str, inside: bool) -> str:
+    """"cut", "soft" (by class, id or form tag: a wrapper of the text stays) or ""."""
+    if tag != "form" and tag in CUT or (tag == "header" and not inside):
+        return "cut"
+    found = "soft" if tag == "form" else ""
     if not attributes.strip() or tag in ("html", "body", "article", "main"):
-        return False
+        return found
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
-        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES):
-            return True
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and value.lower() in ROLES - {"form"}):
+            return "cut"
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and not FURNITURE.isdisjoint(w.lower() for w in WORDS.findall(value)):
-            return True
-    return False
+            return "cut"
+        if (name == "role" and value.lower() == "form") or (name in ("class", "id") and not FURNITURE.isdisjoint(w.lower() for w in WORDS.findall(value))):
+            found = "soft"
+    return found
+
+
+def _own(n: Node) -> int:
+    """Characters but blanks of a node's own text."""
+    return sum(len(x) - x.count(" ") for p in n.parts if type(p) is str for x in (" ".join(p.split()),))
+
+
+def _cut_soft(nodes: list[Node]) -> None:
+    """Cuts the soft elements but the wrappers of the page's text."""
+    if not any(n.soft for n in nodes):
+        return
+    size, held, under, outside = {}, {}, set(), 0
+    for n in reversed(nodes):
+        size[n] = 0 if n.cut else size.get(n, 0) + _own(n)
+        if n.parent is not None and size[n]:
+            size[n.parent] = size.get(n.parent, 0) + size[n]
+    for n in nodes:
+        if n.soft or n.parent in under:
+            under.add(n)
+        elif not n.cut:
+            outside += _own(n)
+    body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    spared = set()
+    if not any(n.tag in ("article", "main") and size[n] and n not in under for n in nodes):
+        for n in reversed(nodes):
+            holds = held.get(n, False) or (n.tag == "main" and size[n] > 0) or (n.tag == "article" and size[n] > outside)
+            if n.parent is not None and holds:
+                held[n.parent] = True
+            if n.soft and (holds or 2 * size[n] > size[body]):
+                spared.add(n)
+    for n in nodes:
+        n.cut = n.cut or (n.soft and n not in spared) or (n.parent is not None and n.parent.cut)
 
 
 def parse(page: str) -> list[Node]:
@@ -111,7 +151,8 @@ def parse(page: str) -> list[Node]:
                 n = n.parent
             if last is not None:
                 top = last.parent
-        node = Node(tag, top, top.cut or _furniture(tag, m[3], top.inside))
+        kind = _furniture(tag, m[3], top.inside)
+        node = Node(tag, top, top.cut or kind == "cut", kind == "soft")
         top.parts.append(node)
         nodes.append(node)
         if tag in RAW:
@@ -120,6 +161,7 @@ def parse(page: str) -> list[Node]:
             at = size if close < 0 else close + 1
         elif tag not in VOID and not (m[3].endswith("/") and tag in ("svg", "path", "math")):
             top = node
+    _cut_soft(nodes)
     return nodes
 
 
@@ -129,7 +171,7 @@ def _count(nodes: list[Node]) -> Node:
     for n in reversed(nodes):
         if n.cut:
             continue
-        own = sum(len(x) - x.count(" ") for p in n.parts if type(p) is str for x in (" ".join(p.split()),))
+        own = _own(n)
         n.chars += own
         n.link_chars += own if n.link else 0
         if n.parent is not None and not n.parent.cut:
@@ -151,20 +193,26 @@ def _linked(n: Node) -> bool:
     return n.tag in BLOCK and n.links > 1 and n.link_chars * 10 > n.chars * 8
 
 
-def _text(node: Node, keep) -> str:
-    """The kept text under a node: blocks in page order, white space as one space."""
+def _text(node: Node, whole, path=frozenset()) -> str:
+    """The kept text under a node: blocks in page order, white space as one
+    space.  A block that is ``whole`` stays with all in it but menus; of one
+    that isn't, and isn't on the path to the core, the blocks in it that are."""
     out: list[str] = []
-    stack: list = [node]
+    stack: list = [(node, False)]
     while stack:
-        x = stack.pop()
+        x, kept = stack.pop()
         if type(x) is str:
             out.append(x)
-        elif not x.cut and not _linked(x) and (x is node or keep(x)):
-            edge = x.tag in BLOCK or x.tag == "br"
-            if edge:
+        elif not x.cut and (x is node or x in path or not _linked(x)):
+            if x.tag in BLOCK or x.tag == "br":
                 out.append(" ")
-                stack.append(" ")
-            stack.extend(reversed(x.parts))
+                stack.append((" ", True))
+            kept = kept or whole(x)
+            for part in reversed(x.parts):
+                if type(part) is not str:
+                    stack.append((part, kept or (part.tag not in BLOCK and x in path)))
+                elif kept or x in path:
+                    stack.append((part, True))
     return " ".join("".join(out).split())
 
 
@@ -181,24 +229,25 @@ def main_text(page: str | None) -> str:
             inside.add(n)
             if not n.cut and n.sum > best.sum:
                 best = n
-    threshold, n = best.density, best
+    threshold, path, n = best.density, [best], best
     while n is not body and n.parent is not None:
         n = n.parent
+        path.append(n)
         threshold = min(threshold, n.density)
-    root, n = best, best
-    while n is not body and n.parent is not None:  # the article around its densest part
-        if n.tag in ("article", "main"):
-            root = n
-        n = n.parent
-    if root is best:
-        while root is not body and root.parent not in (None, body) and 10 * root.parent.chars <= 13 * root.chars and root.parent.density >= threshold:
-            root = root.parent
-    if root is not body:
-        return _text(root, lambda x: True)
-    named = [x for x in body.parts if type(x) is Node and x.tag in ("article", "main") and not x.cut and x.chars]
+    named = [x for x in path if x.tag in ("article", "main")]
+    if not named:  # the core is in none: the body's own, the longest
+        own = [x for x in body.parts if type(x) is Node and x.tag in ("article", "main") and not x.cut and x.chars]
+        if best is body and own:
+            named = [max(own, key=lambda x: x.chars)]
     if named:
-        return _text(max(named, key=lambda x: x.chars), lambda x: True)
-    return _text(body, lambda x: x.parent is not body or x.tag not in BLOCK or x.tag[0] == "h" or x.density >= threshold)
+        root = named[-1]
+        like = [x for x in root.parent.parts if type(x) is Node and x.tag == root.tag and not x.cut and x.chars and (x is root or x.density >= threshold)]
+        return " ".join(filter(None, (_text(x, lambda _: True) for x in like)))
+    root = best
+    while root is not body and root.parent not in (None, body) and 10 * root.parent.chars <= 13 * root.chars and root.parent.density >= threshold:
+        root = root.parent
+    around = frozenset(path[path.index(root) + 1:] or path[-1:])
+    return _text(body, lambda x: x not in around and (x is root or x.density >= threshold or (_own(x) and 2 * x.link_chars <= x.chars)), around)
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -150,6 +150,28 @@ def test_main_text():
     assert text_density.main_text("<div>" * 5000 + "deep text" + "</div>" * 5000) == "deep text"
 
 
+def _p(name, n=60):
+    return "<p>" + " ".join(f"{name}{i}" for i in range(n)) + "</p>"
+
+
+def test_main_text_around_the_core_stays():
+    sections = "".join("<section>" + "".join(_p(f"s{k}x{j}w", 60 + 20 * k) for j in range(5)) + "</section>" for k in range(3))
+    text = text_density.main_text(f"<html><body><div>{sections}</div>{_p('beside')}<p><a href=x>Home</a> | <a href=y>News</a></p></body></html>")
+    assert all(f"s{k}x{j}w59" in text for k in range(3) for j in range(5)) and "beside59" in text and "Home" not in text
+    text = text_density.main_text("<body>" + "".join(_p(f"b{k}w", 30 + k) for k in range(10)) + "</body>")
+    assert all(f"b{k}w29" in text for k in range(10))
+
+
+@pytest.mark.parametrize("wrapper", ["div class='content with-sidebar'", "form id=aspnetForm", "div id='page-header-wrap'"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_wrappers_with_a_furniture_word_stay(wrapper, tag):
+    page = f"<body><nav>Menu</nav><{wrapper}><{tag}>{_p('q')}{_p('r')}</{tag}><div class=sidebar>Unrelated</div></{wrapper.split()[0]}></body>"
+    text = text_density.main_text(page)
+    assert "q59" in text and "r59" in text and "Unrelated" not in text and "Menu" not in text
+    text = text_density.main_text(f"<body><{tag}>{_p('q')}</{tag}><div id=comments><article>{_p('z', 30)}</article></div></body>")
+    assert "q59" in text and "z1 " not in text
+
+
 def test_extracts_every_article(spark):
     def want(page):
         a = re.search(r"<article>(.*?)</article>", page, re.S)[1]

@@ -2,9 +2,12 @@
 
 Besides three base patterns, source and configuration syntax is lexed into
 (name, literal) pairs: ``name = "x"``, ``name: x``, ``"name": "x"``,
-``name => 'x'``, ``export NAME=x``, ``<add name="x"/>``, and so on.  A bare
-word on the right that was itself given a literal earlier in the text stands
-for that literal (constants are propagated in text order).  Each literal is
+``name => 'x'``, ``export NAME=x``, ``<add name="x"/>``, typed ones
+(``name: str = "x"``, ``name string = "x"``), subscripts (``env["name"] =
+"x"``), key/value attributes and fields (``key="name" value="x"``, either
+first), and so on.  A bare word on the right that is itself given a literal
+stands for that literal: the last one before it in the text or, if there is
+none, the first one after.  Each literal is
 scored by the words of its target names and by its own shape; literals that
 reach ``ENOUGH`` are spans of kind ``literal``.
 """
@@ -27,8 +30,19 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")  # a run of fewer is no match, so the whole run or none
 KINDS = ("assign", "access", "hex", "literal")
-# name, operator, then a quoted literal or a bare word to the end of its run
-PAIR = re.compile(r"(?<![\w.-])([A-Za-z_][\w.-]*+)[\"']?[\x20\t]*+(?:=>|:=|={1,3}|:)[\x20\t]*+(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z0-9_$][\w+/=.$@:-]*+))", re.A)
+LITERAL = r"(?:[rRbBuUfF]{1,2}(?=[\"']))?+(?:\"((?:[^\"\\\n]|\\.)*+)\"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*+)`|([A-Za-z0-9_$][\w+/=.$@:-]*+))"
+TYPE = r"[A-Za-z_][\w.]*+(?:[\[<][^\]>\n=]*+[\]>]{1,2})?+\??(?:[\x20\t]*+\|[\x20\t]*+[A-Za-z_][\w.]*+)*+"
+# name, closing marks, type (before a quoted literal, or a bare word set off by blanks), operator, then a quoted literal or a bare word to the end of its run
+PAIR = re.compile(r"(?<![\w.-])([A-Za-z_][\w.-]*+)(?:\[[0-9]*\])?[\"']?(?:[\x20\t]*+[\])]){0,2}+"
+                  rf"(?:[?!]?[\x20\t]*+:[\x20\t]*+{TYPE}(?=[\x20\t]*+=[\x20\t]*+[\"'`]|[\x20\t]++=[\x20\t])|[\x20\t]++string(?=[\x20\t]*+=))?"
+                  rf"[\x20\t]*+(?:=>|:=|={{1,3}}|:)[\x20\t]*+{LITERAL}", re.A)
+WORD = re.compile(r"[A-Za-z_][\w.-]*", re.A)
+# key="name" ... value="x" and value="x" ... key="name", as attributes or as fields, with at most eight other attributes between
+KEY = r"(?<![\w.-])(?:key|name|id)[\"']?\s*+[:=]\s*+[\"']?([A-Za-z_][\w.:-]*+)[\"']?"
+VALUE = rf"(?<![\w.-])value[\"']?\s*+[:=]\s*+{LITERAL}"
+BETWEEN = r"[\s,;]++(?:[\w.:-]++\s*+=\s*+(?:\"[^\"\n]*+\"|'[^'\n]*+')\s++){0,8}?[\"']?"
+KEYED = re.compile(KEY + BETWEEN + VALUE, re.A | re.I)
+VALUED = re.compile(VALUE + BETWEEN + KEY, re.A | re.I)
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 # What a part of a target name says about its literal; a sum of 4 or more with the literal's shape is enough.
 NAMES = {"password": 4, "passwd": 4, "pwd": 4, "passphrase": 4, "secret": 4, "token": 4, "apikey": 4, "credential": 4, "credentials": 4, "bearer": 3, "auth": 3,
@@ -56,16 +70,50 @@ def sensitivity(name: str) -> int:
 
 def pairs(text: str) -> Iterator[tuple[str, int, int]]:
     """(target name, start, end) of every literal, those of constants too."""
-    known: dict[str, tuple[int, int]] = {}
     if "=" not in text and ":" not in text:
         return
-    for m in PAIR.finditer(text):
-        which = next(i for i in (2, 3, 4, 5) if m[i] is not None)
-        span = m.span(which)
-        if which == 5:
-            span = known.get(m[5], span)  # a name given a literal before stands for it
-        known[m[1]] = span
-        yield m[1], *span
+    found = sorted(_found(text))
+    first: dict[str, tuple[tuple[int, int], str | None]] = {}
+    for _, name, span, word in found:
+        first.setdefault(name, (span, word))
+    ends: dict[str, tuple[int, int]] = {}  # the literal that each word stands for by first ones
+    for start in first:
+        way, w = [], start
+        while w in first and w not in ends:
+            way.append(w)
+            ends[w] = first[w][0]
+            w = first[w][1]
+        span = ends[w] if w in ends else ends[way[-1]]  # a ring of names ends where it began
+        ends.update(dict.fromkeys(way, span))
+    known: dict[str, tuple[int, int]] = {}
+    for _, name, span, word in found:
+        if word is not None:
+            span = known.get(word) or ends.get(word) or span  # a name that is given a literal stands for it
+        known[name] = span
+        yield name, *span
+
+
+def _found(text: str) -> Iterator[tuple[int, str, tuple[int, int], str | None]]:
+    """(place, target name, span of the literal, the literal if it is a bare word)."""
+    def literal(m: re.Match, at: int) -> tuple[tuple[int, int], str | None]:
+        which = next(i for i in range(at, at + 4) if m[i] is not None)
+        return m.span(which), m[which] if which == at + 3 else None
+
+    at = 0
+    while m := PAIR.search(text, at):
+        at = m.end()
+        span, word = literal(m, 2)
+        yield m.start(), m[1], span, word
+        after = text[m.end(1): span[0]].partition(":")[2]
+        if after.strip() and (t := PAIR.match(text, span[0] - len(after.lstrip()))):
+            yield t.start(), t[1], *literal(t, 2)  # the type's word may be the name: ``note: token = "x"``
+        if word is not None and WORD.fullmatch(word):
+            at = span[0]  # a name with an operator of its own, perhaps
+    if "value" in text.lower():
+        for m in KEYED.finditer(text):
+            yield m.start(), m[1], *literal(m, 2)
+        for m in VALUED.finditer(text):
+            yield m.start(), m[5], *literal(m, 1)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:

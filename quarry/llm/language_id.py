@@ -7,7 +7,8 @@ For each document the posterior of a language is, up to a constant,
 
 * *Text*: character trigrams (lower-cased, hashed to 2^15 cells) under a
   multinomial per language, fitted on a bounded, hash-chosen sample of rows
-  with a declared language (``SAMPLE`` of each language, documented).
+  with a declared language (``SAMPLE`` of each language, documented).  Every
+  code that ``FIT_ROWS`` rows declare has one, whatever its share.
 * *Declared markup language* (``lang`` of the html element, or a label
   column) and *address suffix*: how often each goes with each language, over
   all documents, weighted by the text's posterior, smoothed.
@@ -18,7 +19,10 @@ For each document the posterior of a language is, up to a constant,
 A document is *rejected* if nothing in it speaks for any language: it has
 fewer than ``LEAST`` trigrams, or they are no likelier under the best
 language than under none (each cell as likely as any other); fewer than
-``SHORT`` trigrams don't outweigh a known declared language.
+``SHORT`` trigrams don't outweigh a known declared language.  A document of
+``LEAST`` trigrams whose declared code has no model (too few rows or no
+letters in its sample) is accepted under that code, with confidence 0: no
+likelihood can speak for or against it.
 """
 
 from __future__ import annotations
@@ -36,12 +40,13 @@ from quarry.llm.common import row_key, small_batches, staged, text_or_empty
 
 CELLS = 1 << 15
 SAMPLE = 400  # rows of each language, about, that the text model is fitted on
-MIN_SHARE = 0.001  # a declared code of fewer rows than this share isn't a language of the corpus
+FIT_ROWS = 2  # a declared code of fewer rows has no text model; its documents keep it
 TEMPER = 0.25  # neighbouring trigrams overlap and repeat: their evidence is worth less than its count
 SMOOTH = 20.0  # documents' worth of the parent's prior at each level
 LEAST = 3
 SHORT = 50  # a text of fewer trigrams proves nothing against a declared language
 NO_LANGUAGE = "und"
+UNNAMED = ("und", "mis", "mul", "zxx")  # codes that name no language
 
 
 def _cells(text: str) -> np.ndarray:
@@ -77,10 +82,9 @@ def url_host(url: str | Column) -> Column:
 def fit_text(texts: DataFrame) -> tuple[list[str], np.ndarray]:
     """(languages, log probability of every cell under each) from the bounded
     sample: counts are summed in Spark, one row per language comes back."""
-    sizes = {r["code"]: r["n"] for r in texts.filter("code is not null").groupBy("code").agg(F.count("*").alias("n")).filter(
-        F.col("n") >= 2).orderBy(F.desc("n"), "code").limit(256).collect()}
-    total = sum(sizes.values())
-    kept = sorted(k for k, n in sizes.items() if n >= MIN_SHARE * total)
+    declared = texts.filter(F.col("code").isNotNull() & ~F.col("code").isin(*UNNAMED))
+    sizes = {r["code"]: r["n"] for r in declared.groupBy("code").agg(F.count("*").alias("n")).filter(F.col("n") >= FIT_ROWS).collect()}
+    kept = sorted(sizes)
     if not kept:
         return [], np.zeros((0, CELLS), np.float32)
     share = F.create_map(*[x for k in kept for x in (F.lit(k), F.lit(min(1.0, SAMPLE / sizes[k])))])
@@ -90,16 +94,16 @@ def fit_text(texts: DataFrame) -> tuple[list[str], np.ndarray]:
         sums: dict[str, np.ndarray] = {}
         for b in small_batches(batches, "text"):
             for code, text in zip(b.column("code").to_pylist(), b.column("text").to_pylist()):
-                sums[code] = sums.get(code, 0) + np.bincount(_cells(text), minlength=CELLS).astype(np.float64)
+                sums[code] = sums.get(code, 0) + np.bincount(_cells(text), minlength=CELLS).astype(np.float32)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["code", "counts"])
 
     def total_up(p: pd.DataFrame) -> pd.DataFrame:
-        v = sum(np.frombuffer(x) for x in p["counts"])
+        v = sum(np.frombuffer(x, np.float32) for x in p["counts"])
         return pd.DataFrame({"code": [p["code"].iloc[0]], "counts": [v.tobytes()]})
 
     sample = texts.filter(F.col("code").isin(kept) & chosen).select("code", "text")
     rows = sample.mapInArrow(count, "code string, counts binary").groupBy("code").applyInPandas(total_up, "code string, counts binary").collect()
-    found = {r["code"]: np.frombuffer(r["counts"]) for r in rows}
+    found = {r["code"]: np.frombuffer(r["counts"], np.float32).astype(np.float64) for r in rows}
     kept = [k for k in kept if k in found and found[k].sum() > 0]
     logs = [np.log((found[k] + 0.1) / (found[k].sum() + 0.1 * CELLS)) for k in kept]
     return kept, np.array(logs, np.float32).reshape(len(kept), CELLS)
@@ -148,8 +152,9 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     scored = staged(rows.mapInArrow(score, kinds), "language-scores")
     shape = "doc_id long, _key string, language string, confidence double, text_language string, accepted boolean"
     if not n:
-        return scored.select("doc_id", "_key", F.lit(NO_LANGUAGE).alias("language"), F.lit(0.0).alias("confidence"),
-                             F.lit(NO_LANGUAGE).alias("text_language"), F.lit(False).alias("accepted"))
+        told = F.coalesce((F.col("n_grams") >= LEAST) & ~F.col("code").isin(*UNNAMED), F.lit(False))
+        return scored.select("doc_id", "_key", F.when(told, F.col("code")).otherwise(NO_LANGUAGE).alias("language"), F.lit(0.0).alias("confidence"),
+                             F.lit(NO_LANGUAGE).alias("text_language"), (told & F.col("code").isin(keep) if keep is not None else told).alias("accepted"))
 
     # grouped sums of the text's posteriors, over all documents
     def posterior(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,19 +174,20 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     world = vector(top) + 1.0
     world = world / world.sum()
 
-    def likelihood(key: str) -> dict[str, list[float]]:
-        """log P(value | language) of the commonest 4096 values; rarer ones say nothing."""
-        seen = cells.filter(F.col(key).isNotNull()).groupBy(key).agg(*sums).orderBy(F.desc(sum(F.col(f"p{i}") for i in range(n))), key).limit(4096).collect()
-        if not seen:
-            return {}
-        m = np.array([vector(r) for r in seen]) + 0.5
-        m = np.log(m / m.sum(axis=0))
-        return {r[key]: (v - v.max()).tolist() for r, v in zip(seen, m)}
+    array = lambda prefix: F.array(*[F.coalesce(F.col(f"{prefix}{i}"), F.lit(0.0)) for i in range(n)])
+
+    def likelihood(key: str) -> DataFrame:
+        """(key, log P(value | language), less its greatest) of every value, staged."""
+        seen = cells.filter(F.col(key).isNotNull()).groupBy(key).agg(*sums)
+        top = seen.agg(F.count("*").alias("k"), *sums).first()
+        whole = np.log(vector(top) + 0.5 * max(1, top["k"]))
+        logs = F.zip_with(array("p"), F.array(*[F.lit(float(w)) for w in whole]), lambda c, w: F.log(c + 0.5) - w)
+        seen = seen.select(F.col(key).alias(f"_{key}"), logs.alias("l"))
+        return staged(seen.select(f"_{key}", F.transform("l", lambda x: x - F.array_max("l")).alias(f"by_{key}")), f"language-by-{key}")
 
     said, ended = likelihood("code"), likelihood("suffix")
 
     # host priors: a row per host, smoothed towards domain, suffix and corpus
-    array = lambda prefix: F.array(*[F.coalesce(F.col(f"{prefix}{i}"), F.lit(0.0)) for i in range(n)])
     smooth = lambda own, parent: F.transform(F.zip_with(own, parent, lambda c, q: c + SMOOTH * q),
                                              lambda x: x / (F.aggregate(own, F.lit(0.0), lambda a, c: a + c) + SMOOTH))
     whole = F.array(*[F.lit(float(w)) for w in world])
@@ -190,32 +196,35 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     ends = staged(named.filter("suffix is not null").groupBy("suffix").agg(*sums).select("suffix", smooth(array("p"), whole).alias("up2")), "language-suffixes")
     domains = named.groupBy("domain", "suffix").agg(*sums).select("domain", "suffix", array("p").alias("own1"))
     domains = domains.join(ends, "suffix", "left").select("domain", smooth(F.col("own1"), F.coalesce("up2", whole)).alias("up1"))
-    hosts = hosts.join(staged(domains, "language-domains"), "domain").select(F.col("host").alias("_host"), smooth(F.col("own"), F.col("up1")).alias("prior"))
-    hosts = staged(hosts, "language-hosts")
+    hosts = hosts.join(staged(domains, "language-domains"), "domain").join(ended, F.col("suffix") == F.col("_suffix"), "left")
+    hosts = staged(hosts.select(F.col("host").alias("_host"), smooth(F.col("own"), F.col("up1")).alias("prior"), "by_suffix"), "language-hosts")
+
+    known = {*languages, *UNNAMED}
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             best, sure, alone, fine = [], [], [], []
-            for r in b.select(["code", "host", "n_grams", "gain", "scores", "prior"]).to_pylist():
+            for r in b.select(["code", "host", "n_grams", "gain", "scores", "prior", "by_code", "by_suffix"]).to_pylist():
                 text = np.array(r["scores"])
                 v = text + np.log(np.array(r["prior"] or world))
-                if r["code"] in said:
-                    v = v + said[r["code"]]
-                end = (r["host"] or "").rpartition(".")
-                if end[1] and end[2] in ended:
-                    v = v + ended[end[2]]
+                for evidence in (r["by_code"], r["by_suffix"]):
+                    if evidence is not None:
+                        v = v + evidence
                 p = _soft(v)
                 i = int(p.argmax())
-                ok = (r["n_grams"] >= LEAST and r["gain"] > 0) or (r["n_grams"] < SHORT and r["code"] in languages)
-                best.append(languages[i] if ok else NO_LANGUAGE)
-                sure.append(float(p[i]) if ok else 0.0)
                 alone.append(languages[int(text.argmax())] if r["n_grams"] >= LEAST else NO_LANGUAGE)
-                fine.append(bool(ok and (keep is None or languages[i] in keep)))
+                if r["n_grams"] >= LEAST and r["code"] is not None and r["code"] not in known:
+                    ok, name, p = True, r["code"], np.zeros(n)  # declared, and no model to tell it by
+                else:
+                    ok, name = (r["n_grams"] >= LEAST and r["gain"] > 0) or (r["n_grams"] < SHORT and r["code"] in languages), languages[i]
+                best.append(name if ok else NO_LANGUAGE)
+                sure.append(float(p[i]) if ok else 0.0)
+                fine.append(bool(ok and (keep is None or name in keep)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("_key"), pa.array(best, pa.string()), pa.array(sure, pa.float64()),
                                               pa.array(alone, pa.string()), pa.array(fine, pa.bool_())],
                                              ["doc_id", "_key", "language", "confidence", "text_language", "accepted"])
 
-    joined = scored.join(hosts, F.col("host") == F.col("_host"), "left").drop("_host")
+    joined = scored.join(hosts, F.col("host") == F.col("_host"), "left").join(said, F.col("code") == F.col("_code"), "left").drop("_host", "_code")
     return joined.mapInArrow(fuse, shape)
 
 

@@ -376,6 +376,36 @@ def test_language_evidence(spark, docs):
     assert page.select(language_id.declared_code(language_id.markup_language("h")), language_id.url_host("u")).first()[:] == ("de", "www.ex.org")
 
 
+def test_rare_declared_languages_stay(spark):
+    greek, finnish = "και το να του η της με που την από για στο", "ja se ei on hän että mutta kun niin oli sitä mitä"
+    rows = [(i, f"the of and that with the from {chr(97 + i % 26)}{chr(97 + i % 7)} were his", "en") for i in range(4000)]
+    rows += [(5000, greek, "el"), (5001, greek + " είναι", "el"), (5002, finnish, "fi"), (5003, "日本語の文章です", "ja"), (5004, "", "ko"), (5005, "the of and that", "und")]
+    rows += [(5006, greek, None)]
+    rows += [(6000 + i, f"the of and {chr(97 + i % 26)}", f"x{chr(97 + i // 26)}{chr(97 + i % 26)}") for i in range(300)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = language_id.identify(table, declared=F.col("lang"))
+    got = {r["doc_id"]: (r["language"], r["accepted"]) for r in found.collect()}
+    assert got[5000] == got[5001] == got[5006] == ("el", True) and got[5002] == ("fi", True) and got[5003] == ("ja", True)
+    assert got[5004] == ("und", False) and got[5005][0] == "en" and got[6299] == (rows[-1][2], True)
+    assert language_id.accepted_documents(table, declared=F.col("lang")).count() == len(rows) - 1
+    few = language_id.identify(table.filter("doc_id between 5002 and 5004"), declared=F.col("lang"), keep=["ja"]).collect()
+    assert sorted((r["doc_id"], r["language"], r["accepted"]) for r in few) == [(5002, "fi", False), (5003, "ja", True), (5004, "und", False)]
+
+
+def test_every_code_and_suffix_speaks(spark):
+    rows = [(i, "der die und nicht das mit" if i % 2 else "the of and that with the", ("de", "en")[1 - i % 2] if i < 60 else None, f"h.{('com', 'de')[i % 2] if i < 60 else f's{i}'}")
+            for i in range(5060)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, host string")
+    joined = []
+    keep = language_id.staged
+    try:
+        language_id.staged = lambda df, name: joined.append((name, out := keep(df, name))) or out
+        language_id.identify(table, declared=F.col("lang"), host=F.col("host")).count()
+    finally:
+        language_id.staged = keep
+    assert dict(joined)["language-by-suffix"].count() == 5002
+
+
 # ---------------------------------------------------------------- secrets
 def test_secret_lexing():
     text = ('db_pw = "hunter2hunter2"\nconn.password = db_pw\n<add name="clientSecret" value="x"/>\nclientSecret=\'q9X-ff02-Zz81\'\n"auth_token" : "abc.DEF-123456"\n'

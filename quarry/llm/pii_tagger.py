@@ -3,17 +3,15 @@
 Base patterns give the certain spans.  The tagger is trained here, in numpy,
 on labelled windows: texts of a bounded, hash-chosen sample with the base
 spans as labels, and the same windows with their marks varied (other
-separators, a country code left out), so that it learns the look of a span
+separators or digits, words for marks, a country code left out), so that it learns the look of a span
 rather than the pattern.  Tags are O and begin/inside of each kind; the
 forward and backward LSTM give each character's tag scores, the CRF learns
 tag transitions; training maximises the CRF likelihood by Adam.
 
 Texts are read as overlapping windows (half a window apart), so every
 character stands in two of them; the scores of the windows are averaged,
-nearer the middle counting more, and one Viterbi pass over each whole run of
-windows decides all its tags together.  A span of any kind has a digit or an
-at sign: a tagged one without is never reported, so only the runs of windows
-around digits and at signs are read, wherever in the text they are.
+nearer the middle counting more, and one Viterbi pass over the whole text
+decides all its tags together.
 
 Spans the tagger adds carry the kind they were tagged with; base spans stay,
 and an added span never overlaps one.
@@ -84,8 +82,18 @@ def _told(spans: list[tuple[int, int, str]]) -> str:
 
 # ---------------------------------------------------------------- windows
 def symbols(text: str) -> np.ndarray:
-    """Printable ASCII one by one; other letters, blanks and marks a class each."""
+    """Printable ASCII one by one; other digits, letters, blanks and marks a class each."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    if len(c) and c.max() >= 192:
+        other = np.unique(c[c >= 192])
+        digits = other[[chr(x).isdecimal() for x in other]]
+        if len(digits):
+            c = np.where(np.isin(c, digits), 128, c)
+            return np.where(c == 128, 98, _classes(c))
+    return _classes(c)
+
+
+def _classes(c: np.ndarray) -> np.ndarray:
     return np.where((c >= 33) & (c < 127), c - 30, np.where(c >= 192, 1, np.where((c == 32) | ((c >= 9) & (c <= 13)), 2, 97)))
 
 
@@ -100,7 +108,8 @@ def tags_of(n: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
 
 def window_runs(text: str) -> list[tuple[int, int]]:
     """[first, last) characters of the runs of windows that hold every
-    digit and at sign with half a window on either side."""
+    digit and at sign with half a window on either side: where the training
+    examples come from."""
     runs: list[list[int]] = []
     for m in DIGIT.finditer(text):
         a = max(0, m.start() // STRIDE - 1) * STRIDE
@@ -228,87 +237,108 @@ class Tagger:
 
 def viterbi(unary: np.ndarray, trans: np.ndarray) -> np.ndarray:
     """The best tag sequence; inside tags only follow their own kind."""
+    return decoded(unary, np.array([len(unary)]), trans)
+
+
+def decoded(unary: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """The best tag sequence of each of the texts that lie one after another
+    in ``unary``, each text as a whole, all texts step by step together."""
     allowed = trans.copy()
     for k in range(len(KINDS)):
         inside = 2 + 2 * k
         allowed[[t for t in range(TAGS) if t not in (inside, inside - 1)], inside] = -1e9
-    n, best = len(unary), unary[0].copy()
-    best[2::2] = -1e9
-    back = np.empty((n, TAGS), np.int64)
-    for t in range(1, n):
-        v = best[:, None] + allowed
-        back[t] = v.argmax(axis=0)
-        best = v.max(axis=0) + unary[t]
-    out = np.empty(n, np.int64)
-    out[-1] = best.argmax()
-    for t in range(n - 1, 0, -1):
-        out[t - 1] = back[t, out[t]]
+    at = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    lengths, at = lengths[order], at[order]
+    longest = int(lengths[0])
+    active = np.searchsorted(-lengths, -np.arange(longest), "left")  # texts longer than t
+    best = unary[at].copy()
+    best[:, 2::2] = -1e9
+    back, into = np.empty((len(unary), TAGS), np.int8), np.ascontiguousarray(allowed.T)
+    for t in range(1, longest):
+        k = active[t]
+        v = best[:k, None, :] + into
+        back[at[:k] + t] = v.argmax(axis=2)
+        best[:k] = v.max(axis=2) + unary[at[:k] + t]
+    out = np.empty(len(unary), np.int64)
+    out[at + lengths - 1] = best.argmax(axis=1)
+    for t in range(longest - 1, 0, -1):
+        here = at[: active[t]] + t
+        out[here - 1] = back[here, out[here]]
     return out
 
 
 def tag(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
-    """Tagged spans of every text: windows scored together, each run of
-    windows averaged and decoded as one sequence."""
-    runs = [(d, a, z) for d, t in enumerate(texts) for a, z in window_runs(t)]
-    places = [(k, s) for k, (_, a, z) in enumerate(runs) for s in range(a, max(a + 1, z - STRIDE), STRIDE)]
+    """Tagged spans of every text: all windows of all texts scored together,
+    each text averaged and decoded as one sequence."""
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    if not places:
+    full = [d for d, t in enumerate(texts) if t]
+    if not full:
         return out
-    chars = np.zeros((len(places), WINDOW), np.int64)
-    coded = {d: symbols(texts[d]) for d in {r[0] for r in runs}}
-    for w, (k, s) in enumerate(places):
-        d, _, z = runs[k]
-        part = coded[d][s: min(s + WINDOW, z)]
-        chars[w, : len(part)] = part
-    scores = np.concatenate([tagger.scores(chars[i: i + 2048]) for i in range(0, len(chars), 2048)])
+    lengths = np.array([len(texts[d]) for d in full])
+    at = np.cumsum(lengths) - lengths
+    chars = np.concatenate([symbols(texts[d]) for d in full] + [np.zeros(WINDOW, np.int64)])
+    count = np.maximum(1, -(-(lengths - STRIDE) // STRIDE))  # windows of each text
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    first, last = np.repeat(at, count) + nth * STRIDE, np.repeat(at + lengths, count)
     weight = np.minimum(np.arange(1, WINDOW + 1), np.arange(WINDOW, 0, -1)).astype(np.float32)
-    total = [np.zeros((z - a, TAGS), np.float32) for _, a, z in runs]
-    weights = [np.zeros(z - a, np.float32) for _, a, z in runs]
-    for w, (k, s) in enumerate(places):
-        _, a, z = runs[k]
-        n = min(WINDOW, z - s)
-        total[k][s - a: s - a + n] += scores[w, :n] * weight[:n, None]
-        weights[k][s - a: s - a + n] += weight[:n]
-    for (d, a, _), unary, by in zip(runs, total, weights):
-        tags = viterbi(unary / by[:, None], tagger.p["T"])
-        edges = np.flatnonzero(tags % 2 == 1)
-        for e in edges:
-            z = e + 1
-            while z < len(tags) and tags[z] == tags[e] + 1:
-                z += 1
-            out[d].append((a + int(e), a + z, KINDS[(tags[e] - 1) // 2]))
+    total, by = np.zeros((lengths.sum(), TAGS), np.float32), np.zeros(lengths.sum(), np.float32)
+    for i in range(0, len(first), 2048):
+        places = first[i: i + 2048, None] + np.arange(WINDOW)
+        real = places < last[i: i + 2048, None]
+        scores = tagger.scores(np.where(real, chars[places], 0)) * weight[:, None]
+        weights = np.broadcast_to(weight, real.shape)
+        for odd in (0, 1):  # every second window of a text: no place twice
+            some = real & (nth[i: i + 2048, None] % 2 == odd)
+            total[places[some]] += scores[some]
+            by[places[some]] += weights[some]
+    tags = decoded(total / by[:, None], lengths, tagger.p["T"])
+    ends = at + lengths
+    for e in np.flatnonzero(tags % 2 == 1):
+        d, z = int(np.searchsorted(ends, e, "right")), int(e) + 1
+        while z < ends[d] and tags[z] == tags[e] + 1:
+            z += 1
+        out[full[d]].append((int(e - at[d]), int(z - at[d]), KINDS[(tags[e] - 1) // 2]))
     return out
 
 
 def added(text: str, tagged: list[tuple[int, int, str]], base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Tagged spans that are long enough, hold a digit or an at sign, and
-    touch no base span."""
+    """Tagged spans that are long enough and touch no base span."""
     out = []
     for a, z, k in tagged:
         while a < z and text[a].isspace():
             a += 1
         while z > a and text[z - 1].isspace():
             z -= 1
-        if z - a >= LEAST and DIGIT.search(text, a, z) and all(z <= p or q <= a for p, q, _ in base):
+        if z - a >= LEAST and all(z <= p or q <= a for p, q, _ in base):
             out.append((a, z, k))
     return out
 
 
 # ---------------------------------------------------------------- training data
+WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
+
+
 def varied(text: str, kind: str, r: np.random.Generator) -> str:
-    """A span's text with its marks changed, as people write them."""
+    """A span's text with its marks or digits changed, as people write them."""
+    if kind in ("phone", "card") and r.random() < 0.3:
+        if kind == "phone" and r.random() < 0.4:
+            return " ".join(WORDS[int(c)] for c in text if c in "0123456789")
+        zero = r.choice([0xFF10, 0x660, 0x6F0, 0x966])
+        return text.translate({48 + i: int(zero) + i for i in range(10)})
     if kind == "phone":
         return r.choice([text, text.replace("+1 ", ""), re.sub(r"[()+]", "", text), re.sub(r"[ ()]+", ".", text.lstrip("+"))])
     if kind == "email":
-        return r.choice([text, text.replace("@", " @ "), text.replace("@", "(@)")])
+        return r.choice([text, text.replace("@", " @ "), text.replace("@", "(@)"), text.replace("@", " (at) ").replace(".", " dot "),
+                         text.replace("@", " at ").replace(".", " dot "), text.replace("@", "(at)")])
     if kind == "card" and len(text) == 16 and text.isdigit():
         return r.choice([text, "-".join(text[i: i + 4] for i in range(0, 16, 4)), " ".join(text[i: i + 4] for i in range(0, 16, 4)), ".".join(text[i: i + 4] for i in range(0, 16, 4))])
     return text
 
 
 def examples(texts: list[str], seed: int = 0, limit: int = SAMPLE_WINDOWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Labelled windows around every digit and at sign of the texts: symbols,
-    tags and which places are real; half of the spans have their marks varied."""
+    """Labelled windows of the whole texts: symbols, tags and which places are
+    real; half of the spans have their marks varied."""
     r = np.random.default_rng(seed)
     rows = []
     for text in texts:
@@ -324,11 +354,13 @@ def examples(texts: list[str], seed: int = 0, limit: int = SAMPLE_WINDOWS) -> tu
             at = z
         text = "".join(parts) + text[at:]
         chars, tags = symbols(text), tags_of(len(text), moved)
-        for a, z in window_runs(text):
-            for s in range(a, max(a + 1, z - STRIDE), STRIDE):
-                rows.append((chars[s: min(z, s + WINDOW)], tags[s: min(z, s + WINDOW)]))
+        for s in range(0, max(1, len(text) - STRIDE), STRIDE):
+            rows.append((chars[s: s + WINDOW], tags[s: s + WINDOW]))
     if len(rows) > limit:
-        rows = [rows[i] for i in sorted(r.choice(len(rows), limit, replace=False))]
+        order = [int(i) for i in r.permutation(len(rows))]  # at most half of them, if there are others, hold spans
+        held, plain = [i for i in order if rows[i][1].any()], [i for i in order if not rows[i][1].any()]
+        held = held[: max(limit // 2, limit - len(plain))]
+        rows = [rows[i] for i in sorted(held + plain[: limit - len(held)])]
     x, y, real = (np.zeros((len(rows), WINDOW), k) for k in (np.int64, np.int64, bool))
     for i, (c, t) in enumerate(rows):
         x[i, : len(c)], y[i, : len(t)], real[i, : len(c)] = c, t, True
@@ -339,21 +371,24 @@ def examples(texts: list[str], seed: int = 0, limit: int = SAMPLE_WINDOWS) -> tu
 
 def fit(docs: DataFrame, seed: int = 0) -> Tagger:
     """A tagger trained on about ``SAMPLE_TEXTS`` texts that have a digit or
-    an at sign, chosen by hash; only their surroundings reach the driver."""
-    marked = docs.filter(F.col("text").rlike("[0-9@]"))
-    n = marked.count()
-    share = min(1.0, SAMPLE_TEXTS / max(1, n))
-    chosen = marked.filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < F.lit(share * (1 << 20)))
+    an at sign and as many of all, chosen by hash; only the surroundings of
+    their digits and at signs and a stretch from their middle reach the driver."""
+    marked = F.col("text").rlike("[0-9@]")
+    n, every = docs.agg(F.count_if(marked), F.count("*")).first()
+    share = lambda k: F.lit(min(1.0, SAMPLE_TEXTS / max(1, k)) * (1 << 20))
+    chosen = docs.filter(F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) < F.when(marked, share(n)).otherwise(share(every)))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, "text"):
-            cuts = [t[max(0, a - WINDOW): z + WINDOW] for t in b.column("text").to_pylist() for a, z in window_runs(t)]
+            words = [t for t in b.column("text").to_pylist() if t]
+            cuts = [t[max(0, a - WINDOW): z + WINDOW] for t in words for a, z in window_runs(t)]
+            cuts += [t[len(t) // 2: len(t) // 2 + 2 * WINDOW] for t in words]
             yield pa.RecordBatch.from_arrays([pa.array([c[:4096] for c in cuts], pa.string())], ["text"])  # training data only
 
     rows = chosen.mapInArrow(near, "text string").distinct().orderBy(F.xxhash64("text")).limit(2 * SAMPLE_TEXTS)
     tagger = Tagger(seed)
     x, y, real = examples(sorted(r["text"] for r in rows.collect()), seed)
-    if len(x):
+    if y.any():
         tagger.train(x, y, real, seed=seed)
     else:
         tagger.p["c"][0] = 50.0  # nothing to learn from: every tag is O

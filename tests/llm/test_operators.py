@@ -287,6 +287,18 @@ def test_base_spans_stay_and_held_out_spans_are_found(spark, plain):
         assert set(filter(None, told.split(","))) <= set(r["spans"].split(","))
 
 
+def test_whole_texts_are_tagged():
+    marked = [f"plain words {c} here and user{i}.x@mail{i % 9}.example.com or +1 ({i % 900 + 100:03d}) 555-{i % 9000 + 1000} end of it" for i, c in enumerate("abcdefgh" * 40)]
+    t = pii_tagger.Tagger(0)
+    t.train(*pii_tagger.examples(marked + ["only plain words stand here and nothing else " * 4] * 60))
+    texts = ["", "x", "plain words a here and user dot x (at) mail dot example dot com end of it", marked[0] + " and so on" * 60, "plain words only " * 30]
+    together, alone = pii_tagger.tag(texts, t), [pii_tagger.tag([x], t)[0] for x in texts]
+    assert together == alone
+    assert any(not pii_tagger.DIGIT.search(texts[2][a:z]) for a, z, _ in pii_tagger.added(texts[2], together[2], []))
+    assert not pii_tagger.added(texts[4], together[4], [])
+    assert (pii_tagger.symbols("a1\uff11\u0661é") == [67, 19, 98, 98, 1]).all()
+
+
 def test_base_patterns():
     kinds = lambda t: [(t[a:z], k) for a, z, k in pii_tagger.base_spans(t)]
     assert kinds("4111 1111 1111 1111") == [("4111 1111 1111 1111", "card")]

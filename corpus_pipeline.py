@@ -55,7 +55,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("token_codes", token_shards),
 ]
 
-# No stage but decontamination can be put in SQL; tests hold run() against a plain Python version.
+# No stage but decontamination can be put in SQL; the test compares run() with its own stages called one by one, no plain Python version of the kept documents.
 ORACLE_SQL: str | None = None
 
 

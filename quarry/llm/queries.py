@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chunk_prints, decontaminate, jaccard, language_id, mixing, pii_tagger, secret_scan, text_density, token_codes, warc
+from quarry.llm import chunk_prints, decontaminate, jaccard, language_id, mixing, pii_tagger, secret_scan, text_density, token_codes, warc, whitening
 from quarry.llm.common import ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op10_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_prints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_token_codes": op2_token_codes,
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_chunk_prints": op10_chunk_prints,
+    "op13_whitening": op13_whitening,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -8,10 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chunk_prints, decontaminate, jaccard, language_id, mixing, pii_tagger, secret_scan, text_density, token_codes, warc, whitening
+from quarry.llm import chunk_prints, decontaminate, jaccard, language_id, mixing, pii_tagger, secret_scan, text_density, token_alignment, token_codes, warc, whitening
 from quarry.llm.common import ship
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -67,6 +68,10 @@ def op10_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_prints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_chunk_prints": op10_chunk_prints,
+    "op12_token_alignment": op12_token_alignment,
     "op13_whitening": op13_whitening,
 }
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import chunk_prints, decontaminate, jaccard, language_id, mixing, pii_tagger, secret_scan, text_density, token_alignment, token_codes, warc, whitening
+from quarry.llm import chunk_prints, decontaminate, jaccard, language_id, mixing, pii_tagger, secret_scan, substring_dedup, text_density, token_alignment, token_codes, warc, whitening
 from quarry.llm.common import ship
 
 TOKENIZER = "word_bpe_49k.json"
@@ -68,6 +68,11 @@ def op10_chunk_prints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_prints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.dedup(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.align(table(spark, sf_dir, "documents"), tokenizer_path(BYTE_TOKENIZER), tokenizer_path(PIECE_TOKENIZER))
 
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language_id": op8_language_id,
     "op9_secret_scan": op9_secret_scan,
     "op10_chunk_prints": op10_chunk_prints,
+    "op11_substring_dedup": op11_substring_dedup,
     "op12_token_alignment": op12_token_alignment,
     "op13_whitening": op13_whitening,
 }
@@ -126,4 +132,15 @@ l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.d
 r AS (SELECT doc_id AS a, doc_id AS z FROM d UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.z)
 SELECT s.doc_id AS doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, CAST(min(r.z) AS BIGINT) AS component_id
 FROM s JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.s)""",
+    "op11_substring_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+i AS (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS p FROM d WHERE len(w) >= 50),
+s AS (SELECT r, doc_id, p, array_to_string(w[p:p + 49], ' ') AS g FROM i),
+m AS (SELECT g, min(doc_id) AS first FROM s GROUP BY g),
+h AS (SELECT s.r, s.p FROM s JOIN m ON m.g = s.g WHERE m.first < s.doc_id),
+x AS (SELECT DISTINCT r, unnest(range(p, p + 50)) AS p FROM h),
+k AS (SELECT k.r, count(x.p) AS n, string_agg(k.word, ' ' ORDER BY k.p) FILTER (WHERE x.p IS NULL) AS kept
+      FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d) k LEFT JOIN x ON x.r = k.r AND x.p = k.p GROUP BY k.r)
+SELECT d.doc_id AS doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON k.r = d.r""",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarry.catalog import Catalog, dataset_rollup, run_totals
 from quarry.plans.registry import check, table, table_path
 from quarry.session import scratch_path
+from quarry.streaming.datasets import commit_batch
 from quarry.streaming.ingest import read_ingested, stream_ingest
 
 
@@ -123,6 +124,27 @@ def r_stream(spark, sf_dir):
     return read_ingested(spark, target)
 
 
+@check("stream_dataset_query", oracle="""
+SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users,
+       min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY event_type""")
+def r_stream_dataset(spark, sf_dir):
+    # the events stream into a dataset; a half-written batch, a replay of a
+    # committed one and a second ingest change nothing; queried by its id
+    cat = Catalog(spark, scratch_path(spark, "catalog"))
+    did = cat.create_dataset("Live Events", {"type": "parquet", "path": table_path(sf_dir, "events")},
+                             options={"streaming": True, "profile": False})
+    res = cat.ingest(did)
+    if res["status"] != "success":
+        raise RuntimeError(res)
+    events = table(spark, sf_dir, "events")
+    events.write.parquet(f"{res['output_path']}/batches/half-written")
+    commit_batch(events, res["output_path"], 0)
+    cat.ingest(did)
+    return cat.query([did], """
+SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, min(event_id) AS first_id, max(event_id) AS last_id
+FROM live_events GROUP BY event_type""", limit=None).df
+
+
 _SCHEMA_COLS = ["doc_id", "lang", "n_chars", "l_doc_id", "quality", "toxic"]
 
 

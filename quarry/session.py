@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Settings a query session needs for the dialect contract in README.md.
@@ -123,6 +124,36 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small text file whole or not at all; False if it is there
+    already (its content is left alone).  The text is written beside it and
+    then takes the name: by a hard link on local disks and a rename that
+    refuses to replace elsewhere, so of two writers one wins."""
+    jvm = spark.sparkContext._jvm
+    tmp = f"{path}.{uuid.uuid4().hex}.tmp"
+    tmp = "/".join([*tmp.split("/")[:-1], "." + tmp.split("/")[-1]])  # hidden from readers of the folder
+    write_text(spark, tmp, text)
+    (src, fs), (dst, _) = _fs(spark, tmp), _fs(spark, path)
+    try:
+        if fs.getUri().getScheme() == "file":
+            local = lambda p: jvm.java.nio.file.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+            jvm.java.nio.file.Files.createLink(local(dst), local(src))
+        else:
+            rename = jvm.org.apache.hadoop.fs.Options.Rename
+            kinds = spark.sparkContext._gateway.new_array(rename, 1)
+            kinds[0] = rename.NONE
+            context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+            context.rename(fs.makeQualified(src), fs.makeQualified(dst), kinds)
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" not in e.java_exception.getClass().getName():
+            raise
+        return False
+    finally:
+        if fs.exists(src):
+            fs.delete(src, False)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """A small text file's content, None where there is no such file."""
     p, fs = _fs(spark, path)

@@ -64,14 +64,14 @@ def _parquet(spark, spec):
 @register("csv_url", streamable=True)
 def _csv(spark, spec):
     return scan_csv(spark, spec.get("path") or spec["url"], schema=spec.get("schema"),
-                    header=spec.get("header", True))
+                    header=spec.get("header", True), **(spec.get("options") or {}))
 
 
 @register("json", streamable=True)
 @register("json_url", streamable=True)
 def _json(spark, spec):
     return scan_json(spark, spec.get("path") or spec["url"], schema=spec.get("schema"),
-                     array=spec.get("array", False))
+                     array=spec.get("array", False), **(spec.get("options") or {}))
 
 
 @register("format")

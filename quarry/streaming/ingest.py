@@ -21,15 +21,19 @@ PART = "quarry_batch"  # a name of our own: a source may have a column "batch"
 def stream_ingest(spark: SparkSession, source_dir: str, target_dir: str,
                   schema: T.StructType, fmt: str = "parquet", checkpoint: str | None = None,
                   glob: str | None = None, max_files_per_trigger: int = 100,
-                  on_batch=None) -> list[dict]:
+                  on_batch=None, options: dict | None = None) -> list[dict]:
     """Ingest every not-yet-seen file; return the per-batch log rows.
 
     The checkpoint lies beside the target unless named, so a later call goes
-    on where this one ended.  A source with a column ``quarry_batch`` is refused."""
+    on where this one ended; ``options`` are the reader's (a CSV file's header
+    line is none of its rows unless they say so).  A source with a column ``quarry_batch`` is refused."""
     if PART in schema.fieldNames():
         raise ValueError(f"column name {PART!r} is taken by the batches' folders")
     checkpoint = checkpoint or f"{target_dir.rstrip('/')}-checkpoint"
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if fmt == "csv":
+        reader = reader.option("header", "true")
+    reader = reader.options(**(options or {}))
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     stream = reader.format(fmt).load(source_dir)

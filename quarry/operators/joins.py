@@ -1,14 +1,8 @@
-"""Join helpers: join-kind mapping, duplicate column naming, range join."""
+"""Join helpers: join-kind mapping, duplicate column naming, all-pairs guard."""
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from quarry.functions.names import col_ref
+from pyspark.sql import DataFrame
 
 # Accepted join kinds (user word -> Spark join type).  ``asof`` is handled by
 # quarry.operators.asof; ``cross`` is refused (a join needs a condition).
@@ -53,88 +47,6 @@ def dedupe_columns(df: DataFrame) -> DataFrame:
     return df if names == df.columns else df.toDF(*names)
 
 
-BINS_PER_STEP = 4096
-_TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
-
-
-def _axis(columns: list[tuple[str, Column, T.DataType]]) -> list[Column]:
-    """Point and bound columns as numbers on one axis that keeps their order:
-    seconds for dates and timestamps, the value itself for numbers."""
-    kinds = [k for _, _, k in columns]
-    if all(isinstance(k, T.NumericType) for k in kinds):
-        return [c.cast("double") for _, c, _ in columns]
-    if not all(isinstance(k, _TIMES) for k in kinds):
-        raise ValueError("a range join needs numbers, dates or timestamps on both sides, not "
-                         + ", ".join(f"{n}: {k.simpleString()}" for n, _, k in columns)
-                         + "; add an equality term")
-    if any(isinstance(k, T.TimestampType) for k in kinds):  # Spark compares all as instants
-        return [F.unix_micros(c.cast("timestamp")) / F.lit(1e6) for _, c, _ in columns]
-    day = lambda c: F.unix_date(c.cast("date")) * F.lit(86400.0)
-    return [day(c) if isinstance(k, T.DateType)
-            else day(c) + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c) for _, c, k in columns]
-
-
-def binned_range_join(left: DataFrame, right: DataFrame, points_on_left: bool, point: str,
-                      lo: str, hi: str, condition, how: str = "inner",
-                      bin_width: float | None = None,
-                      aliases: tuple[str, str] | None = None) -> DataFrame:
-    """A range condition as an equi-join on fixed-width bins plus the exact
-    condition as residual, never a nested loop over all pairs.
-
-    The points side (``point`` column) falls in one bin per row; each row
-    of the ranges side (``lo`` / ``hi`` columns) is repeated for the bins
-    it covers, so every (point, range) pair meets in exactly one bin.  A
-    range of length L covers at most L / width + 2 bins: with the mean
-    length as width (the default, one pass over the two bounds) the ranges
-    side grows to at most about three times its rows, however skewed the
-    lengths are.  Bins are listed in two steps, first blocks of
-    ``BINS_PER_STEP`` bins, so no row holds a long list.
-    Numbers, dates and timestamps are binned (``bin_width`` in seconds for
-    the last two); other types are refused.  NULL bounds and empty ranges
-    match nothing; an infinite or NaN bound fails with a message, as it has
-    no finite list of bins.
-    ``condition(l, r)`` builds the exact test from the two (aliased) sides.
-    Only joins that keep no unmatched *range* rows are exact this way
-    (inner; left/semi/anti with the points on the left).
-    """
-    pts, rng = (left, right) if points_on_left else (right, left)
-    at, low, high = _axis([(point, col_ref(point), pts.schema[point].dataType),
-                           (lo, col_ref(lo), rng.schema[lo].dataType),
-                           (hi, col_ref(hi), rng.schema[hi].dataType)])
-    inf = F.lit(math.inf)
-    if bin_width is None:
-        length = high - low
-        bin_width = rng.agg(F.avg(F.when((length >= 0) & (length < inf), length))).first()[0]
-    w = F.lit(float(bin_width) if bin_width and bin_width > 0 else 1.0)
-    pts = pts.withColumn("_qbin", F.floor(at / w))
-    finite = lambda c: (F.when(F.abs(c) < inf, F.floor(c / w))
-                        .when(c.isNotNull(), F.raise_error(F.lit("range join: bounds must be finite"))))
-    rng = rng.where(high >= low).withColumn("_qlo", finite(low)).withColumn("_qhi", finite(high))
-    step = F.lit(BINS_PER_STEP)
-    rng = rng.withColumn("_qstep", F.explode(F.sequence(F.floor(F.col("_qlo") / step),
-                                                        F.floor(F.col("_qhi") / step))))
-    rng = rng.withColumn("_qbin", F.explode(F.sequence(
-        F.greatest("_qlo", F.col("_qstep") * step),
-        F.least("_qhi", F.col("_qstep") * step + (BINS_PER_STEP - 1))))).drop("_qlo", "_qhi", "_qstep")
-    lb, rb = (pts, rng) if points_on_left else (rng, pts)
-    if aliases:
-        lb, rb = lb.alias(aliases[0]), rb.alias(aliases[1])
-    out = lb.join(rb, (lb["_qbin"] == rb["_qbin"]) & condition(lb, rb), how)
-    out = out.drop(lb["_qbin"])
-    return out if how in ("left_semi", "left_anti") else out.drop(rb["_qbin"])
-
-
-def range_join(points: DataFrame, ranges: DataFrame, point: str, lo: str, hi: str,
-               bin_width: float | None = None, how: str = "inner") -> DataFrame:
-    """Points ⋈ ranges on ``lo <= point < hi`` (see :func:`binned_range_join`;
-    choose ``bin_width`` near the typical range length, default the mean)."""
-    if bin_width is not None and (bin_width <= 0 or math.isnan(bin_width)):
-        raise ValueError("bin_width must be positive")
-    return binned_range_join(
-        points, ranges, True, point, lo, hi,
-        lambda p, r: (p[point] >= r[lo]) & (p[point] < r[hi]), how, bin_width)
-
-
 # Joins Spark runs by comparing every pair of rows of its two sides.
 ALL_PAIRS_OPS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 # A side with at most this many rows, proven by the plan itself (Catalyst's

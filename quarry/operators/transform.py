@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.asof import asof_join
-from quarry.operators.joins import (binned_range_join, dedupe_columns, spark_join_type,
-                                    unbounded_all_pairs)
+from quarry.operators.joins import dedupe_columns, spark_join_type, unbounded_all_pairs
+from quarry.operators.ranges import dyadic_overlap_join, dyadic_range_join
 
 _CMP = re.compile(r"^\s*([\w.`]+)\s*(=|>=|<=|>|<)\s*([\w.`]+)\s*$")
 _RANGE_CMP = re.compile(r"^\s*([\w.`]+)\s*(>=|>|<=|<)\s*([\w.`]+)\s*$")
@@ -101,16 +101,37 @@ def _range_terms(on: str, left: str, right: str):
     return None
 
 
+def _overlap_terms(on: str, left: str, right: str):
+    """``l.lo < r.hi AND r.lo < l.hi`` (or <=, or turned round) ->
+    ((l.lo, l.hi), (r.lo, r.hi)); else None."""
+    terms = re.split(r"\s+AND\s+", on.strip(), flags=re.I)
+    bounds = {}
+    for m in map(_RANGE_CMP.match, terms):
+        if not m:
+            return None
+        a, op, b = m.groups()
+        if op in (">", ">="):
+            a, b = b, a
+        low, high = _resolve(a, left, right), _resolve(b, left, right)
+        if low is None or high is None or low[0] == high[0]:
+            return None
+        bounds[low[0], "lo"], bounds[high[0], "hi"] = low[1], high[1]
+    if len(terms) != 2 or len(bounds) != 4:
+        return None
+    return (bounds[left, "lo"], bounds[left, "hi"]), (bounds[right, "lo"], bounds[right, "hi"])
+
+
 def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
     """One join of two aliased sources.
 
     Equi-joins (with any extra residual condition) are planned by Spark:
     shuffle on the keys, or broadcast when the planner's size check allows
     it.  A pure range condition (``l.x >= r.lo AND l.x < r.hi``) becomes a
-    binned equi-join (``bin_width`` from the config, else the ranges' mean
-    length) for inner joins, and for left / semi / anti joins with the points
-    on the left (right joins with the points on the right, mirrored); a full
-    outer range join would need each unmatched range once and is not binned.
+    join on dyadic nodes (none finer than ``bin_width`` if the config has one)
+    for inner joins, and for left / semi / anti joins with the points on the
+    left (right joins with the points on the right, mirrored); a full outer
+    range join would need each unmatched range once and is not run so.  Two
+    ranges that overlap (``l.lo < r.hi AND r.lo < l.hi``) join likewise, inner.
     Any other condition that would plan as a nested loop or a
     Cartesian product over two sides without a proven row bound, i.e.
     compare all pairs, is refused.
@@ -131,13 +152,17 @@ def join_frames(frames: Mapping[str, DataFrame], join: Mapping) -> DataFrame:
         # only joins that keep no unmatched range rows may use bins
         on, width = join["on"], join.get("bin_width")
         if jt == "inner" or (side == left and jt in ("left", "left_semi", "left_anti")):
-            return binned_range_join(ldf, rdf, side == left, point, lo, hi,
-                                     lambda lb, rb: F.expr(on), jt, width, aliases=(left, right))
+            return dyadic_range_join(ldf, rdf, side == left, point, lo, hi,
+                                     lambda *_: F.expr(on), jt, width, aliases=(left, right))
         if jt == "right" and side == right:
             # the mirror of a left join with the points first; left columns first again
-            out = binned_range_join(rdf, ldf, True, point, lo, hi, lambda rb, lb: F.expr(on),
+            out = dyadic_range_join(rdf, ldf, True, point, lo, hi, lambda *_: F.expr(on),
                                     "left", width, aliases=(right, left))
             return out.select(f"{left}.*", f"{right}.*")
+    overlap = _overlap_terms(join["on"], left, right)
+    if overlap is not None and jt == "inner":
+        on = join["on"]
+        return dyadic_overlap_join(ldf, rdf, *overlap, lambda *_: F.expr(on), join.get("bin_width"), aliases=(left, right))
     out = ldf.alias(left).join(rdf.alias(right), F.expr(join["on"]), jt)
     if unbounded_all_pairs(out):
         raise ValueError(

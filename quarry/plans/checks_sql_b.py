@@ -10,7 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators.asof import asof_join
-from quarry.operators.joins import range_join
+from quarry.operators.ranges import overlap_join, range_join
 from quarry.operators.sqlgaps import distinct_on, group_concat, qualify
 from quarry.plans.checks_sql_a import sql_check
 from quarry.plans.registry import check, table
@@ -111,6 +111,30 @@ def b_qualify(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- B9
+_LENGTHS = """(CASE WHEN {k} % 500 = 0 THEN 1e7 WHEN {k} % 50 = 0 THEN 20000.0 WHEN {k} % 5 = 0 THEN 300.0 ELSE 0.5 END)"""
+
+
+@check("range_join_mixed_lengths", oracle=f"""
+WITH r AS (SELECT c_custkey, c_acctbal * 30 AS lo, c_acctbal * 30 + {_LENGTHS.format(k='c_custkey')} AS hi FROM customer)
+SELECT r.c_custkey AS c_custkey, CAST(count(*) AS BIGINT) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys
+FROM orders JOIN r ON o_totalprice >= r.lo AND o_totalprice < r.hi GROUP BY r.c_custkey""")
+def b_range_mixed(spark, sf_dir):
+    # half a unit and ten million units wide: each range is cut on its own level
+    r = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_acctbal * 30 AS lo", f"c_acctbal * 30 + {_LENGTHS.format(k='c_custkey')} AS hi")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return range_join(o, r, "o_totalprice", "lo", "hi").groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+
+
+@check("range_overlap_join", oracle=f"""
+WITH c AS (SELECT c_custkey, c_acctbal AS clo, c_acctbal + {_LENGTHS.format(k='c_custkey')} AS chi FROM customer),
+s AS (SELECT s_suppkey, s_acctbal AS slo, s_acctbal + {_LENGTHS.format(k='(s_suppkey + 3)')} / 10 AS shi FROM supplier)
+SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n, CAST(sum(c_custkey) AS BIGINT) AS keys FROM c JOIN s ON clo < shi AND slo < chi GROUP BY s_suppkey""")
+def b_overlap(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_acctbal AS clo", f"c_acctbal + {_LENGTHS.format(k='c_custkey')} AS chi")
+    s = table(spark, sf_dir, "supplier").selectExpr("s_suppkey", "s_acctbal AS slo", f"s_acctbal + {_LENGTHS.format(k='(s_suppkey + 3)')} / 10 AS shi")
+    return overlap_join(c, s, ("clo", "chi"), ("slo", "shi")).groupBy("s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("c_custkey").alias("keys"))
+
+
 @check("sql_range_join", oracle="""
 SELECT o.o_orderkey AS o_orderkey, c.c_custkey AS c_custkey
 FROM orders o JOIN customer c

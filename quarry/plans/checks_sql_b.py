@@ -10,7 +10,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators.asof import asof_join
+from quarry.operators.quantiles import exact_quantiles
 from quarry.operators.ranges import overlap_join, range_join
+from quarry.operators.ranks import distributed_frames, distributed_ranks, distributed_running
 from quarry.operators.sqlgaps import distinct_on, group_concat, qualify
 from quarry.plans.checks_sql_a import sql_check
 from quarry.plans.registry import check, table
@@ -100,6 +102,37 @@ SELECT event_id, user_id,
 FROM events""", None, "events")
 
 
+# The same functions without a task that sorts a whole segment, nation or status.
+@check("ranks_distributed", oracle="""
+SELECT c_custkey, c_mktsegment,
+  CAST(rank() OVER (PARTITION BY c_mktsegment ORDER BY round(c_acctbal, -3) DESC) AS BIGINT) AS rnk,
+  CAST(dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY round(c_acctbal, -3) DESC) AS BIGINT) AS dr,
+  percent_rank() OVER (PARTITION BY c_mktsegment ORDER BY round(c_acctbal, -3) DESC) AS pr,
+  cume_dist() OVER (PARTITION BY c_mktsegment ORDER BY round(c_acctbal, -3) DESC) AS cd,
+  CAST(ntile(7) OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal, c_custkey) AS BIGINT) AS tile
+FROM customer""")
+def b_ranks(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").selectExpr("c_custkey", "c_mktsegment", "c_acctbal", "round(c_acctbal, -3) AS band")
+    c = distributed_ranks(c, ["c_mktsegment"], ["band DESC"], {"rnk": "rank", "dr": "dense_rank", "pr": "percent_rank", "cd": "cume_dist"})
+    return distributed_ranks(c, ["c_mktsegment"], ["c_acctbal", "c_custkey"], {"tile": ("ntile", 7)}).drop("band", "c_acctbal")
+
+
+@check("frames_distributed", oracle="""
+SELECT o_orderkey,
+  lag(o_orderkey) OVER w AS prev_key, lead(o_orderkey, 2) OVER w AS later_key,
+  max(o_totalprice) OVER (w ROWS BETWEEN 50 PRECEDING AND 20 FOLLOWING) AS top,
+  CAST(count(*) OVER (w ROWS BETWEEN 50 PRECEDING AND 20 FOLLOWING) AS BIGINT) AS n,
+  CAST(sum(o_custkey) OVER (w ROWS UNBOUNDED PRECEDING) AS BIGINT) AS running
+FROM orders WINDOW w AS (PARTITION BY o_orderstatus ORDER BY o_orderdate, o_orderkey)""")
+def b_frames(spark, sf_dir):
+    part, order = ["o_orderstatus"], ["o_orderdate", "o_orderkey"]
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+    o = distributed_frames(o, part, order, {"prev_key": F.max("o_orderkey")}, 1, -1, block_rows=1000)
+    o = distributed_frames(o, part, order, {"later_key": F.max("o_orderkey")}, -2, 2, block_rows=1000)
+    o = distributed_frames(o, part, order, {"top": F.max("o_totalprice"), "n": F.count(F.lit(1))}, 50, 20, block_rows=1000)
+    return distributed_running(o, part, order, "o_custkey", {"running": "sum"}, block_rows=1000).drop("o_custkey", "o_orderstatus", "o_orderdate", "o_totalprice")
+
+
 # ---------------------------------------------------------------- B8
 @check("sql_qualify", oracle="""
 SELECT o_custkey, o_orderkey, o_totalprice FROM orders
@@ -207,6 +240,15 @@ SELECT l_returnflag, round(median(l_quantity), 4) AS med_qty,
        round(quantile_cont(l_extendedprice, 0.9), 4) AS p90_price
 FROM lineitem GROUP BY l_returnflag""", "lineitem")
 
+@check("quantiles_exact", oracle="""
+SELECT l_returnflag, p, CASE p WHEN 0.5 THEN a WHEN 0.9 THEN b WHEN 0.01 THEN c ELSE d END AS q
+FROM (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.5) AS a, quantile_cont(l_extendedprice, 0.9) AS b,
+             quantile_cont(l_extendedprice, 0.01) AS c, max(l_extendedprice) AS d FROM lineitem GROUP BY l_returnflag) t,
+     (SELECT unnest([0.5, 0.9, 0.01, 1.0]::DOUBLE[]) AS p) u""")
+def b_quantiles(spark, sf_dir):
+    return exact_quantiles(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.5, 0.9, 0.01, 1.0], small=256)
+
+
 sql_check("sql_mode", """
 SELECT p_brand, p_size AS mode_size FROM (
   SELECT p_brand, p_size,

@@ -4,6 +4,7 @@ import base64
 import collections
 import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -299,6 +300,58 @@ def test_whole_texts_are_tagged():
     assert (pii_tagger.symbols("a1\uff11\u0661é") == [67, 19, 98, 98, 1]).all()
 
 
+@pytest.mark.parametrize("slice_", [1 << 20, 300])
+def test_cut_decoding_equals_one_viterbi_pass(spark, plain, monkeypatch, slice_):
+    texts = [t for _, t in plain[:40] if t] + ["", "a", "+1 (017) 555-7713", "mail a.b@mail.example.com now " * 40, "4" * 700, "x" * 900]
+    t = pii_tagger.Tagger(3)
+    t.train(*pii_tagger.examples([x for x in texts if x] + ["reach me at k.l@post.example.org or +1 (212) 555-0188 soon"] * 40, limit=400), epochs=10)
+    monkeypatch.setattr(pii_tagger, "SLICE", slice_)
+    cut = pii_tagger.tag(texts, t)
+    chars, lengths = pii_tagger.symbols("".join(texts)), np.array([len(x) for x in texts if x])
+    some = pii_tagger.unsure(chars, lengths, t)[0]
+    monkeypatch.setattr(pii_tagger, "sure_margins", lambda _: (np.inf, np.inf, 0.0))
+    every, unary = pii_tagger.unsure(chars, lengths, t)
+    assert (every == np.arange(lengths.sum())).all() and len(some) < len(every) / 2
+    tags = pii_tagger.decoded(unary, lengths, t.p["T"])
+    whole, at = [], 0
+    for x in texts:
+        own, spans = tags[at: at + len(x)], []
+        for e in np.flatnonzero(own % 2 == 1):
+            z = e + 1
+            while z < len(x) and own[z] == own[e] + 1:
+                z += 1
+            spans.append((int(e), int(z), pii_tagger.KINDS[(own[e] - 1) // 2]))
+        whole.append(spans)
+        at += len(x)
+    assert cut == whole and any(whole)
+
+
+def test_scores_are_the_trained_networks(spark):
+    t = pii_tagger.Tagger(5)
+    chars = np.random.default_rng(0).integers(0, pii_tagger.SYMBOLS, (7, 30))
+    x = t.p["E"][chars.T]
+    f, b = t._lstm(x, t.p["Wf"], t.p["bf"], False)[0], t._lstm(x[::-1], t.p["Wb"], t.p["bb"], False)[0]
+    want = np.concatenate([f, b[::-1]], axis=2) @ t.p["U"] + t.p["c"]
+    assert np.abs(t.scores(chars).transpose(2, 1, 0) - want).max() < 1e-4
+
+
+def test_base_patterns_are_linear_and_as_written():
+    import random
+    email = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    ip = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    r = random.Random(1)
+    for _ in range(3000):
+        x = "".join(r.choice("a1.@-é ") for _ in range(r.randint(0, 40))) + ".".join(str(r.randint(0, 300)) for _ in range(r.randint(0, 9)))
+        got = pii_tagger.base_spans(x)
+        assert [(a, z) for a, z, k in got if k == "email"] == [m.span() for m in email.finditer(x)]
+        assert [(a, z) for a, z, k in got if k == "ip"] == [m.span() for m in ip.finditer(x) if all(int(p) <= 255 for p in m[0].split("."))]
+    began = time.time()
+    assert pii_tagger.base_spans("a" * 400_000 + " " + "a@" * 100_000) == [] and not [x for x in pii_tagger.base_spans("1" * 400_000) if x[2] == "ip"]
+    assert time.time() - began < 20
+
+
+
+
 def test_base_patterns():
     kinds = lambda t: [(t[a:z], k) for a, z, k in pii_tagger.base_spans(t)]
     assert kinds("4111 1111 1111 1111") == [("4111 1111 1111 1111", "card")]

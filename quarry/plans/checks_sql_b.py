@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry.operators.asof import asof_join
 from quarry.operators.quantiles import exact_quantiles
 from quarry.operators.ranges import overlap_join, range_join
+from quarry.operators.recursion import ancestors, reachable
 from quarry.operators.ranks import distributed_frames, distributed_ranks, distributed_running
 from quarry.operators.sqlgaps import distinct_on, group_concat, qualify
 from quarry.plans.checks_sql_a import sql_check
@@ -407,6 +408,23 @@ WITH RECURSIVE chain (conv_id, turn, hops) AS (
 SELECT conv_id, CAST(max(hops) AS BIGINT) AS depth FROM chain GROUP BY conv_id""", None,
           "conversations")
 
+# Every order points to the one before it: a chain as long as the table.
+@check("recursion_chain", oracle="""
+SELECT o_orderkey AS node, min(o_orderkey) OVER () AS root, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS depth FROM orders""")
+def b_chain(spark, sf_dir):
+    o = distributed_frames(table(spark, sf_dir, "orders").select("o_orderkey"), [], ["o_orderkey"], {"up": F.max("o_orderkey")}, 1, -1)
+    return ancestors(o, "o_orderkey", "up")
+
+
+# Nations linked by a rule over the customers, and all pairs they reach.
+@check("recursion_reachable", oracle="""
+WITH RECURSIVE e AS (SELECT DISTINCT c_nationkey AS src, (c_nationkey * 7 + length(c_mktsegment)) % 25 AS dst FROM customer),
+r AS (SELECT src, dst FROM e UNION SELECT r.src, e.dst FROM r JOIN e ON e.src = r.dst)
+SELECT src, dst FROM r""")
+def b_reachable(spark, sf_dir):
+    return reachable(table(spark, sf_dir, "customer").selectExpr("c_nationkey AS src", "(c_nationkey * 7 + length(c_mktsegment)) % 25 AS dst"), "src", "dst")
+
+
 sql_check("sql_quoted_identifiers", """
 SELECT "c_custkey", "c_name" AS "Customer Name" FROM customer WHERE "c_mktsegment" = 'AUTOMOBILE'""",
           None, "customer")

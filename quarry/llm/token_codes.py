@@ -19,9 +19,11 @@ File (little-endian, sections aligned to 8 bytes)::
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
+import string
 import unicodedata
 import zlib
 from collections.abc import Callable, Iterator
@@ -50,6 +52,7 @@ BLOCK = 512
 END_ID = 2
 SHARD_TOKENS = 2 << 20
 CACHE_WORDS = 300_000
+MARKS = "".join(c for c in string.punctuation if c != "'")
 MARKED = re.compile(r"(.+?)([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch  # a word, then ASCII marks other than '
 SHARD_SCHEMA = "part int, seq int, file string, n_docs long, n_ids long, n_bytes long"
 DOC_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -159,7 +162,8 @@ class WordTokenizer:
     have equal ids wherever they stand, so each distinct piece is encoded
     once and looked up after.  Texts that may hold a special token's string
     (which would be matched before lower-casing) are encoded as they stand.
-    The store of pieces is bounded by ``CACHE_WORDS`` and begun anew beyond it."""
+    The store of pieces ages: beyond ``CACHE_WORDS`` the half of it that stood in
+    the most batches stays, with halved counts, and the rest is forgotten."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -172,11 +176,18 @@ class WordTokenizer:
         if suffix:
             self._ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
-        self._clear()
-
-    def _clear(self) -> None:
         self._code: dict[str, int] = {}
         self._flat, self._start, self._len = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._seen = np.zeros(0, np.int32)  # batches each piece stood in
+
+    def _age(self) -> None:
+        """Forget the pieces that stood in the fewest batches."""
+        kept = np.argsort(-self._seen, kind="stable")[: CACHE_WORDS // 2]
+        kept = np.sort(kept[self._seen[kept] > 1])
+        words, lens = list(self._code), self._len[kept]
+        self._flat = self._flat[ragged(self._start[kept], lens)]
+        self._start, self._len, self._seen = np.cumsum(lens) - lens, lens, self._seen[kept] >> 1
+        self._code = {words[i]: code for code, i in enumerate(kept.tolist())}
 
     def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -199,17 +210,20 @@ class WordTokenizer:
     def _store(self, words: list[str], flat: np.ndarray, n: np.ndarray) -> None:
         self._start = np.concatenate([self._start, len(self._flat) + np.cumsum(n) - n])
         self._len, self._flat = np.concatenate([self._len, n]), np.concatenate([self._flat, flat])
+        self._seen = np.concatenate([self._seen, np.zeros(len(words), np.int32)])
         self._code.update(zip(words, range(len(self._code), len(self._code) + len(words))))
 
     def _learn(self, words: list[str]) -> None:
         """Store new pieces.  A piece of letters and then ASCII marks is two
-        pre-tokens, so it has the ids of its two parts."""
-        known, parts = self._code, {w: m.groups() for w in words if (m := MARKED(w)) and m[1].isalpha()}
+        pre-tokens, so it has the ids of its two parts.  ASCII ones come
+        parted already; these are the others."""
+        known = self._code
+        parts = {w: m.groups() for w in words if not w.isascii() and (m := MARKED(w)) and m[1].isalpha()}
         bare = dict.fromkeys([w for w in words if w not in parts] + [x for p in parts.values() for x in p])
         new = [w for w in bare if w not in known]
         plain = [w for w in new if w.isascii() and w.isalpha()]
         letters = [w for w in new if not w.isascii() and w.isalpha() and unicodedata.is_normalized("NFC", w) and w.lower().isalpha()]
-        rest = list(dict.fromkeys(new) - dict.fromkeys(plain + letters).keys())
+        rest = list(dict.fromkeys(new) - dict.fromkeys(plain + letters).keys()) if len(plain) + len(letters) < len(new) else []
         for some, encode in ((plain, self._letters), (letters, self._letters), (rest, self._ids)):
             if some:
                 self._store(some, *encode(some))
@@ -218,8 +232,38 @@ class WordTokenizer:
             lens = self._len[codes]
             self._store(list(parts), self._flat[ragged(self._start[codes], lens)], lens.reshape(-1, 2).sum(axis=1))
 
+    def _parted(self, pieces: pa.Array) -> tuple[pa.DictionaryArray, pa.DictionaryArray]:
+        """Each distinct piece as ASCII letters and the ASCII marks after
+        them; any other piece as itself and nothing."""
+        stems = pc.ascii_rtrim(pieces, MARKS)
+        stems = pc.if_else(pc.ascii_is_alpha(stems), stems, pieces)
+        whole, short = np.asarray(pc.binary_length(pieces), np.int64), np.asarray(pc.binary_length(stems), np.int64)
+        start = np.frombuffer(pieces.buffers()[1], np.int32)[pieces.offset: pieces.offset + len(pieces)].astype(np.int64)
+        data = np.frombuffer(pieces.buffers()[2] or b"", np.uint8)
+        ends = np.concatenate([[0], np.cumsum(whole - short)]).astype(np.int32)
+        tails = pa.StringArray.from_buffers(len(pieces), pa.py_buffer(ends), pa.py_buffer(data[ragged(start + short, whole - short)]))
+        return stems.dictionary_encode(), tails.dictionary_encode()
+
+    def _codes(self, distinct: list[str]) -> np.ndarray:
+        new = [w for w in distinct if w not in self._code]
+        if new:
+            self._learn(new)
+        code = np.fromiter(map(self._code.__getitem__, distinct), np.int64, len(distinct))
+        self._seen[code] += 1
+        return code
+
     def encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts one after the other, number of ids of each)."""
+        """(ids of all texts one after the other, number of ids of each).  The
+        cyclic collector rests meanwhile: pieces and tokens hold no cycles."""
+        running = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts, end_id)
+        finally:
+            if running:
+                gc.enable()
+
+    def _encode(self, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         texts = pc.fill_null(texts, "")
         odd = np.zeros(len(texts), bool)
         for s in self._special:
@@ -229,14 +273,15 @@ class WordTokenizer:
         counts = np.diff(pieces.offsets.to_numpy())
         coded = pieces.flatten().dictionary_encode()
         if len(self._code) > CACHE_WORDS:
-            self._clear()
-        seen = coded.dictionary.to_pylist()
-        new = [w for w in seen if w not in self._code]
-        if new:
-            self._learn(new)
-        code = np.fromiter(map(self._code.__getitem__, seen), np.int64, len(seen))[coded.indices.to_numpy()]
-        lens = self._len[code]
-        flat = self._flat[ragged(self._start[code], lens)]
+            self._age()
+        parts = self._parted(coded.dictionary)
+        both = np.stack([self._codes(p.dictionary.to_pylist())[p.indices.to_numpy()] for p in parts], axis=1).ravel()
+        # the ids of the batch's own pieces, then those of its texts
+        lens = self._len[both]
+        own, lens = self._flat[ragged(self._start[both], lens)], lens.reshape(-1, 2).sum(axis=1)
+        at = coded.indices.to_numpy()
+        starts, lens = (np.cumsum(lens) - lens)[at], lens[at]
+        flat = own[ragged(starts, lens)]
         ends = np.concatenate([[0], np.cumsum(lens)])[np.cumsum(counts)]
         per = np.diff(ends, prepend=0)
         if whole:

@@ -72,6 +72,21 @@ def row_key(*cols: Column) -> Column:
     return F.concat_ws(":", F.xxhash64(F.lit(1), *cols).cast("string"), F.xxhash64(F.lit(2), *cols).cast("string"))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``docs`` has it in any case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def without(docs: DataFrame, key: Column, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``key`` is not in the single column of
+    ``gone``, whatever the columns of ``docs`` are called."""
+    name = unused(docs, "_gone")
+    return docs.join(gone.toDF(name), key == F.col(name), "left_anti")
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

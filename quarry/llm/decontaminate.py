@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_key, staged, text_or_empty
+from quarry.llm.common import row_key, staged, text_or_empty, without
 
 WINDOW = 13
 SHINGLE = 5
@@ -153,5 +153,5 @@ def hits(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col:
 def clean_documents(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, unchanged."""
     marked = hits(docs, items, id_col=id_col, text_col=text_col, **options)
-    bad = staged(marked.filter("contaminated").select(F.col("_key").alias("__bad")).distinct(), "bench-contaminated")
-    return docs.join(bad, row_key(F.col(id_col), F.col(text_col)) == F.col("__bad"), "left_anti")
+    bad = staged(marked.filter("contaminated").select("_key").distinct(), "bench-contaminated")
+    return without(docs, row_key(F.col(id_col), F.col(text_col)), bad)

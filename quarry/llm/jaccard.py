@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, batch_rows, row_key, shuffle_width, small_batches, staged
+from quarry.llm.common import BLANKS, batch_rows, row_key, shuffle_width, small_batches, staged, unused
 from quarry.llm.components import components
 from quarry.llm.shingles import least_difference, mix, parity_bitmap, set_digests, shingle_sets
 
@@ -320,8 +320,9 @@ def one_of_each_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     groups = similar_groups(docs, id_col=id_col, text_col=text_col, keyed=True, **options)
     groups = staged(groups.select("doc_id", "comp", "_key"), "jaccard-members")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key"))["_key"]
-    kept = staged(groups.filter("comp is not null").groupBy("comp").agg(first.alias("__kept")).select("__kept"), "jaccard-kept")
-    rows = docs.withColumn("__key", row_key(F.col(id_col), F.col(text_col)))
+    key, kept = unused(docs, "_key"), unused(docs, "_kept")
+    chosen = staged(groups.filter("comp is not null").groupBy("comp").agg(first.alias(kept)).select(kept), "jaccard-kept")
+    rows = docs.withColumn(key, row_key(F.col(id_col), F.col(text_col)))
     words = F.length(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), BLANKS, "")) > 0
-    one = rows.filter(words).join(kept, F.col("__key") == F.col("__kept"), "left_semi").dropDuplicates(["__key"])
-    return one.unionAll(rows.filter(~words)).select(*docs.columns)
+    one = rows.filter(words).join(chosen, F.col(key) == F.col(kept), "left_semi").dropDuplicates([key])
+    return one.unionAll(rows.filter(~words)).drop(key)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_key, small_batches, staged, text_or_empty
+from quarry.llm.common import row_key, small_batches, staged, text_or_empty, without
 
 CELLS = 1 << 15
 SAMPLE = 400  # rows of each language, about, that the text model is fitted on
@@ -232,8 +232,8 @@ def accepted_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
                        keep: list[str] | None = None) -> DataFrame:
     """The rows of ``docs`` whose language is known (and one of ``keep``), unchanged."""
     found = identify(docs, id_col=id_col, text_col=text_col, declared=declared, host=host, keep=keep)
-    gone = staged(found.filter("not accepted").select(F.col("_key").alias("__gone")).distinct(), "language-rejected")
+    gone = staged(found.filter("not accepted").select("_key").distinct(), "language-rejected")
     none = F.lit(None).cast("string")
     code = declared_code(declared) if declared is not None else none
     site = F.lower((host if host is not None else none).cast("string"))
-    return docs.join(gone, row_key(F.col(id_col), F.col(text_col), code, site) == F.col("__gone"), "left_anti")
+    return without(docs, row_key(F.col(id_col), F.col(text_col), code, site), gone)

@@ -32,7 +32,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import NOT_BLANKS, row_key, staged, text_or_empty
+from quarry.llm.common import NOT_BLANKS, row_key, staged, text_or_empty, unused
 
 WEIGHTS = (3, 1, 2)
 BUDGET, CAP = 1.5, 2.0
@@ -113,22 +113,39 @@ def mix_sizes(sizes: DataFrame, seed: int = 0) -> DataFrame:
 
 
 # ---------------------------------------------------------------- splitting tree
+def _tail(ratio, last: int, step: int = 1 << 16) -> np.ndarray:
+    """Products of ratio(0), ratio(0) ratio(1), ... up to ratio(last - 1), as
+    far as they stay above 2^-60: what follows adds nothing to a double."""
+    out, at, weight = [np.zeros(0)], 0, 1.0
+    while at < last and weight > 2.0**-60:
+        out.append(weight * np.cumprod(ratio(np.arange(at, min(last, at + step), dtype=np.float64))))
+        at, weight = at + step, out[-1][-1]
+    return np.concatenate(out)
+
+
+def _drawn(rng: np.random.Generator, good: int, bad: int, take: int) -> int:
+    """One hypergeometric draw from a population of any size.  numpy's sampler
+    holds fewer than 10^9; a larger one is drawn by inversion: weights go
+    outwards from the mode by the ratios of neighbouring probabilities, some
+    nine standard deviations to each side."""
+    if good + bad < BIG:
+        return int(rng.hypergeometric(good, bad, take))
+    low, high = max(0, take - bad), min(good, take)
+    mode = min(high, max(low, (take + 1) * (good + 1) // (good + bad + 2)))
+    # P(k + 1) / P(k) = (good - k) (take - k) / ((k + 1) (bad - take + k + 1))
+    right = _tail(lambda i: (good - mode - i) / (mode + i + 1) * ((take - mode - i) / (bad - take + mode + i + 1)), high - mode)
+    left = _tail(lambda i: (mode - i) / (good - mode + i + 1) * ((bad - take + mode - i) / (take - mode + i + 1)), mode - low)
+    upto = np.cumsum(np.concatenate([left[::-1], [1.0], right]))
+    return mode - len(left) + min(int(np.searchsorted(upto, rng.random() * upto[-1], "right")), len(upto) - 1)
+
+
 def hypergeometric(rng: np.random.Generator, counts: np.ndarray, take: int) -> np.ndarray:
     """How many of ``take`` blocks drawn without replacement are of each
-    source: exact, drawn source by source.  Populations numpy's sampler can't
-    hold (10^9) use the normal law of the same mean and variance, rounded
-    into the possible range; the counts still add up exactly."""
+    source, drawn source by source; the counts add up to ``take``."""
     out, total = np.zeros(len(counts), np.int64), int(counts.sum())
     for i, n in enumerate(counts):
         n, rest = int(n), total - int(n)
-        if take <= 0 or n == 0:
-            got = 0
-        elif total < BIG:
-            got = int(rng.hypergeometric(n, rest, take))
-        else:
-            p = n / total
-            sd = np.sqrt(max(0.0, take * p * (1 - p) * (total - take) / max(1, total - 1)))
-            got = min(n, take, max(0, take - rest, round(take * p + sd * rng.standard_normal())))
+        got = _drawn(rng, n, rest, take) if take > 0 and n else 0
         out[i], take, total = got, take - got, rest
     return out
 
@@ -189,14 +206,14 @@ def dealt(docs: DataFrame, seed: int = 0, shards: int = SHARDS, **columns) -> Da
     return plan.join(words, "_rid", "left").withColumn("taken", F.coalesce("_drawn", F.lit(0).cast("long"))).drop("_drawn")
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with a lasting row name ``__rid``: file and place of a row
-    that is read from files, else a row number in a staged copy."""
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with a lasting row name: file and place of a row that is read
+    from files, else a row number in a staged copy."""
     try:
-        path, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
-        return docs.select("*", F.concat_ws(":", F.hex(F.xxhash64(path)), at).alias("__rid"))
+        path, at = docs.metadataColumn("_metadata")["file_path"], docs.metadataColumn("_metadata")["row_index"]
+        return docs.select("*", F.concat_ws(":", F.hex(F.xxhash64(path)), at).alias(name))
     except AnalysisException:
-        return staged(docs.withColumn("__rid", F.monotonically_increasing_id().cast("string")), "mix-rows")
+        return staged(docs.withColumn(name, F.monotonically_increasing_id().cast("string")), "mix-rows")
 
 
 def mixed_documents(docs: DataFrame, seed: int = 0, shards: int = SHARDS, *, id_col: str = "doc_id",
@@ -204,20 +221,21 @@ def mixed_documents(docs: DataFrame, seed: int = 0, shards: int = SHARDS, *, id_
     """The mix itself: the rows of ``docs``, once per drawn copy, dealt to
     ``shards`` partitions and shuffled inside each.  A block cut at its
     source's edge keeps its first words; ``n_chars``, where there is one,
-    is then counted anew."""
-    kept = _numbered(docs)
-    sizes = kept.select(F.col("__rid").alias("_rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
+    is then counted anew.  Columns of any name are passed on."""
+    rid, drawn_rid, size, words, shard, place = (unused(docs, n) for n in ("_rid", "_drawn_rid", "_size", "_words", "_shard", "_place"))
+    kept = _numbered(docs, rid)
+    sizes = kept.select(F.col(rid).alias("_rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"),
                         word_count(text_col).alias("size"), row_key(F.col(id_col), F.col(text_col)).alias("_key"))
     drawn = draws(mix_sizes(staged(sizes, "mix-sizes"), seed), shards, seed).select(
-        F.col("_rid").alias("__r"), F.col("size").alias("__size"), F.col("words").alias("__words"),
-        F.col("shard").alias("__shard"), F.col("_place").alias("__place"))
-    rows = kept.join(drawn, F.col("__rid") == F.col("__r"))
-    cut = F.col("__words") < F.col("__size")
+        F.col("_rid").alias(drawn_rid), F.col("size").alias(size), F.col("words").alias(words),
+        F.col("shard").alias(shard), F.col("_place").alias(place))
+    rows = kept.join(drawn, F.col(rid) == F.col(drawn_rid))
+    cut = F.col(words) < F.col(size)
     pieces = F.regexp_extract_all(text_or_empty(text_col), F.lit(f"{NOT_BLANKS}[\\x20\\x09-\\x0D]*"), F.lit(0))
-    first = F.when(cut, F.array_join(F.slice(pieces, 1, F.col("__words").cast("int")), ""))
+    first = F.when(cut, F.array_join(F.slice(pieces, 1, F.col(words).cast("int")), ""))
     rows = rows.withColumn(text_col, F.coalesce(first, F.col(text_col)))
     if "n_chars" in docs.columns:
         count = F.length(text_col).cast(docs.schema["n_chars"].dataType)
         rows = rows.withColumn("n_chars", F.when(cut, count).otherwise(F.col("n_chars")))
-    dealt = rows.repartition("__shard", F.pmod("__place", F.lit(64)))
-    return dealt.sortWithinPartitions("__shard", "__place").select(*docs.columns)
+    dealt = rows.repartition(shard, F.pmod(F.col(place), F.lit(64)))
+    return dealt.sortWithinPartitions(shard, place).drop(rid, drawn_rid, size, words, shard, place)

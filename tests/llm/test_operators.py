@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import math
 import re
 import time
 import zlib
@@ -538,3 +539,45 @@ def test_pipeline(spark):
     assert out.count() == docs.count()
     whole = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, out.collect()))
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_stages_pass_columns_of_any_name(spark, empty):
+    import corpus_pipeline
+
+    extra = ["_key", "_kept", "_gone", "_rid", "_drawn_rid", "_size", "_words", "_shard", "_place", "__key", "comp", "_Key_"]
+    docs = queries.table(spark, SF, "documents").limit(60).unionByName(odd(spark).select("doc_id", "text", "source"), allowMissingColumns=True)
+    docs = docs.select("*", *[F.concat(F.lit(n + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(n) for n in extra])
+    docs = common.staged(docs.filter("false") if empty else docs, "test-clashing")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.staged(stage(spark, docs, SF), f"test-clashing-{name}")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert empty or rows
+        assert all(r[n] == f"{n}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for n in extra)
+        assert {r["doc_id"] for r in rows} <= {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() == docs.count()
+
+
+def test_large_populations_are_drawn_exactly(monkeypatch):
+    """The inversion for 10^9 blocks and more, on a population small enough to know its law."""
+    monkeypatch.setattr(mixing, "BIG", 0)
+    rng, n = np.random.default_rng(5), 40_000
+    got = np.bincount([mixing._drawn(rng, 6, 9, 5) for _ in range(n)], minlength=6) / n
+    want = np.array([math.comb(6, k) * math.comb(9, 5 - k) / math.comb(15, 5) for k in range(6)])
+    assert np.abs(got - want).max() < 0.01
+    assert [mixing._drawn(rng, 0, 5, 3), mixing._drawn(rng, 5, 0, 3), mixing._drawn(rng, 4, 3, 7)] == [0, 3, 4]
+
+
+def test_piece_store_ages(monkeypatch):
+    monkeypatch.setattr(token_codes, "CACHE_WORDS", 60)
+    tok = token_codes.WordTokenizer(queries.tokenizer_path())
+    whole = token_codes.WordTokenizer(queries.tokenizer_path())._ids
+    r = np.random.default_rng(3)
+    for _ in range(12):
+        texts = [" ".join(f"{'the of and'.split()[r.integers(3)]}{'.,;!?'[r.integers(5)] * r.integers(3)} w{chr(97 + r.integers(26))}{chr(97 + r.integers(26))}'s, Été! ¿x? --"
+                          for _ in range(20)) for _ in range(5)] + ["", " ", "...", "a..b,", "don't!"]
+        ids, n = tok.encode(pa.array(texts), None)
+        want, m = whole(texts)
+        assert n.tolist() == m.tolist() and ids.tolist() == want.tolist()
+    assert len(tok._code) < 12 * 60

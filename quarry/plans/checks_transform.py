@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.operators.asof import asof_join
+from quarry.operators.hotkeys import hot_key_join
 from quarry.operators.transform import run_transformation
 from quarry.plans.registry import check, table, table_path
 
@@ -299,3 +300,27 @@ def t_range_left(spark, sf_dir):
         "aggregate": {"group_by": ["o.o_orderkey"],
                       "metrics": {"n_bands": "CAST(count(c.c_custkey) AS BIGINT)"}}},
         frames={"o": o, "c": c})
+
+
+_HOT_KEY = "CASE WHEN event_id % 3 = 0 THEN 1 WHEN event_id % 5 = 0 THEN NULL ELSE user_id * 2 END"
+
+
+def _hot_join(spark, sf_dir, how):
+    """A third of the events on one customer, a fifth of the rest on none."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.expr(_HOT_KEY).alias("cust"))
+    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    return hot_key_join(ev, cu, [("cust", "c_custkey")], how)
+
+
+_HOT_SELECT = f"""SELECT e.event_id, e.cust, c.c_custkey, c.c_nationkey
+FROM (SELECT event_id, {_HOT_KEY} AS cust FROM events) e {{join}} customer c ON e.cust = c.c_custkey"""
+
+
+@check("hot_key_full_join", oracle=_HOT_SELECT.format(join="FULL JOIN"))
+def t_hot_full(spark, sf_dir):
+    return _hot_join(spark, sf_dir, "full")
+
+
+@check("hot_key_right_join", oracle=_HOT_SELECT.format(join="RIGHT JOIN"))
+def t_hot_right(spark, sf_dir):
+    return _hot_join(spark, sf_dir, "right")

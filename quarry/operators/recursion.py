@@ -3,8 +3,8 @@
 ``WITH RECURSIVE`` runs a round per level and stops at fixed limits (100
 levels, a million rows).  Here every round's rows are staged, so lineage stays
 short and a lost executor costs one round, and the number of rounds follows
-what is asked: path doubling reaches depth d in log2 d rounds, semi-naive
-rounds join only the rows that the last one found.
+what is asked: path doubling reaches depth d in log2 d rounds, on what contraction
+left of many nodes; semi-naive rounds join only the rows that the last one found.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions.names import col_ref
 from quarry.session import scratch_path
 
+DOUBLED = 1 << 20  # the most nodes that path doubling takes whole, round after round
 
 def _staged(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, "recursion", name)
@@ -28,23 +29,62 @@ def ancestors(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     """(node, root, depth): the last ancestor of every node and its distance.
 
     A node has one row and at most one parent; a null parent or one that is
-    no node ends the path there (depth 0: the node is its own root).  Each
-    round doubles the steps that a row has gone, and rows that reached their
-    root leave.  A cycle fails with a message; a repeated node too."""
+    no node ends the path there (depth 0: the node is its own root).  A cycle
+    fails with a message; a repeated node too.
+
+    While more than DOUBLED nodes have a parent, a round takes out a quarter of
+    them: each node has a coin of its hash, those with heads under a parent
+    with tails go, and their children go on to that parent.  The rounds'
+    sizes fall geometrically, so all of them move a few times the input.  The
+    rest is solved by doubling the steps that a row has gone, and then what was
+    taken out, last round first, by its parent's answer."""
     rows = _staged(nodes.select(col_ref(node).alias("node"), col_ref(parent).alias("up")), "nodes")
+    kind = rows.select(F.coalesce("node", "up")).schema[0].dataType
     known = rows.select(F.col("node").alias("known"))
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count("node").alias("m"), F.count_distinct("node").alias("d")).first()
     if n["n"] != n["m"] or n["m"] != n["d"]:
         raise ValueError("a node is null or has several rows")
-    linked = rows.join(known, F.col("up") == F.col("known"), "left")
-    state = _staged(linked.select("node", F.when(F.col("known").isNull(), F.col("node")).otherwise(F.col("up")).alias("at"),
-                                  F.when(F.col("known").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("known").isNull().alias("done")), "state")
-    rounds = 0
+    linked = _staged(rows.join(known, F.col("up") == F.col("known"), "left").select("node", F.col("known").alias("up"), F.lit(1).cast("long").alias("steps")), "linked")
+    solved = [linked.where("up IS NULL").select("node", F.col("node").alias("at"), F.lit(0).cast("long").alias("steps"))]
+    active, taken = linked.where("up IS NOT NULL"), []
+    left = active.count()
+    while left > DOUBLED:
+        heads = lambda c, turn=len(taken): F.pmod(F.xxhash64(F.col(c), F.lit(turn)), F.lit(2)) == 0
+        out = active.where(heads("node") & ~heads("up"))
+        a, b = active.where(heads("up")).alias("a"), out.alias("b")
+        passed = a.join(b, F.col("a.up") == F.col("b.node"), "left").select(
+            "a.node", F.coalesce("b.up", "a.up").alias("up"), (F.col("a.steps") + F.coalesce("b.steps", F.lit(0))).alias("steps"))
+        active = _staged(active.where(~heads("node") & ~heads("up")).unionAll(passed), "active")
+        taken.append(out)
+        before, left = left, active.count()
+        if left > 0.9 * before:  # parents that are their own: the doubling tells of the cycle
+            break
+    solved.append(_doubled(active))
+    for out in reversed(taken):
+        roots = solved[0]
+        for more in solved[1:]:
+            roots = roots.unionAll(more)
+        a, b = out.alias("a"), roots.alias("b")
+        solved.append(_staged(a.join(b, F.col("a.up") == F.col("b.node")).select("a.node", "b.at", (F.col("a.steps") + F.col("b.steps")).alias("steps")), "solved"))
+    whole = solved[0]
+    for more in solved[1:]:
+        whole = whole.unionAll(more)
+    return whole.select("node", F.col("at").cast(kind).alias("root"), F.col("steps").alias("depth"))
+
+
+def _doubled(links: DataFrame) -> DataFrame:
+    """(node, at, steps) to the roots of (node, up, steps); an ``up`` that is
+    no node here is a root.  Each round doubles the steps that a row has gone,
+    and rows that reached their root leave."""
+    known = links.select(F.col("node").alias("known"))
+    linked = links.join(known, F.col("up") == F.col("known"), "left")
+    state = _staged(linked.select("node", F.col("up").alias("at"), "steps", F.col("known").isNull().alias("done")), "state")
+    most, rounds = max(1, state.count()).bit_length() + 1, 0
     while True:
         going = state.where(~F.col("done"))
         if going.isEmpty():
-            return state.select("node", F.col("at").alias("root"), F.col("steps").alias("depth"))
-        if rounds > max(1, n["n"]).bit_length() + 1:
+            return state.select("node", "at", "steps")
+        if rounds > most:
             raise ValueError("the parents form a cycle")
         a, b = going.alias("a"), state.alias("b")
         moved = a.join(b, F.col("a.at") == F.col("b.node")).select("a.node", "b.at", (F.col("a.steps") + F.col("b.steps")).alias("steps"), "b.done")

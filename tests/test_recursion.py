@@ -30,6 +30,36 @@ def test_forests_match_walking_up(spark):
     assert ancestors(spark.createDataFrame([], "n int, p int"), "n", "p").count() == 0
 
 
+def test_contracted_forests_match_walking_up(spark, monkeypatch):
+    from quarry.operators import recursion as m
+    monkeypatch.setattr(m, "DOUBLED", 20, raising=False)
+    sizes, staged = [], m._staged
+
+    def counting(df, name):
+        out = staged(df, name)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(m, "_staged", counting)
+    rnd = random.Random(6)
+    rows = [(i, i - 1 if i % 50 else None) for i in range(300)] + [(i, rnd.choice([None, rnd.randint(300, i - 1), 300])) for i in range(301, 400)] + [(300, 999)]
+    rnd.shuffle(rows)
+    up = dict(rows)
+
+    def walk(i):
+        depth = 0
+        while up[i] in up:
+            i, depth = up[i], depth + 1
+        return i, depth
+
+    got = ancestors(spark.createDataFrame(rows, "node int, at long"), "node", "at")
+    assert got.schema["root"].dataType.simpleString() == "bigint"
+    assert {r["node"]: (r["root"], r["depth"]) for r in got.collect()} == {i: walk(i) for i, _ in rows}
+    assert sum(sizes) < 8 * len(rows)  # rows staged in all: not the input once a round
+    with pytest.raises(ValueError, match="cycle"):
+        ancestors(spark.createDataFrame([(i, i ^ 1) for i in range(100)], "n int, p int"), "n", "p")
+
+
 @pytest.mark.parametrize("rows", [[(1, 2), (2, 1)], [(1, 1)], [(1, None), (1, None)], [(None, 1)]])
 def test_cycles_and_repeated_nodes_fail(spark, rows):
     with pytest.raises(ValueError):

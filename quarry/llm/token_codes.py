@@ -20,7 +20,6 @@ File (little-endian, sections aligned to 8 bytes)::
 from __future__ import annotations
 
 import gc
-import json
 import os
 import re
 import string
@@ -37,6 +36,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import (
     Output,
     attempt_name,
+    batch_rows,
     partition_id,
     ragged,
     read_file,
@@ -50,7 +50,8 @@ from quarry.session import scratch_path
 MAGIC = b"QRYDAC1\0"
 BLOCK = 512
 END_ID = 2
-SHARD_TOKENS = 2 << 20
+SHARD_TOKENS = 1 << 20
+BATCH_ROWS = 1000  # texts of an Arrow batch, which a task has in memory on both of Spark's sides
 CACHE_WORDS = 300_000
 MARKS = "".join(c for c in string.punctuation if c != "'")
 MARKED = re.compile(r"(.+?)([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch  # a word, then ASCII marks other than '
@@ -170,7 +171,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(path)
-        suffix = json.loads(self._tok.to_str())["model"].get("end_of_word_suffix") or ""
+        suffix = getattr(self._tok.model, "end_of_word_suffix", None) or ""
         vocab = self._tok.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(max(vocab.values()) + 1, bool)
         if suffix:
@@ -345,7 +346,8 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t"))
     rows = rows.withColumn("_h", F.xxhash64("_t"))
     ordered = rows.repartitionByRange("_id", "_h").sortWithinPartitions("_id", "_h")
-    return staged(ordered.select("_id", "_t").mapInArrow(run, SHARD_SCHEMA), "token-manifest")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return staged(ordered.select("_id", "_t").mapInArrow(run, SHARD_SCHEMA), "token-manifest")
 
 
 def read_documents(manifest: DataFrame) -> DataFrame:

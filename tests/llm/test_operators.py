@@ -105,6 +105,28 @@ def test_token_round_trip(spark, docs):
     assert token_codes.tokens_round_trip(odd(spark), queries.tokenizer_path()).count() == 12
 
 
+def test_tokens_are_written_from_small_batches(spark, docs, monkeypatch):
+    key, seen, staged = "spark.sql.execution.arrow.maxRecordsPerBatch", [], token_codes.staged
+    before = spark.conf.get(key)
+    monkeypatch.setattr(token_codes, "staged", lambda df, name: (seen.append(int(spark.conf.get(key))), staged(df, name))[1])
+    assert token_codes.tokens_round_trip(docs.limit(20), queries.tokenizer_path()).count() == 20
+    assert seen == [1000] and spark.conf.get(key) == before
+
+
+def test_a_tagger_holds_few_scores():
+    import tracemalloc
+
+    own, n = pii_tagger.Tagger(0), 1_200_000
+    own.p["c"][0] = 50.0  # every place is O for sure
+    tracemalloc.start()
+    try:
+        pii_tagger.unsure(np.full(n, 40, np.uint8), np.array([n]), own)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 80e6
+
+
 # ---------------------------------------------------------------- decontamination
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 

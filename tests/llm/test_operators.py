@@ -603,3 +603,33 @@ def test_piece_store_ages(monkeypatch):
         want, m = whole(texts)
         assert n.tolist() == m.tolist() and ids.tolist() == want.tolist()
     assert len(tok._code) < 12 * 60
+
+
+def test_pii_windows_are_scored_in_even_lots(monkeypatch):
+    lots, scores = [], pii_tagger.Tagger.scores
+    monkeypatch.setattr(pii_tagger.Tagger, "scores", lambda self, chars, sizes=None: lots.append(len(chars)) or scores(self, chars, sizes))
+    n = 600 * (pii_tagger.SPAN - pii_tagger.MARGIN)
+    pii_tagger.unsure(np.full(n, 40, np.uint8), np.array([n]), pii_tagger.Tagger(0))
+    assert sum(lots) >= 600 and max(lots) < 1.1 * min(lots)  # was: 512, 34 and 54; a step of few windows costs as much
+
+
+@pytest.mark.parametrize("reach", [1, 2, 8])
+def test_pii_sure_places_are_those_of_every_m(reach):
+    r = np.random.default_rng(reach)
+    margins = (1.0, 0.5, 0.2)
+    for n in (0, 1, 2, 7, 300):
+        u = r.normal(0, 2, (pii_tagger.TAGS, n)).astype(np.float32)
+        u[0] += 3
+        lead = u[0] - u[1:].max(axis=0, initial=-np.inf)
+        gain = (u[2::2] - u[1::2]).max(axis=0, initial=-np.inf)
+        want = np.ones(n, bool)
+        for t in range(n):
+            total = np.float32(0)
+            for m in range(1, min(reach, n - 1) + 1):
+                if t + m >= n:
+                    break
+                total = total + lead[t + m - 1] - (0.2 if m > 1 else 0)
+                if not total > 1.001:
+                    break
+                want[t] &= not total > 0.501 + gain[t + m]
+        assert (pii_tagger.unsure_places(u, margins, reach) == want).all()

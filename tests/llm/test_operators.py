@@ -633,3 +633,18 @@ def test_pii_sure_places_are_those_of_every_m(reach):
                     break
                 want[t] &= not total > 0.501 + gain[t + m]
         assert (pii_tagger.unsure_places(u, margins, reach) == want).all()
+
+
+def test_pii_windows_are_scored_lane_by_lane_in_memory_by_time():
+    t = pii_tagger.Tagger(7)
+    r = np.random.default_rng(1)
+    sizes = np.array([60, 60, 59, 41, 40, 12, 1] + [1] * 30)
+    chars = r.integers(0, pii_tagger.SYMBOLS, (len(sizes), 60)).astype(np.uint8)
+    got = t.scores(chars, sizes)
+    assert got.swapaxes(1, 2).flags.c_contiguous  # was: turned and copied afterwards
+    for k, n in enumerate(sizes):
+        assert np.abs(got[:, k, :n] - t.scores(chars[k: k + 1, :n])[:, 0]).max() < 1e-4
+    u, margins = r.normal(0, 2, (pii_tagger.TAGS, 40, 5)).astype(np.float32), (1.0, 0.5, 0.2)
+    u[0] += 3
+    side = pii_tagger.unsure_places(u.reshape(pii_tagger.TAGS, -1), margins, 8, lanes=5).reshape(40, 5)
+    assert all((side[:, k] == pii_tagger.unsure_places(np.ascontiguousarray(u[:, :, k]), margins)).all() for k in range(5))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import BLANKS, batch_rows, row_key, shuffle_width, small_batches, staged, unused
+from quarry.llm.common import BATCH_ROWS, BLANKS, batch_rows, row_key, shuffle_width, small_batches, staged, unused
 from quarry.llm.components import components
 from quarry.llm.shingles import least_difference, mix, parity_bitmap, set_digests, shingle_sets
 
@@ -108,8 +108,9 @@ def _column_counts(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray,
                .groupBy("block").applyInPandas(count, "block int, shared binary, heavy binary"))
     shared = np.zeros((blocks, 1 << (shared_bits - 3)), np.uint8)
     heavy = np.zeros((blocks, 1 << (heavy_bits - 3)), np.uint8)
-    for r in counted.toLocalIterator():  # 17 MB in all, whatever the input
-        shared[r["block"]], heavy[r["block"]] = np.frombuffer(r["shared"], np.uint8), np.frombuffer(r["heavy"], np.uint8)
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        for r in counted.toLocalIterator():  # 17 MB in all, whatever the input
+            shared[r["block"]], heavy[r["block"]] = np.frombuffer(r["shared"], np.uint8), np.frombuffer(r["heavy"], np.uint8)
     return shared, heavy, top
 
 
@@ -139,7 +140,8 @@ def _classes(docs: DataFrame, size: int) -> DataFrame:
                                               *[b.column(c) for c in more]], ["doc_id", "n_shingles", "cls", *more])
 
     kinds = "doc_id long, n_shingles long, cls binary" + "".join(f", {c} string" for c in more)
-    return staged(docs.mapInArrow(run, kinds), "jaccard-classes")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return staged(docs.mapInArrow(run, kinds), "jaccard-classes")
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -181,7 +183,8 @@ def _prefixes(docs: DataFrame, size: int, percent: int) -> DataFrame:
                                                  ["cls", "n", "bitmap", "row", "cols", "places"])
 
     rows = docs.mapInArrow(run, "cls binary, n long, bitmap binary, row binary, cols array<long>, places array<int>")
-    return staged(rows.dropDuplicates(["cls"]).withColumn("rid", F.monotonically_increasing_id()), "jaccard-prefixes")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        return staged(rows.dropDuplicates(["cls"]).withColumn("rid", F.monotonically_increasing_id()), "jaccard-prefixes")
 
 
 # ---------------------------------------------------------------- pairs

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import row_key, small_batches, staged, text_or_empty, without
+from quarry.llm.common import BATCH_ROWS, batch_rows, row_key, small_batches, staged, text_or_empty, without
 
 CELLS = 1 << 15
 SAMPLE = 400  # rows of each language, about, that the text model is fitted on
@@ -102,7 +102,8 @@ def fit_text(texts: DataFrame) -> tuple[list[str], np.ndarray]:
         return pd.DataFrame({"code": [p["code"].iloc[0]], "counts": [v.tobytes()]})
 
     sample = texts.filter(F.col("code").isin(kept) & chosen).select("code", "text")
-    rows = sample.mapInArrow(count, "code string, counts binary").groupBy("code").applyInPandas(total_up, "code string, counts binary").collect()
+    with batch_rows(texts.sparkSession, BATCH_ROWS):
+        rows = sample.mapInArrow(count, "code string, counts binary").groupBy("code").applyInPandas(total_up, "code string, counts binary").collect()
     found = {r["code"]: np.frombuffer(r["counts"], np.float32).astype(np.float64) for r in rows}
     kept = [k for k in kept if k in found and found[k].sum() > 0]
     logs = [np.log((found[k] + 0.1) / (found[k].sum() + 0.1 * CELLS)) for k in kept]
@@ -149,7 +150,8 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                                               pa.array(gains, pa.float64()), pa.array(scores, pa.list_(pa.float64()))],
                                              ["doc_id", "_key", "code", "host", "n_grams", "gain", "scores"])
 
-    scored = staged(rows.mapInArrow(score, kinds), "language-scores")
+    with batch_rows(docs.sparkSession, BATCH_ROWS):
+        scored = staged(rows.mapInArrow(score, kinds), "language-scores")
     shape = "doc_id long, _key string, language string, confidence double, text_language string, accepted boolean"
     if not n:
         told = F.coalesce((F.col("n_grams") >= LEAST) & ~F.col("code").isin(*UNNAMED), F.lit(False))

@@ -34,12 +34,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import (
+    BATCH_ROWS,
     Output,
     attempt_name,
     batch_rows,
     partition_id,
     ragged,
     read_file,
+    release_memory,
     shuffle_width,
     small_batches,
     staged,
@@ -51,8 +53,7 @@ MAGIC = b"QRYDAC1\0"
 BLOCK = 512
 END_ID = 2
 SHARD_TOKENS = 1 << 20
-BATCH_ROWS = 1000  # texts of an Arrow batch, which a task has in memory on both of Spark's sides
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 MARKS = "".join(c for c in string.punctuation if c != "'")
 MARKED = re.compile(r"(.+?)([!-&(-/:-@\[-`{-~]+)", re.S).fullmatch  # a word, then ASCII marks other than '
 SHARD_SCHEMA = "part int, seq int, file string, n_docs long, n_ids long, n_bytes long"
@@ -329,8 +330,9 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer_path: str, *, id_col: s
             done.append((part, len(done), out.path, len(doc_ids), held, len(data)))
             doc_ids, lens, ids, held = [], [], [], 0
 
-        for b in small_batches(batches, "_t", 2 << 20):
+        for b in small_batches(batches, "_t", 1 << 20):
             flat, per = tok.encode(b.column("_t"), end_id)
+            release_memory()  # else what encoding freed stays with the worker
             doc_ids += b.column("_id").to_pylist()
             lens.append(per)
             ids.append(flat)

@@ -648,3 +648,16 @@ def test_pii_windows_are_scored_lane_by_lane_in_memory_by_time():
     u[0] += 3
     side = pii_tagger.unsure_places(u.reshape(pii_tagger.TAGS, -1), margins, 8, lanes=5).reshape(40, 5)
     assert all((side[:, k] == pii_tagger.unsure_places(np.ascontiguousarray(u[:, :, k]), margins)).all() for k in range(5))
+
+
+def test_texts_reach_python_in_small_batches(spark, docs, monkeypatch):
+    """Arrow batches of 10,000 texts stay in an executor's memory outside the heap, stage after stage."""
+    key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before = spark.conf.get(key)
+    for where in (jaccard, language_id):
+        told = where.staged
+        monkeypatch.setattr(where, "staged", lambda df, name, told=told: (rows.__setitem__(name, int(spark.conf.get(key))), told(df, name))[1])
+    assert language_id.identify(docs, declared=F.col("lang"), host=F.col("source")).count() == docs.count()
+    assert jaccard.one_of_each_group(docs).count() <= docs.count()
+    assert {n: rows[n] for n in ("language-scores", "jaccard-classes", "jaccard-prefixes")} == dict.fromkeys(("language-scores", "jaccard-classes", "jaccard-prefixes"), 1000)
+    assert spark.conf.get(key) == before

@@ -650,6 +650,52 @@ def test_pii_windows_are_scored_lane_by_lane_in_memory_by_time():
     assert all((side[:, k] == pii_tagger.unsure_places(np.ascontiguousarray(u[:, :, k]), margins)).all() for k in range(5))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pii_stretches_that_spans_cannot_gain_are_left_out(seed):
+    """A quarter of the places was decoded, most of them alone between sure ones."""
+    t, r = pii_tagger.Tagger(seed), np.random.default_rng(seed)
+    t.p["T"] = (r.normal(0, 0.7, (pii_tagger.TAGS, pii_tagger.TAGS)) + np.eye(pii_tagger.TAGS)).astype(np.float32)
+    t.p["U"] *= 15
+    t.p["c"][0], run = pii_tagger.sure_margins(t.p["T"])[0], pii_tagger.run_margin(t.p["T"])
+    chars, lengths = r.integers(0, pii_tagger.SYMBOLS, 6000).astype(np.uint8), np.array([1, 2, 4000, 900, 1097])
+    (every, unary), (some, _) = (pii_tagger.unsure(chars, lengths, t, x) for x in (np.inf, run))
+    assert len(some) < 0.95 * len(every) and set(some) <= set(every)
+    scores, at = {int(p): u for p, u in zip(every, unary)}, 0
+    for n in lengths:  # a sure place is O, by a score no path can leave
+        u = np.array([scores.get(p, [1e4] + [-1e4] * (pii_tagger.TAGS - 1)) for p in range(at, at + n)], np.float64)
+        tags = pii_tagger.viterbi(u, t.p["T"].astype(np.float64))
+        assert set(np.flatnonzero(tags) + at) <= set(some.tolist())
+        at += n
+
+
+def test_pii_decoding_is_the_best_path_of_each_text():
+    from itertools import product
+
+    r, n = np.random.default_rng(4), pii_tagger.TAGS
+    for _ in range(20):
+        lengths, trans = r.integers(1, 4, 5), r.normal(0, 1, (n, n))
+        unary, at = r.normal(0, 1, (lengths.sum(), n)), 0
+        got, into = pii_tagger.decoded(unary, lengths, trans), pii_tagger.allowed(trans)
+        for k in lengths:
+            paths = [p for p in product(range(n), repeat=int(k)) if p[0] % 2 or not p[0]]
+            best = max(paths, key=lambda p: sum(unary[at + i, x] for i, x in enumerate(p)) + sum(into[a, b] for a, b in zip(p, p[1:])))
+            assert tuple(got[at: at + k]) == best
+            at += k
+
+
+def test_pii_scoring_holds_the_states_of_a_few_steps():
+    import tracemalloc
+
+    t, chars = pii_tagger.Tagger(0), np.full((900, pii_tagger.SPAN), 40, np.uint8)
+    tracemalloc.start()
+    try:
+        t.scores(chars)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 30e6  # 17 of them the scores; was 56e6, all states
+
+
 def test_texts_reach_python_in_small_batches(spark, docs, monkeypatch):
     """Arrow batches of 10,000 texts stay in an executor's memory outside the heap, stage after stage."""
     key, rows = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
